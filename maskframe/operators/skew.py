@@ -1,0 +1,27 @@
+"""Joins that stay spread out when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
+) -> DataFrame:
+    """Join with every key of ``left`` cut into ``salts`` parts.
+
+    ``right`` is repeated once per part, so it should be the smaller side. The part
+    comes from a hash of the row and not from a random number: a task that runs
+    again after an executor is lost puts each row where it was.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join cannot be {how}: it repeats the right side")
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).alias("_part")
+    every_part = F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("_part")
+    cut, repeated = left.select("*", part), right.select("*", every_part)
+    return cut.join(repeated, [*on, "_part"], how).drop("_part")
