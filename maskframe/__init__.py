@@ -7,12 +7,13 @@ from .plans.specs import ColumnSpec, ForeignKey, TableSpec, split_qualified
 from .plans.tables import PlanError, TablePlan, plan
 from .sources.layout import Layout
 from .sources.manifests import Manifest, TableEntry, read_manifest, read_manifests
+from .sources.restore import Restored, SnapshotRefused, restore
 from .sources.snapshot import Snapshot, snapshot
 from .sources.versions import PublishRefused, Versions
 
 __all__ = [
     "ColumnSpec", "ConfigError", "ForeignKey", "Layout", "Manifest", "PlanError", "PublishRefused",
-    "ScrubConfig", "Snapshot", "TableEntry", "TablePlan", "TableRules", "TableSpec", "Versions",
-    "builtin_names", "new_salt", "plan", "read_manifest", "read_manifests", "scrub", "snapshot",
+    "Restored", "ScrubConfig", "Snapshot", "SnapshotRefused", "TableEntry", "TablePlan", "TableRules", "TableSpec", "Versions",
+    "builtin_names", "new_salt", "plan", "read_manifest", "read_manifests", "restore", "scrub", "snapshot",
     "split_qualified",
 ]

@@ -45,22 +45,31 @@ def decode_line(line: Column, schema: T.StructType) -> list[Column]:
 
 
 def escape(text: Column) -> Column:
+    """Most text holds newlines and nothing else to escape, so that case takes one replacement."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for control, letter in ESCAPES.items():
         out = F.replace(out, F.lit(control), F.lit("\\" + letter))
-    return out
+    newlines = F.replace(text, F.lit("\n"), F.lit("\\n"))
+    return F.when(text.rlike(r"[\\\t\r\f\x08\x0b]"), out).otherwise(newlines)
 
 
 def unescape(field: Column) -> Column:
-    """Cut at escaped backslashes first: what is left in a piece can be replaced independently."""
-
-    def piece(p: Column) -> Column:
-        for control, letter in ESCAPES.items():
-            p = F.replace(p, F.lit("\\" + letter), F.lit(control))
-        return F.replace(p, F.lit("\\"), F.lit(""))
+    """Escapes to characters, without arrays or lambdas so that it stays in generated code.
 
-    pieces = F.transform(F.split(field, r"\\\\", -1), piece)
-    return F.when(F.contains(field, F.lit("\\")), F.array_join(pieces, "\\")).otherwise(field)
+    A field holds no raw tab, so a tab can stand for an escaped backslash while the
+    other escapes are replaced. What still has a backslash after that is a tab's
+    escape, or a backslash before an ordinary character, which stands for that character.
+    """
+    out = F.replace(field, F.lit("\\\\"), F.lit("\t"))
+    for control, letter in ESCAPES.items():
+        if control != "\t":
+            out = F.replace(out, F.lit("\\" + letter), F.lit(control))
+    swapped = F.replace(F.regexp_replace(out, r"\\(?!t)", ""), F.lit("\\t"), F.lit("\\"))
+    return (
+        F.when(~field.rlike(r"\\[^n]|\\$"), F.replace(field, F.lit("\\n"), F.lit("\n")))
+        .when(F.contains(out, F.lit("\\")), F.translate(swapped, "\\\t", "\t\\"))
+        .otherwise(F.replace(out, F.lit("\t"), F.lit("\\")))
+    )
 
 
 def to_text(value: Column, t: T.DataType) -> Column:
@@ -89,27 +98,35 @@ def from_text(text: Column, t: T.DataType) -> Column:
     return text.cast(t)
 
 
+_QUOTED_ITEMS = (T.StringType, T.BinaryType, T.TimestampType, T.TimestampNTZType, T.DateType)
+_NESTED_ITEMS = (T.ArrayType, T.StructType, T.MapType)
+
+
 def _array_to_text(value: Column, t: T.ArrayType) -> Column:
     """Text items are always quoted, so that a text NULL and a missing item stay apart."""
-    if isinstance(t.elementType, (T.ArrayType, T.StructType, T.MapType)):
+    if isinstance(t.elementType, _NESTED_ITEMS):
         raise TypeError(f"COPY text holds one-dimensional arrays of plain values, not {t.simpleString()}")
 
-    def item(e: Column) -> Column:
-        text = to_text(e, t.elementType)
-        if isinstance(t.elementType, (T.StringType, T.BinaryType)):
-            text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-            text = F.replace(text, F.lit('"'), F.lit('\\"'))
-            text = F.concat(F.lit('"'), text, F.lit('"'))
-        return F.coalesce(text, F.lit("NULL"))
+    def quoted(e: Column) -> Column:
+        text = F.replace(to_text(e, t.elementType), F.lit("\\"), F.lit("\\\\"))
+        return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(value, item), ","), F.lit("}"))
+    items = value.cast("array<string>")
+    if isinstance(t.elementType, _QUOTED_ITEMS):
+        items = F.transform(value, quoted)
+    return F.concat(F.lit("{"), F.array_join(items, ",", "NULL"), F.lit("}"))
 
 
 def _array_from_text(text: Column, t: T.ArrayType) -> Column:
     def item(e: Column) -> Column:
-        quoted = F.startswith(e, F.lit('"'))
         inner = F.regexp_replace(e.substr(F.lit(2), F.length(e) - 2), r"\\(.)", "$1")
         plain = F.when(F.lower(e) != "null", e)
-        return from_text(F.when(quoted, inner).otherwise(plain), t.elementType)
-
-    return F.transform(F.regexp_extract_all(text, F.lit(_ARRAY_ITEM), F.lit(0)), item)
+        return from_text(F.when(F.startswith(e, F.lit('"')), inner).otherwise(plain), t.elementType)
+
+    any_items = F.transform(F.regexp_extract_all(text, F.lit(_ARRAY_ITEM), F.lit(0)), item)
+    if isinstance(t.elementType, (*_QUOTED_ITEMS, *_NESTED_ITEMS)):
+        return any_items
+    # Numbers without a missing item, the common case: cut and cast as a whole.
+    numbers = F.split(F.translate(text, "{}", ""), ",", -1).cast(t)
+    simple = (F.length(text) > 2) & ~F.contains(F.upper(text), F.lit("NULL"))
+    return F.when(simple, numbers).otherwise(any_items)

@@ -29,6 +29,16 @@ def backup_name(target: str, at: datetime | None = None) -> str:
     return target + BACKUP_INFIX + timestamp_name(at)
 
 
+def timestamp_number(name: Column) -> Column:
+    """A timestamp name as a whole number in the same order; any other text is an error."""
+    return F.replace(F.replace(name, F.lit("T"), F.lit("")), F.lit("Z"), F.lit("")).cast("bigint")
+
+
+def number_timestamp(number: Column) -> Column:
+    text = number.cast("string")
+    return F.concat(F.left(text, F.lit(8)), F.lit("T"), F.substring(text, 9, 6), F.lit("Z"))
+
+
 def is_staging(name: Column) -> Column:
     return name.startswith(STAGING_PREFIX)
 

@@ -18,6 +18,8 @@ from ..plans.config import FK_NOT_VALID, FK_VALIDATE
 from ..plans.specs import ForeignKey, TableSpec
 from .reports import ERROR, WARN, one_row_to_rows, report_row, union_all
 
+SHORT_TEXT = 64
+
 
 def _measures(spec: TableSpec) -> list[tuple[str, str, Column]]:
     out = []
@@ -124,10 +126,20 @@ def audit_fk(
     return union_all(out) if out else None
 
 
+def value_key(value: Column) -> Column:
+    """Equal exactly when the texts are: short texts as they are, long ones by their SHA-256.
+
+    A short text cannot look like a digest here, because a marked digest is longer.
+    """
+    text = value.cast("string")
+    digest = F.concat(F.lit("sha256:"), F.sha2(text, 256))
+    return F.when(F.octet_length(text) <= SHORT_TEXT, text).otherwise(digest)
+
+
 def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every distinct value of several columns in one pass: (column, value, rows)."""
     pairs = [
-        F.struct(F.lit(c).alias("column"), source_column(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column"), value_key(source_column(c)).alias("value"))
         for c in columns
     ]
     return (

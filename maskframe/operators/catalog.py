@@ -139,6 +139,23 @@ def findings(
     return found
 
 
+def remedies(found: DataFrame, role: str) -> DataFrame:
+    """What would resolve each finding, one row per finding and column."""
+    skip = F.concat(F.lit(", or exclude the table: "), "table", F.lit(": { mode: skip }"))
+    remedy = (
+        F.when(
+            F.col("kind") == NO_SELECT,
+            F.concat(F.lit("grant SELECT ("), "column", F.lit(") on "), "table", F.lit(f" to {role}"), skip),
+        )
+        .when(
+            F.col("kind") == ROW_SECURITY,
+            F.concat(F.lit("grant "), "owner", F.lit(f" to {role}")),
+        )
+        .otherwise(F.concat(F.lit("grant BYPASSRLS; owner membership does not help"), skip))
+    )
+    return found.select("database", "table", "kind", "column", remedy.alias("remedy"))
+
+
 def owner_roles(found: DataFrame) -> DataFrame:
     """Owners whose membership would resolve the findings that a grant can resolve."""
     return found.filter(F.col("kind") == ROW_SECURITY).select("database", "owner").distinct()

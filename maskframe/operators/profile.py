@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,3 +42,8 @@ def table_profile(df: DataFrame, table: str, distinct: bool = True) -> DataFrame
             row["approx_distinct"] = F.col(f"distinct{i}")
         rows.append(row)
     return one_row_to_rows(df.agg(*measures), rows)
+
+
+def analyze(spark: SparkSession, table: str) -> None:
+    """The optimizer's own statistics, for a table in the catalog."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -13,35 +13,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import MIN_SERVER_MAJOR, is_backup_of, is_staging
+from ..functions.names import (
+    MIN_SERVER_MAJOR, is_backup_of, is_staging, number_timestamp, timestamp_number,
+)
 
 ARTIFACT_VERSION = 1
-_DAY_DIGITS = 8
 
 
 def latest(registry: DataFrame, by: Sequence[str] = ("database",)) -> DataFrame:
     """The newest complete snapshot of each database."""
-    return registry.groupBy(*by).agg(F.max("ts").alias("ts"))
+    newest = registry.groupBy(*by).agg(F.max(timestamp_number(F.col("ts"))).alias("n"))
+    return newest.select(*by, number_timestamp(F.col("n")).alias("ts"))
 
 
-def previous(registry: DataFrame, by: Sequence[str] = ("database",)) -> DataFrame:
-    """Each snapshot with the newest one strictly before it; the first has NULL.
+def _neighbours(registry: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each snapshot ``n`` with the newest one strictly before it and the oldest one after it.
 
-    ``ts`` counts seconds, so a day of one database holds at most 86,400 of them,
+    Snapshots count seconds, so a day of one database holds at most 86,400 of them,
     and the second window holds one row per day.
     """
     by = list(by)
-    day = F.left("ts", F.lit(_DAY_DIGITS))
-    taken = registry.select(*by, "ts", day.alias("day")).distinct()
-
-    in_day = Window.partitionBy(*by, "day").orderBy("ts")
-    taken = taken.withColumn("before_in_day", F.lag("ts").over(in_day))
-
-    days = taken.groupBy(*by, "day").agg(F.max("ts").alias("last"))
+    number = timestamp_number(F.col("ts")).alias("n")
+    taken = registry.select(*by, number).distinct().withColumn("day", F.expr("n DIV 1000000"))
+    # Stated once for both uses below, so that both read the same shuffle.
+    taken = taken.dropna(subset=[*by, "n", "day"])
+    in_day = Window.partitionBy(*by, "day").orderBy("n")
+    taken = taken.select(
+        "*", F.lag("n").over(in_day).alias("before"), F.lead("n").over(in_day).alias("after")
+    )
+    edges = taken.filter(F.col("before").isNull() | F.col("after").isNull())
+    days = edges.groupBy(*by, "day").agg(F.min("n").alias("first"), F.max("n").alias("last"))
     across = Window.partitionBy(*by).orderBy("day")
-    days = days.select(*by, "day", F.lag("last").over(across).alias("before_day"))
+    days = days.select(
+        *by, "day",
+        F.lag("last").over(across).alias("before_day"),
+        F.lead("first").over(across).alias("after_day"),
+    )
     return taken.join(days, [*by, "day"]).select(
-        *by, "ts", F.coalesce("before_in_day", "before_day").alias("previous_ts")
+        *by, "n",
+        F.coalesce("before", "before_day").alias("previous"),
+        F.coalesce("after", "after_day").alias("next"),
+    )
+
+
+def previous(registry: DataFrame, by: Sequence[str] = ("database",)) -> DataFrame:
+    """Each snapshot with the newest one strictly before it; the first has NULL."""
+    return _neighbours(registry, by).select(
+        *by, number_timestamp(F.col("n")).alias("ts"),
+        number_timestamp(F.col("previous")).alias("previous_ts"),
     )
 
 
@@ -76,40 +95,41 @@ def columns_added_between(current: DataFrame, before: DataFrame) -> DataFrame:
     )
 
 
-def columns_added(columns: DataFrame) -> DataFrame:
-    """Drift over a whole registry of (database, ts, table, column).
+def column_changes(columns: DataFrame) -> DataFrame:
+    """Drift over a whole registry of (database, ts, table, column): what each snapshot changed.
 
-    Every snapshot is compared with the one before it. The first of a database has
-    nothing to compare with and reports nothing. Join keys end in the column, so no
-    key holds more than one row.
+    A column of a snapshot counts as present there and as expected in the next one.
+    The first snapshot of a database has nothing to compare with and is left out.
+    Keys end in the column, so no group is larger than its copies.
     """
     qualified = F.concat_ws(".", "table", "column").alias("qualified_column")
-    present = columns.select("database", "ts", qualified).distinct()
-    order = previous(columns).filter(F.col("previous_ts").isNotNull())
-    # What each snapshot would show if nothing changed: its predecessor's columns.
-    before = present.withColumnsRenamed({"ts": "previous_ts"})
-    following = order.select("database", "previous_ts", "ts")
-    expected = before.join(following, ["database", "previous_ts"]).select(
-        "database", "ts", "qualified_column"
-    )
-    started = order.select("database", "ts")
+    keyed = columns.select("database", timestamp_number(F.col("ts")).alias("n"), qualified)
+    placed = keyed.join(_neighbours(columns, ["database"]), ["database", "n"])
+    here = F.struct(
+        F.when(F.col("previous").isNotNull(), F.col("n")).alias("n"), F.lit(True).alias("present")
+    )
+    following = F.struct(F.col("next").alias("n"), F.lit(False).alias("present"))
+    marks = placed.select("database", "qualified_column", F.inline(F.array(here, following)))
     return (
-        present.join(started, ["database", "ts"], "left_semi")
-        .join(expected, ["database", "ts", "qualified_column"], "left_anti")
+        marks.filter(F.col("n").isNotNull())
+        .groupBy("database", "n", "qualified_column")
+        .agg(F.bool_or("present").alias("present"), F.bool_or(~F.col("present")).alias("expected"))
+        .filter(F.col("present") != F.col("expected"))
+        .select(
+            "database", number_timestamp(F.col("n")).alias("ts"), "qualified_column",
+            F.when(F.col("present"), "added").otherwise("removed").alias("change"),
+        )
     )
 
 
+def columns_added(columns: DataFrame) -> DataFrame:
+    """Columns that a snapshot has and the one before it had not."""
+    return column_changes(columns).filter(F.col("change") == "added").drop("change")
+
+
 def columns_removed(columns: DataFrame) -> DataFrame:
     """The other direction of drift: columns the previous snapshot had."""
-    qualified = F.concat_ws(".", "table", "column").alias("qualified_column")
-    present = columns.select("database", "ts", qualified).distinct()
-    following = previous(columns).filter(F.col("previous_ts").isNotNull())
-    expected = (
-        present.withColumnsRenamed({"ts": "previous_ts"})
-        .join(following, ["database", "previous_ts"])
-        .select("database", "ts", "qualified_column")
-    )
-    return expected.join(present, ["database", "ts", "qualified_column"], "left_anti")
+    return column_changes(columns).filter(F.col("change") == "removed").drop("change")
 
 
 def expired(versions: DataFrame, keep: int) -> DataFrame:

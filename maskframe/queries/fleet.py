@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import catalog, publications, registry, sequences
 from ..operators.reports import union_all
 from ..operators.rules import stale_rules
@@ -229,6 +230,18 @@ def catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir)
 
 
+@query(with_extracts("," + _FINDINGS + """
+    SELECT database, "table", kind, "column",
+           CASE kind WHEN 'no_select' THEN 'grant SELECT (' || "column" || ') on ' || "table" || ' to exporter'
+                       || ', or exclude the table: ' || "table" || ': { mode: skip }'
+                     WHEN 'row_security' THEN 'grant ' || owner || ' to exporter'
+                     ELSE 'grant BYPASSRLS; owner membership does not help, or exclude the table: '
+                       || "table" || ': { mode: skip }' END AS remedy
+    FROM findings""", "attributes", "roles", "skipped"))
+def catalog_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.remedies(_findings(spark, sf_dir), "exporter")
+
+
 @query(with_extracts(
     "," + _FINDINGS + " SELECT DISTINCT database, owner FROM findings WHERE kind = 'row_security'",
     "attributes", "roles", "skipped"))
@@ -282,6 +295,22 @@ def rules_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(with_extracts(f"""
+    SELECT oid, nspname || '.' || relname AS "table",
+           len(string_split(nspname || '.' || relname, '.')) = 2 AS qualified,
+           CASE WHEN regexp_full_match(relname, '[a-z_][a-z0-9_]*') THEN relname
+                ELSE '"' || replace(relname, '"', '""') || '"' END AS quoted,
+           {_USER} AS user_schema FROM classes""", "classes"))
+def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar rules on names, one row per relation."""
+    name = F.concat_ws(".", "nspname", "relname")
+    return extract(spark, sf_dir, "classes").select(
+        "oid", name.alias("table"), names.is_qualified(name).alias("qualified"),
+        names.quoted_identifier(F.col("relname")).alias("quoted"),
+        names.is_user_schema(F.col("nspname")).alias("user_schema"),
+    )
+
+
 # --- publications -----------------------------------------------------------------------
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+_TIMESTAMP = re.compile(r"^\d{8}T\d{6}Z$")
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -11,6 +14,10 @@ class Layout:
     database: str
     ts: str
 
+    def __post_init__(self) -> None:
+        if not _TIMESTAMP.match(self.ts):
+            raise ValueError(f'snapshot name "{self.ts}" is not a timestamp like 20240131T235959Z')
+
     @property
     def folder(self) -> str:
         return f"{self.root.rstrip('/')}/{self.database}/{self.ts}"

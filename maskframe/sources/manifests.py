@@ -26,7 +26,7 @@ MANIFEST_SCHEMA = """
         isCalled: boolean, ownedBy: string>>
 """
 
-_PLACE = r"/([^/]+)/([^/]+)/manifest\.json(?:/[^/]*)?$"
+_PLACE = r"/([^/]+)/(\d{8}T\d{6}Z)/manifest\.json(?:/[^/]*)?$"
 
 
 @dataclass(frozen=True)
@@ -127,8 +127,8 @@ class Manifest:
 
 def write_manifest(spark: SparkSession, layout: Layout, manifest: Manifest) -> None:
     """Written last, as one document. A snapshot without it does not exist."""
-    row = spark.createDataFrame([(manifest.to_json(),)], "value string")
-    row.coalesce(1).write.mode("error").text(layout.manifest)
+    row = spark.range(0, 1, 1, 1).select(F.lit(manifest.to_json()).alias("value"))
+    row.write.mode("error").text(layout.manifest)
 
 
 def read_manifest(spark: SparkSession, layout: Layout) -> Manifest:
@@ -147,7 +147,7 @@ def read_manifests(spark: SparkSession, root: str, database: str = "*") -> DataF
         F.regexp_extract("place", _PLACE, 1).alias("database"),
         F.regexp_extract("place", _PLACE, 2).alias("ts"),
         *[c for c in docs.columns if c != "place"],
-    )
+    ).filter(F.col("ts") != "")
 
 
 def parse_manifests(df: DataFrame, text: str = "manifest") -> DataFrame:

@@ -9,9 +9,11 @@ version or the new one and nothing in between.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,18 +71,38 @@ class Versions:
 
     def _append(self, entries: Sequence[tuple[str, str, str]]) -> None:
         at = datetime.now(timezone.utc).isoformat(timespec="microseconds")
-        rows = [(target, name, role, at, i) for i, (target, name, role) in enumerate(entries)]
-        frame = self.spark.createDataFrame(rows, LOG_SCHEMA)
-        frame.coalesce(1).write.mode("append").json(self._log)
-
-    def stage(self, target: str, frames: Mapping[str, DataFrame]) -> str:
-        """Write a version nobody reads yet and give its name."""
+        rows = [
+            F.struct(
+                F.lit(target).alias("target"), F.lit(name).alias("name"), F.lit(role).alias("role"),
+                F.lit(at).alias("at"), F.lit(i).alias("seq"),
+            )
+            for i, (target, name, role) in enumerate(entries)
+        ]
+        # One file: it is there or it is not.
+        frame = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+        frame.write.mode("append").json(self._log)
+
+    def stage(self, target: str, frames: Mapping[str, DataFrame], workers: int = 4) -> str:
+        """Write a version nobody reads yet and give its name. Tables are written side by side."""
         name = staging_name()
         self._append([(target, name, "staging")])
-        for table, df in frames.items():
+
+        def write(item: tuple[str, DataFrame]) -> None:
+            table, df = item
             df.write.mode("error").parquet(f"{self.path(target, name)}/{table}")
+
+        try:
+            with ThreadPoolExecutor(max_workers=workers) as pool:
+                list(pool.map(inheritable_thread_target(self.spark)(write), frames.items()))
+        except Exception:
+            self.discard(target, name)
+            raise
         return name
 
+    def discard(self, target: str, name: str) -> None:
+        """Give up a staged version; the target is as it was."""
+        self._append([(target, name, DROPPED)])
+
     def read_version(self, target: str, name: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path(target, name)}/{table}")
 
@@ -104,7 +126,7 @@ class Versions:
                 f"{r['table']}: {r['check']} {r['subject']}: {r['n']}" for r in found.collect()
             ]  # at most one row per declared check
             if lines:
-                self._append([(target, name, DROPPED)])
+                self.discard(target, name)
                 raise PublishRefused(sorted(lines))
         roles = self._roles(target)
         if name not in roles.get("staging", []):
