@@ -226,11 +226,18 @@ def audit_completeness(
     )
 
 
-def audit_table(
+def table_reports(
     spec: TableSpec, frames: Mapping[str, DataFrame], fk_mode: str = FK_VALIDATE
-) -> DataFrame | None:
-    """Every declared constraint of one table as one report."""
+) -> list[DataFrame]:
+    """Every declared constraint of one table, as independent reports."""
     df = frames[spec.qualified]
     found = [audit_columns(df, spec), audit_unique(df, spec), audit_fk(spec, frames, fk_mode)]
-    found = [f for f in found if f is not None]
+    return [f for f in found if f is not None]
+
+
+def audit_table(
+    spec: TableSpec, frames: Mapping[str, DataFrame], fk_mode: str = FK_VALIDATE
+) -> DataFrame | None:
+    """The same as one report."""
+    found = table_reports(spec, frames, fk_mode)
     return union_all(found) if found else None

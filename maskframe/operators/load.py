@@ -13,7 +13,7 @@ from ..plans.specs import TableSpec
 from ..sources.copyfiles import read_copytext
 from ..sources.manifests import Manifest, TableEntry
 from ..sources.snapshot import COPYTEXT
-from .reports import union_all
+from .reports import one_row_to_rows, report_row, union_all
 
 Migration = Callable[[DataFrame], DataFrame]
 
@@ -108,3 +108,9 @@ def reconcile_report(reconciled: DataFrame) -> DataFrame:
         F.when(F.col("ok"), 0).otherwise(F.greatest(off, F.lit(1))).cast("bigint").alias("violations"),
         F.lit("error").alias("severity"),
     )
+
+
+def count_report(df: DataFrame, table: str, expected: int) -> DataFrame:
+    """The reconciliation of one table whose recorded count is at hand: an aggregate, no join."""
+    off = F.abs(F.count(F.lit(1)) - F.lit(expected)).alias("off")
+    return one_row_to_rows(df.agg(off), [report_row(table, "row_count", "rows", F.col("off"))])

@@ -39,17 +39,21 @@ def high_water_by(df: DataFrame, owner: str, value: str) -> DataFrame:
     )
 
 
-def positions(refs: DataFrame, readable: DataFrame, marks: DataFrame) -> DataFrame:
+def positions(
+    refs: DataFrame, readable: DataFrame, marks: DataFrame, scope: Sequence[str] = ()
+) -> DataFrame:
     """The position of every sequence, and how it was found.
 
     ``refs``: (schema, name, owned_by), owned_by NULL when nothing owns the sequence.
     ``readable``: (schema, name, last_value), a row only where the role may read it;
     last_value NULL when the sequence was never advanced.
-    ``marks``: (owned_by, max_value).
+    ``marks``: (owned_by, max_value). For many databases all three carry the columns
+    of ``scope`` too.
     """
-    seen = readable.select("schema", "name", "last_value", F.lit(True).alias("may_read"))
-    found = refs.join(seen, ["schema", "name"], "left")
-    found = salted_join(found, marks, ["owned_by"], "left")
+    key = [*scope, "schema", "name"]
+    seen = readable.select(*key, "last_value", F.lit(True).alias("may_read"))
+    found = refs.join(seen, key, "left")
+    found = salted_join(found, marks, [*scope, "owned_by"], "left")
     value = F.when(F.col("may_read"), F.col("last_value")).otherwise(F.col("max_value"))
     source = (
         F.when(F.col("may_read"), FROM_CATALOG)
@@ -58,9 +62,9 @@ def positions(refs: DataFrame, readable: DataFrame, marks: DataFrame) -> DataFra
     )
     unavailable = F.col("source") == UNAVAILABLE
     return (
-        found.select("schema", "name", "owned_by", source.alias("source"), value.alias("value"))
+        found.select(*key, "owned_by", source.alias("source"), value.alias("value"))
         .select(
-            "schema", "name", "owned_by", "source",
+            *key, "owned_by", "source",
             # Never advanced: 1 and not yet called, so that the next value is the first one.
             F.when(unavailable, 0).otherwise(F.coalesce("value", F.lit(1))).cast("bigint")
             .alias("last_value"),
@@ -69,17 +73,17 @@ def positions(refs: DataFrame, readable: DataFrame, marks: DataFrame) -> DataFra
     )
 
 
-def next_values(found: DataFrame) -> DataFrame:
+def next_values(found: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """What each sequence hands out next; unavailable ones are left at their start."""
     step = F.when(F.col("is_called"), 1).otherwise(0)
     return found.filter(F.col("source") != UNAVAILABLE).select(
-        "schema", "name", (F.col("last_value") + step).cast("bigint").alias("next_value")
+        *scope, "schema", "name", (F.col("last_value") + step).cast("bigint").alias("next_value")
     )
 
 
-def source_summary(found: DataFrame) -> DataFrame:
+def source_summary(found: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """How many positions were read, derived or unavailable, and whether they were applied."""
-    return found.groupBy("source").agg(
+    return found.groupBy(*scope, "source").agg(
         F.count(F.lit(1)).alias("sequences"),
         F.count_if(F.col("source") != UNAVAILABLE).alias("applied"),
         F.count_if(F.col("source") == UNAVAILABLE).alias("skipped"),

@@ -11,16 +11,20 @@ SALTS = 16
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS,
+    prune: bool = False,
 ) -> DataFrame:
     """Join with every key of ``left`` cut into ``salts`` parts.
 
-    ``right`` is repeated once per part, so it should be the smaller side. The part
-    comes from a hash of the row and not from a random number: a task that runs
-    again after an executor is lost puts each row where it was.
+    ``right`` is repeated once per part, so it should be the smaller side; with
+    ``prune`` it is first cut down to the keys ``left`` has. The part comes from a
+    hash of the row and not from a random number: a task that runs again after an
+    executor is lost puts each row where it was. NULL keys are spread as well.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}: it repeats the right side")
+    if prune:
+        right = right.join(left.select(*on).distinct(), list(on), "left_semi")
     part = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).alias("_part")
     every_part = F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("_part")
     cut, repeated = left.select("*", part), right.select("*", every_part)

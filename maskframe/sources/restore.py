@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.names import MIN_SERVER_MAJOR
 from ..operators import audits, load, registry
 from ..operators.profile import table_profile
-from ..operators.reports import union_all
 from ..plans.specs import TableSpec
 from .layout import Layout
 from .manifests import Manifest, read_manifest, read_manifests
@@ -87,22 +86,19 @@ def restore(
         t: loaded[t].transform(migrations[t]) if t in migrations else loaded[t]
         for t in [*largest_first, *(n for n in loaded if n not in largest_first)]
     }
-    recorded = spark.createDataFrame(
-        [(t.qualified, t.row_count) for t in manifest.tables], "table string, rows bigint"
-    )
     name = versions.stage(target, written, workers)
     try:
         staged = {t: versions.read_version(target, name, t) for t in written}
         # Counts and constraints are those of the rows as loaded, before a migration changes them.
         as_loaded = {t: loaded[t] if t in migrations else staged[t] for t in loaded}
-        reports = [load.reconcile_report(load.reconcile(recorded, load.row_counts(as_loaded)))]
+        reports = [load.count_report(as_loaded[t.qualified], t.qualified, t.row_count) for t in manifest.tables]
         for spec in targets:
             if spec.qualified in as_loaded:
-                reports.append(audits.audit_table(spec, as_loaded, manifest.fk_mode))
+                reports += audits.table_reports(spec, as_loaded, manifest.fk_mode)
         if profile:
-            statistics = union_all(table_profile(df, t) for t, df in staged.items())
-            statistics.write.parquet(f"{versions.path(target, name)}/_profile")
-        versions.publish(target, name, union_all(r for r in reports if r is not None), keep)
+            for t, df in staged.items():
+                table_profile(df, t).write.parquet(f"{versions.path(target, name)}/_profile/{t}")
+        versions.publish(target, name, reports, keep, workers)
     except PublishRefused:
         raise
     except Exception:

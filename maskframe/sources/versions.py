@@ -39,17 +39,18 @@ class Versions:
     spark: SparkSession
     root: str
 
-    @property
-    def _log(self) -> str:
-        return f"{self.root.rstrip('/')}/_versions"
+    def _log(self, target: str) -> str:
+        """One log per target: runs for different targets never write to the same folder."""
+        return f"{self.root.rstrip('/')}/{target}/_versions"
 
     def path(self, target: str, name: str) -> str:
         return f"{self.root.rstrip('/')}/{target}/{name}"
 
-    def current(self) -> DataFrame:
+    def current(self, target: str = "*") -> DataFrame:
         """(target, name, role, since) of everything that exists."""
-        if path_exists(self.spark, self._log):
-            log = self.spark.read.schema(LOG_SCHEMA).json(self._log)
+        place = self._log(target)
+        if path_exists(self.spark, place):
+            log = self.spark.read.schema(LOG_SCHEMA).json(place)
         else:
             log = self.spark.createDataFrame([], LOG_SCHEMA)
         newest = log.groupBy("target", "name").agg(
@@ -58,34 +59,34 @@ class Versions:
         return newest.filter(F.col("role") != DROPPED)
 
     def state(self, target: str) -> str:
-        found = registry.state(self.current().filter(F.col("target") == target)).first()
+        found = registry.state(self.current(target)).first()
         return "missing" if found is None else found["state"]
 
     def _roles(self, target: str) -> dict[str, list[str]]:
         """Names by role, the newest last: one row per version of a single target."""
-        rows = self.current().filter(F.col("target") == target).collect()
+        rows = self.current(target).collect()
         out: dict[str, list[str]] = {}
         for r in sorted(rows, key=lambda r: (r["since"], r["name"])):
             out.setdefault(r["role"], []).append(r["name"])
         return out
 
-    def _append(self, entries: Sequence[tuple[str, str, str]]) -> None:
+    def _append(self, target: str, entries: Sequence[tuple[str, str]]) -> None:
         at = datetime.now(timezone.utc).isoformat(timespec="microseconds")
         rows = [
             F.struct(
                 F.lit(target).alias("target"), F.lit(name).alias("name"), F.lit(role).alias("role"),
                 F.lit(at).alias("at"), F.lit(i).alias("seq"),
             )
-            for i, (target, name, role) in enumerate(entries)
+            for i, (name, role) in enumerate(entries)
         ]
         # One file: it is there or it is not.
         frame = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
-        frame.write.mode("append").json(self._log)
+        frame.write.mode("append").json(self._log(target))
 
     def stage(self, target: str, frames: Mapping[str, DataFrame], workers: int = 4) -> str:
         """Write a version nobody reads yet and give its name. Tables are written side by side."""
         name = staging_name()
-        self._append([(target, name, "staging")])
+        self._append(target, [(name, "staging")])
 
         def write(item: tuple[str, DataFrame]) -> None:
             table, df = item
@@ -101,7 +102,7 @@ class Versions:
 
     def discard(self, target: str, name: str) -> None:
         """Give up a staged version; the target is as it was."""
-        self._append([(target, name, DROPPED)])
+        self._append(target, [(name, DROPPED)])
 
     def read_version(self, target: str, name: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path(target, name)}/{table}")
@@ -113,26 +114,34 @@ class Versions:
             raise LookupError(f'nothing is published as "{target}"')
         return self.read_version(target, names[-1], table)
 
-    def publish(self, target: str, name: str, report: DataFrame | None = None, keep: int = 1) -> None:
+    def publish(
+        self, target: str, name: str, reports: Sequence[DataFrame] = (), keep: int = 1, workers: int = 4
+    ) -> None:
         """Make a staged version current, unless a check found an error.
 
-        On refusal the staged version is dropped and the target is as it was. The
-        version replaced becomes the newest backup; backups beyond ``keep`` are dropped.
+        Every report is a job of its own, several at a time, so that many tables do not
+        become one plan. On refusal the staged version is dropped and the target is as
+        it was. The version replaced becomes the newest backup; backups beyond ``keep``
+        are dropped.
         """
-        if report is not None:
+
+        def errors(report: DataFrame) -> list[str]:
             bad = report.filter((F.col("severity") == ERROR) & (F.col("violations") > 0))
             found = bad.groupBy("table", "check", "subject").agg(F.sum("violations").alias("n"))
-            lines = [
-                f"{r['table']}: {r['check']} {r['subject']}: {r['n']}" for r in found.collect()
-            ]  # at most one row per declared check
-            if lines:
-                self.discard(target, name)
-                raise PublishRefused(sorted(lines))
+            # At most one row per declared check.
+            return [f"{r['table']}: {r['check']} {r['subject']}: {r['n']}" for r in found.collect()]
+
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            found = pool.map(inheritable_thread_target(self.spark)(errors), reports)
+            lines = sorted(line for some in found for line in some)
+        if lines:
+            self.discard(target, name)
+            raise PublishRefused(lines)
         roles = self._roles(target)
         if name not in roles.get("staging", []):
             raise LookupError(f'"{name}" is not a staged version of "{target}"')
-        changes = [(target, old, "backup") for old in roles.get("target", [])]
-        self._append([*changes, (target, name, "target")])
+        changes = [(old, "backup") for old in roles.get("target", [])]
+        self._append(target, [*changes, (name, "target")])
         self.expire(target, keep)
 
     def expire(self, target: str, keep: int = 1) -> list[str]:
@@ -140,7 +149,7 @@ class Versions:
         backups = self._roles(target).get("backup", [])
         gone = backups[: max(0, len(backups) - max(0, keep))]
         if gone:
-            self._append([(target, n, DROPPED) for n in gone])
+            self._append(target, [(n, DROPPED) for n in gone])
         return gone
 
     def recover(self, target: str) -> str:
@@ -153,8 +162,8 @@ class Versions:
             )
         changes = []
         if found == "crashed_mid_swap":
-            changes.append((target, roles["backup"][-1], "target"))
-        changes += [(target, n, DROPPED) for n in roles.get("staging", [])]
+            changes.append((roles["backup"][-1], "target"))
+        changes += [(n, DROPPED) for n in roles.get("staging", [])]
         if changes:
-            self._append(changes)
+            self._append(target, changes)
         return found
