@@ -19,28 +19,34 @@ NULL_FIELD = "\\N"
 _ARRAY_ITEM = r'"((?:[^"\\]|\\.)*)"|([^,{}"]+)'
 
 
+# Types whose text holds no character that is escaped.
+_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def encode_line(schema: T.StructType) -> Column:
-    fields = [
-        F.coalesce(escape(to_text(source_column(f.name), f.dataType)), F.lit(NULL_FIELD))
-        for f in schema.fields
-    ]
+    fields = []
+    for f in schema.fields:
+        text = to_text(source_column(f.name), f.dataType)
+        text = text if isinstance(f.dataType, _PLAIN) else escape(text)
+        fields.append(F.coalesce(text, F.lit(NULL_FIELD)))
     return F.concat_ws("\t", *fields)
 
 
-def decode_line(line: Column, schema: T.StructType) -> list[Column]:
-    """The columns of one line. A line with another number of fields is an error, not a guess."""
+def split_line(line: Column, schema: T.StructType) -> Column:
+    """The raw fields. A line with another number of fields is an error, not a guess."""
     n = len(schema.fields)
     parts = F.split(line, "\t", -1)
-    checked = F.when(F.size(parts) == n, parts).otherwise(
-        F.raise_error(
-            F.concat(F.lit(f"expected {n} fields, found "), F.size(parts).cast("string"))
-        )
-    )
+    found = F.size(parts).cast("string")
+    message = F.concat(F.lit(f"expected {n} fields, found "), found)
+    return F.when(F.size(parts) == n, parts).otherwise(F.raise_error(message))
+
+
+def decode_fields(fields: Column, schema: T.StructType) -> list[Column]:
     out = []
     for i, f in enumerate(schema.fields):
-        raw = F.get(checked, F.lit(i))
-        value = from_text(unescape(raw), f.dataType)
-        out.append(F.when(raw != NULL_FIELD, value).alias(f.name))
+        raw = F.get(fields, F.lit(i))
+        text = raw if isinstance(f.dataType, _PLAIN) else unescape(raw)
+        out.append(F.when(raw != NULL_FIELD, from_text(text, f.dataType)).alias(f.name))
     return out
 
 
@@ -66,7 +72,8 @@ def unescape(field: Column) -> Column:
             out = F.replace(out, F.lit("\\" + letter), F.lit(control))
     swapped = F.replace(F.regexp_replace(out, r"\\(?!t)", ""), F.lit("\\t"), F.lit("\\"))
     return (
-        F.when(~field.rlike(r"\\[^n]|\\$"), F.replace(field, F.lit("\\n"), F.lit("\n")))
+        F.when(~F.contains(field, F.lit("\\")), field)
+        .when(~field.rlike(r"\\[^n]|\\$"), F.replace(field, F.lit("\\n"), F.lit("\n")))
         .when(F.contains(out, F.lit("\\")), F.translate(swapped, "\\\t", "\t\\"))
         .otherwise(F.replace(out, F.lit("\t"), F.lit("\\")))
     )

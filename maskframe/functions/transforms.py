@@ -64,7 +64,9 @@ def _email(col: ColumnSpec, salt: str) -> Column:
             f'column "{col.name}" holds at most {col.max_len} characters, too short for an email '
             f"address (needs at least {fixed + 1}); use a constant expression instead"
         )
-    name = F.left(salted_hash(source_column(col.name), salt), F.lit(digits))
+    name = salted_hash(source_column(col.name), salt)
+    if digits < HASH_LENGTH:
+        name = F.left(name, F.lit(digits))
     return _declared(F.concat(F.lit(EMAIL_PREFIX), name, F.lit(EMAIL_DOMAIN)), col)
 
 

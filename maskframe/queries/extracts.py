@@ -120,7 +120,8 @@ EXTRACTS: dict[str, str] = {
                event_type <> 'error' AS has_manifest
         FROM {{events}}""",
     "snapshot_columns": f"""
-        SELECT 'db_' || CAST(l_suppkey AS STRING) AS database, {stamp("l_shipdate")} AS ts,
+        SELECT 'db_' || CAST(l_suppkey AS STRING) AS database,
+               {stamp("date_trunc('month', l_shipdate)")} AS ts,
                'public.t' || CAST(l_linenumber AS STRING) AS "table",
                lower(l_returnflag || l_linestatus) AS "column"
         FROM {{lineitem}}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.copytext import decode_line, encode_line
+from ..functions.copytext import decode_fields, encode_line, split_line
 
 # Gzip cannot be split, so one file is one task when it is read back.
 ROWS_PER_FILE = 2_000_000
@@ -31,4 +31,6 @@ def write_copytext(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
 def read_copytext(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Only a newline ends a line: a carriage return can be part of a value read from elsewhere."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(*decode_line(lines["value"], schema))
+    # A line is cut once; the fields are taken from the result.
+    cut = lines.select(split_line(lines["value"], schema).alias("fields"))
+    return cut.select(*decode_fields(cut["fields"], schema))

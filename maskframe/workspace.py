@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path nobody else uses, below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def path_exists(spark: SparkSession, pattern: str) -> bool:
