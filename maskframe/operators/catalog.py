@@ -19,8 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import MIN_SERVER_MAJOR, is_user_schema, server_major
+from ..plans.specs import ColumnSpec, TableSpec
 from .skew import salted_join
 
 # Kinds of finding, strongest first.
@@ -30,11 +32,50 @@ ROW_SECURITY = "row_security"
 
 TYPMOD_HEADER = 4
 
+# The declared name of a type, and the Spark type its values have here.
+TYPES = {
+    "int2": ("smallint", "smallint"),
+    "int4": ("integer", "int"),
+    "int8": ("bigint", "bigint"),
+    "float4": ("real", "float"),
+    "float8": ("double precision", "double"),
+    "bool": ("boolean", "boolean"),
+    "varchar": ("character varying", "string"),
+    "bpchar": ("character", "string"),
+    "bytea": ("bytea", "binary"),
+    "date": ("date", "date"),
+    "timestamp": ("timestamp without time zone", "timestamp_ntz"),
+    "timestamptz": ("timestamp with time zone", "timestamp"),
+}
+
 
 def _qualified(schema: str, name: str) -> Column:
     return F.concat_ws(".", schema, name)
 
 
+def base_type(typname: Column) -> Column:
+    """The declared name of a type without its modifier."""
+    names = F.create_map(*[F.lit(x) for t, (name, _) in TYPES.items() for x in (t, name)])
+    return F.coalesce(F.try_element_at(names, typname), typname)
+
+
+def type_name(typname: Column, typmod: Column) -> Column:
+    """The declared name with its modifier: a length, or a precision and scale."""
+    base = base_type(typname)
+    modifier = typmod - TYPMOD_HEADER
+    length = typname.isin("varchar", "bpchar") & (modifier > 0)
+    precision = F.shiftright(modifier, 16).cast("string")
+    scale = modifier.bitwiseAND(F.lit(65535)).cast("string")
+    return (
+        F.when(length, F.concat(base, F.lit("("), modifier.cast("string"), F.lit(")")))
+        .when(
+            (typname == "numeric") & (modifier >= 0),
+            F.concat(base, F.lit("("), precision, F.lit(","), scale, F.lit(")")),
+        )
+        .otherwise(base)
+    )
+
+
 def user_relations(classes: DataFrame) -> DataFrame:
     """Tables and partitioned parents outside the system schemas."""
     return classes.filter(F.col("relkind").isin("r", "p") & is_user_schema(F.col("nspname")))
@@ -54,7 +95,8 @@ def tables(classes: DataFrame, inherits: DataFrame) -> DataFrame:
     links = salted_join(inherits, parents, ["database", "inhparent"], "inner", prune=True)
     links = links.select("database", F.col("inhrelid").alias("oid"), "parent")
     leaf = found.filter("relispartition").join(links, ["database", "oid"], "left")
-    other = found.filter("NOT relispartition").withColumn("parent", F.lit(None).cast("string"))
+    other = found.filter("NOT relispartition").withColumn("parent", F.lit(""))
+    leaf = leaf.withColumn("parent", F.coalesce("parent", F.lit("")))
     return leaf.unionByName(other).select(
         "database", "oid", _qualified("nspname", "relname").alias("table"),
         F.col("nspname").alias("schema"), F.col("relkind").alias("kind"),
@@ -78,7 +120,9 @@ def columns(classes: DataFrame, attributes: DataFrame) -> DataFrame:
     live = attributes.filter((F.col("attnum") > 0) & ~F.col("attisdropped"))
     bounded = F.col("typname").isin("varchar", "bpchar") & (F.col("atttypmod") > TYPMOD_HEADER)
     return live.join(relations, ["database", "attrelid"]).select(
-        "database", "table", "attnum", F.col("attname").alias("column"), "typname",
+        "database", "table", "attnum", F.col("attname").alias("column"),
+        base_type(F.col("typname")).alias("base_type"),
+        type_name(F.col("typname"), F.col("atttypmod")).alias("type_name"),
         F.when(bounded, F.col("atttypmod") - TYPMOD_HEADER).otherwise(-1).cast("int").alias("max_len"),
         (F.col("attgenerated") != "").alias("generated"),
         (F.col("attidentity") != "").alias("identity"),
@@ -86,6 +130,41 @@ def columns(classes: DataFrame, attributes: DataFrame) -> DataFrame:
     )
 
 
+def table_specs(found: DataFrame, of_columns: DataFrame) -> list[TableSpec]:
+    """The specs of one database's tables, from ``tables`` and ``columns``.
+
+    Collects one row per column of that database. Types without a Spark type of
+    their own are read as text.
+    """
+    spark_types = {name: kind for name, kind in TYPES.values()}
+
+    def column(r) -> ColumnSpec:
+        declared = r["type_name"]
+        kind = spark_types.get(r["base_type"], "string")
+        if declared.startswith("numeric("):
+            kind = declared.replace("numeric", "decimal")
+        return ColumnSpec(
+            name=r["column"],
+            data_type=T.DataType.fromDDL(kind),
+            base_type=r["base_type"],
+            max_len=r["max_len"] if r["max_len"] > 0 else None,
+            not_null=r["not_null"],
+            generated="" if r["generated"] else None,
+            identity=r["identity"],
+        )
+
+    by_table: dict[str, list] = {}
+    for r in of_columns.orderBy("table", "attnum").collect():
+        by_table.setdefault(r["table"], []).append(column(r))
+    out = []
+    for r in found.orderBy("table").collect():
+        schema, name = r["schema"], r["table"][len(r["schema"]) + 1:]
+        kind = "partitioned" if r["kind"] == "p" else "table"
+        columns_ = tuple(by_table.get(r["table"], ()))
+        out.append(TableSpec(schema, name, columns_, kind, r["parent"] or None))
+    return out
+
+
 def unreadable_columns(classes: DataFrame, attributes: DataFrame) -> DataFrame:
     """Columns the role may not select. Generated ones are never exported, so they do not count."""
     ordinary = classes.filter((F.col("relkind") == "r") & is_user_schema(F.col("nspname")))

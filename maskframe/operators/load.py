@@ -50,6 +50,9 @@ def align(df: DataFrame, target: TableSpec) -> DataFrame:
 
 def recompute_generated(df: DataFrame, target: TableSpec) -> DataFrame:
     """Generated columns from the loaded values, so one made from scrubbed columns is scrubbed."""
+    unknown = [c.name for c in target.columns if c.generated == ""]
+    if unknown:
+        raise ValueError(f'table "{target.qualified}": no expression for generated {", ".join(unknown)}')
     made = [
         F.expr(c.generated).cast(c.data_type).alias(c.name)
         if c.generated is not None else source_column(c.name)

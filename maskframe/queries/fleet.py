@@ -174,7 +174,7 @@ _TABLES = f"""
     tables AS (
         SELECT c.database, c.oid, c.nspname || '.' || c.relname AS "table", c.nspname AS "schema",
                c.relkind AS kind, c.relowner AS owner, c.relrowsecurity AS row_security,
-               c.relforcerowsecurity AS force_row_security, p.nspname || '.' || p.relname AS parent
+               c.relforcerowsecurity AS force_row_security, coalesce(p.nspname || '.' || p.relname, '') AS parent
         FROM classes c
         LEFT JOIN inherits i ON i.database = c.database AND i.inhrelid = c.oid AND c.relispartition
         LEFT JOIN classes p ON p.database = i.database AND p.oid = i.inhparent
@@ -182,8 +182,17 @@ _TABLES = f"""
 _COLUMNS = f"""
     columns AS (
         SELECT c.database, c.nspname || '.' || c.relname AS "table", a.attnum, a.attname AS "column",
-               a.typname, CASE WHEN a.typname IN ('varchar', 'bpchar') AND a.atttypmod > 4
-                               THEN a.atttypmod - 4 ELSE -1 END AS max_len,
+               CASE a.typname WHEN 'varchar' THEN 'character varying' WHEN 'bpchar' THEN 'character'
+                              WHEN 'int4' THEN 'integer' ELSE a.typname END AS base_type,
+               CASE WHEN a.typname = 'varchar' AND a.atttypmod > 4
+                        THEN 'character varying(' || CAST(a.atttypmod - 4 AS VARCHAR) || ')'
+                    WHEN a.typname = 'bpchar' AND a.atttypmod > 4
+                        THEN 'character(' || CAST(a.atttypmod - 4 AS VARCHAR) || ')'
+                    WHEN a.typname = 'varchar' THEN 'character varying'
+                    WHEN a.typname = 'bpchar' THEN 'character'
+                    WHEN a.typname = 'int4' THEN 'integer' ELSE a.typname END AS type_name,
+               CASE WHEN a.typname IN ('varchar', 'bpchar') AND a.atttypmod > 4
+                    THEN a.atttypmod - 4 ELSE -1 END AS max_len,
                a.attgenerated <> '' AS generated, a.attidentity <> '' AS identity, a.attnotnull AS not_null
         FROM attributes a JOIN classes c ON c.database = a.database AND c.oid = a.attrelid
         WHERE a.attnum > 0 AND NOT a.attisdropped AND c.relkind IN ('r', 'p')
@@ -368,26 +377,39 @@ _DRIFT = f"""
     LEFT JOIN published m ON m.database = l.database AND m.pubname = l.pubname AND m.oid = t.oid
     GROUP BY l.database, l.pubname""", "publications", "published_schemas", "published"))
 def publication_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publications.coverage(
         extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "publications"),
         extract(spark, sf_dir, "published_schemas"), published_tables(spark, sf_dir),
     )
 
 
-@query(with_extracts("," + _DRIFT + """
+@query(with_extracts("," + _DRIFT + """,
+    counted AS (SELECT l.database, l.pubname, count(t.oid) - count(m.oid) AS missing
+        FROM listed l
+        LEFT JOIN publishable t ON t.database = l.database
+        LEFT JOIN published m ON m.database = l.database AND m.pubname = l.pubname AND m.oid = t.oid
+        GROUP BY l.database, l.pubname),
+    chosen AS (SELECT database, pubname FROM (
+        SELECT *, row_number() OVER (PARTITION BY database ORDER BY missing DESC, pubname DESC) AS n
+        FROM counted WHERE missing > 0) WHERE n = 1)
     SELECT l.database, l.pubname,
            CASE WHEN regexp_full_match(t.nspname, '[a-z_][a-z0-9_]*') THEN t.nspname
                 ELSE '"' || replace(t.nspname, '"', '""') || '"' END || '.' ||
            CASE WHEN regexp_full_match(t.relname, '[a-z_][a-z0-9_]*') THEN t.relname
                 ELSE '"' || replace(t.relname, '"', '""') || '"' END AS "table"
-    FROM listed l JOIN publishable t ON t.database = l.database
+    FROM chosen l JOIN publishable t ON t.database = l.database
     WHERE NOT EXISTS (SELECT 1 FROM published m WHERE m.database = l.database
                       AND m.pubname = l.pubname AND m.oid = t.oid)""",
     "publications", "published_schemas", "published"))
 def publication_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the publication of each database that is furthest behind, what it misses."""
+    chosen = publications.furthest_behind(_coverage(spark, sf_dir))
     return publications.missing_tables(
-        extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "publications"),
-        extract(spark, sf_dir, "published_schemas"), published_tables(spark, sf_dir),
+        extract(spark, sf_dir, "classes"), published_tables(spark, sf_dir), chosen
     )
 
 

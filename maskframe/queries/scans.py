@@ -33,7 +33,8 @@ def scan_leaf_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "leaves")
     events = table(spark, sf_dir, "events")
     events.withColumn("leaf", F.col("event_type")).write.partitionBy("leaf").parquet(folder)
-    names = ["click", "error", "purchase", "signup", "view"]
+    leaves = spark.read.parquet(folder).select("leaf").distinct().collect()  # one row per partition
+    names = sorted(r["leaf"] for r in leaves)
     frames = open_parquet(spark, {f"public.events_{n}": f"{folder}/leaf={n}" for n in names})
     specs = [TableSpec.from_df(n, df, parent="public.events") for n, df in frames.items()]
     specs.append(TableSpec.from_df("public.events", events, kind="partitioned"))

@@ -212,7 +212,7 @@ def test_catalog_tables(spark, classes):
     inherits = spark.createDataFrame([("core", 3, 2), ("core", 10, 2)], "database string, inhrelid bigint, inhparent bigint")
     found = catalog.tables(classes, inherits)
     parents = {r["table"]: r["parent"] for r in found.filter("database = 'core'").collect()}
-    assert parents["public.leaf"] == "public.parent" and parents["public.child"] is None
+    assert parents["public.leaf"] == "public.parent" and parents["public.child"] == ""
     assert "pg_catalog.sys" not in parents and "public.view" not in parents
     assert "public.parent" not in {r["table"] for r in catalog.exportable(found).collect()}
     assert rows(catalog.schemas(found)) == [("core", "public"), ("free", "public")]
@@ -227,6 +227,29 @@ def test_catalog_columns(classes, attributes):
     }
 
 
+def test_declared_types(spark):
+    df = spark.createDataFrame(
+        [("varchar", 24), ("varchar", -1), ("bpchar", 5), ("int4", -1), ("numeric", (12 << 16 | 3) + 4),
+         ("numeric", -1), ("uuid", -1)], "t string, m int",
+    )
+    got = [r[0] for r in df.select(catalog.type_name(F.col("t"), F.col("m"))).collect()]
+    assert got == ["character varying(20)", "character varying", "character(1)", "integer", "numeric(12,3)",
+                   "numeric", "uuid"]
+
+
+def test_specs_from_a_catalog(spark, classes, attributes):
+    core = "database = 'core'"
+    inherits = spark.createDataFrame([("core", 3, 2)], "database string, inhrelid bigint, inhparent bigint")
+    found = catalog.tables(classes, inherits).filter(core)
+    specs = {s.qualified: s for s in catalog.table_specs(found, catalog.columns(classes, attributes).filter(core))}
+    plain = specs["public.plain"]
+    assert [c.name for c in plain.columns] == ["id", "v", "gen", "b"]
+    assert [c.type_name for c in plain.columns] == ["bigint", "character varying(20)", "text", "character"]
+    assert [c.name for c in plain.stored] == ["id", "v", "b"] and plain.column("id").identity
+    assert specs["public.parent"].partitioned and specs["public.leaf"].parent == "public.parent"
+    assert plain.column("id").data_type.simpleString() == "bigint" and not plain.column("id").textual
+
+
 def test_findings(spark, classes, attributes):
     roles = spark.createDataFrame(
         [("core", "ann", True, False), ("core", "bob", False, False), ("free", "bob", False, True)],
@@ -306,12 +329,14 @@ def test_publications(spark, classes, attributes):
         ("public.plain", ["b", "id"], "id > 3"), ("public.secured", [], ""),
     ]
     every = {"public.child", "public.forced", "public.mine", "public.blocked", "public.parent", "public.plain", "public.secured"}
-    missing = publications.missing_tables(classes, pubs, schemas, tables).collect()
+    covered = publications.coverage(classes, pubs, schemas, tables)
+    counted = {r["pubname"]: (r["tables"], r["covered"], r["missing"]) for r in covered.collect()}
+    assert counted == {"listed": (7, 2, 5), "empty": (7, 0, 7)}
+    missing = publications.missing_tables(classes, tables, covered).collect()
     assert {r["table"] for r in missing if r["pubname"] == "listed"} == every - {"public.plain", "public.secured"}
     assert {r["table"] for r in missing if r["pubname"] == "empty"} == every
     assert {r["pubname"] for r in missing} == {"listed", "empty"}
-    counted = {r["pubname"]: (r["tables"], r["covered"], r["missing"]) for r in publications.coverage(classes, pubs, schemas, tables).collect()}
-    assert counted == {"listed": (7, 2, 5), "empty": (7, 0, 7)}
+    assert rows(publications.furthest_behind(covered)) == [("core", "empty")]
     owners = spark.createDataFrame([("core", "dba")], "database string, owner string")
     found = publications.publication_owners(classes, tables.filter("pubname = 'listed'"), owners)
     assert rows(found.select("owner")) == [("ann",), ("bob",), ("dba",)]
