@@ -41,8 +41,7 @@ def salted_hash(value: Column, salt: str) -> Column:
 def _null(col: ColumnSpec, salt: str) -> Column:
     if col.not_null:
         raise ValueError(
-            f'column "{col.name}" is NOT NULL and cannot be scrubbed to null; '
-            "use a constant expression instead, e.g. \"''\""
+            "the column must have a value, so null cannot stand there; a constant in SQL can"
         )
     return F.lit(None).cast(col.data_type)
 
@@ -61,8 +60,7 @@ def _email(col: ColumnSpec, salt: str) -> Column:
     digits = HASH_LENGTH if col.max_len is None else min(HASH_LENGTH, col.max_len - fixed)
     if digits < 1:
         raise ValueError(
-            f'column "{col.name}" holds at most {col.max_len} characters, too short for an email '
-            f"address (needs at least {fixed + 1}); use a constant expression instead"
+            f"an address takes {fixed + 1} characters or more and the column has room for {col.max_len}"
         )
     name = salted_hash(source_column(col.name), salt)
     if digits < HASH_LENGTH:
@@ -115,6 +113,5 @@ def _declared(value: Column, col: ColumnSpec) -> Column:
 def _require_textual(col: ColumnSpec, name: str) -> None:
     if not col.textual:
         raise ValueError(
-            f'transform "{name}" produces text but column "{col.name}" is {col.type_name}; '
-            f"use a raw SQL expression that yields {col.type_name}"
+            f"{name} makes text and the column is {col.type_name}; SQL of that type would fit"
         )

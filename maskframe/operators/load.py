@@ -37,7 +37,7 @@ def align(df: DataFrame, target: TableSpec) -> DataFrame:
     """
     extra = [c for c in df.columns if target.column(c) is None]
     if extra:
-        raise ValueError(f'table "{target.qualified}" has no column for: {", ".join(sorted(extra))}')
+        raise ValueError(f"{target.qualified}: no place for {', '.join(sorted(extra))}")
     out = []
     for c in target.stored:
         if c.name in df.columns:
@@ -52,7 +52,7 @@ def recompute_generated(df: DataFrame, target: TableSpec) -> DataFrame:
     """Generated columns from the loaded values, so one made from scrubbed columns is scrubbed."""
     unknown = [c.name for c in target.columns if c.generated == ""]
     if unknown:
-        raise ValueError(f'table "{target.qualified}": no expression for generated {", ".join(unknown)}')
+        raise ValueError(f"{target.qualified}: no expression for generated {', '.join(unknown)}")
     made = [
         F.expr(c.generated).cast(c.data_type).alias(c.name)
         if c.generated is not None else source_column(c.name)

@@ -54,10 +54,10 @@ class ScrubConfig:
         """Read YAML or JSON text, or a mapping. One error lists every problem."""
         raw = source if isinstance(source, Mapping) else _load_text(source)
         if not isinstance(raw, Mapping):
-            raise ConfigError(["scrub config must be a mapping"])
+            raise ConfigError(["a rule set is a mapping with version, fk_mode and tables"])
 
         problems: list[str] = []
-        _unknown_keys(raw, ("version", "fk_mode", "tables"), "scrub config", problems)
+        _unknown_keys(raw, ("version", "fk_mode", "tables"), "rule set", problems)
         tables = {}
         declared = raw.get("tables") or {}
         if not isinstance(declared, Mapping):
@@ -66,12 +66,12 @@ class ScrubConfig:
         for name, body in declared.items():
             body = body or {}
             if not isinstance(body, Mapping):
-                problems.append(f'table "{name}": rules must be a mapping')
+                problems.append(f"{name}: rules are a mapping of mode, where and columns")
                 continue
-            _unknown_keys(body, ("mode", "where", "columns"), f'table "{name}"', problems)
+            _unknown_keys(body, ("mode", "where", "columns"), name, problems)
             columns = body.get("columns") or {}
             if not isinstance(columns, Mapping):
-                problems.append(f'table "{name}": `columns` must be a mapping')
+                problems.append(f"{name}: `columns` maps column names to rules")
                 columns = {}
             tables[str(name)] = TableRules(
                 mode=_text(body.get("mode")),
@@ -81,7 +81,7 @@ class ScrubConfig:
         try:
             version = int(raw.get("version") or 0)
         except (TypeError, ValueError):
-            problems.append(f"version must be a whole number, got {raw['version']!r}")
+            problems.append(f"version {raw['version']!r} is not a number")
             version = CONFIG_VERSION
         cfg = cls(version=version, fk_mode=_text(raw.get("fk_mode")) or FK_VALIDATE, tables=tables)
         problems += cfg.problems()
@@ -92,9 +92,9 @@ class ScrubConfig:
     def problems(self) -> list[str]:
         out = []
         if self.version != CONFIG_VERSION:
-            out.append(f"unsupported scrub config version {self.version}, expected {CONFIG_VERSION}")
+            out.append(f"rule sets of version {self.version} are not known here; this reads version {CONFIG_VERSION}")
         if self.fk_mode not in (FK_VALIDATE, FK_NOT_VALID):
-            out.append(f'invalid fk_mode "{self.fk_mode}", expected one of: validate, not_valid')
+            out.append(f'fk_mode is validate or not_valid, not "{self.fk_mode}"')
         for name in self.table_names():
             rules = self.tables[name]
             try:
@@ -102,13 +102,13 @@ class ScrubConfig:
             except ValueError as e:
                 out.append(str(e))
             if rules.mode not in (MODE_FULL, MODE_SKIP):
-                out.append(f'table "{name}": invalid mode "{rules.mode}", expected one of: skip')
+                out.append(f'{name}: the only mode to set is skip, not "{rules.mode}"')
             if rules.skip and rules.where:
-                out.append(f'table "{name}": `where` has no effect with mode: skip')
+                out.append(f"{name}: skipped, so there are no rows for `where`")
             if rules.skip and rules.columns:
-                out.append(f'table "{name}": `columns` has no effect with mode: skip')
+                out.append(f"{name}: skipped, so there are no rows for `columns`")
             out += [
-                f'table "{name}" column "{c}": transform is empty'
+                f"{name}.{c}: the rule is blank"
                 for c in sorted(rules.columns)
                 if not rules.columns[c].strip()
             ]
@@ -158,14 +158,14 @@ def _load_text(source: str | bytes) -> Any:
     except ConfigError:
         raise
     except Exception as e:
-        raise ConfigError([f"error parsing scrub config: {e}"]) from e
+        raise ConfigError([f"the rule set cannot be read: {e}"]) from e
 
 
 def _no_duplicates(pairs):
     out = {}
     for key, value in pairs:
         if key in out:
-            raise ConfigError([f"error parsing scrub config: key `{key}` given twice"])
+            raise ConfigError([f"the rule set cannot be read: `{key}` appears twice"])
         out[key] = value
     return out
 

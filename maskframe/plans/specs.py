@@ -31,7 +31,7 @@ def split_qualified(name: str) -> tuple[str, str]:
     """``public.users`` -> ``("public", "users")``; anything else is an error."""
     parts = name.split(".")
     if len(parts) != 2 or not all(parts):
-        raise ValueError(f'table "{name}" must be schema-qualified, e.g. "public.{name}"')
+        raise ValueError(f'"{name}" is not a table name of the form schema.table')
     return parts[0], parts[1]
 
 
@@ -139,7 +139,7 @@ class TableSpec:
         named = set(max_len) | set(base_type) | not_null | set(generated) | identity | set(defaults)
         unknown = named - set(schema.fieldNames())
         if unknown:
-            raise SpecError(f'table "{name}": no column "{c}"' for c in sorted(unknown))
+            raise SpecError(f"{name}.{c}: no such column" for c in sorted(unknown))
 
         columns = []
         for f in schema.fields:

@@ -47,21 +47,15 @@ class TablePlan:
 
 def table_problems(spec: TableSpec, rules: TableRules) -> list[str]:
     if spec.partitioned:
-        return [
-            f'table "{spec.qualified}" is a partitioned parent and is never exported directly; '
-            "export its leaf partitions instead"
-        ]
+        return [f"{spec.qualified}: a partitioned table has no rows of its own; its leaves have them"]
     out = []
     for name in sorted(rules.columns):
         col = spec.column(name)
-        where = f'table "{spec.qualified}" column "{name}"'
+        where = f"{spec.qualified}.{name}"
         if col is None:
-            out.append(f'table "{spec.qualified}": no column "{name}"')
+            out.append(f"{where}: no such column")
         elif col.generated is not None:
-            out.append(
-                f"{where}: generated columns are not exported and are recomputed on restore; "
-                "remove the rule"
-            )
+            out.append(f"{where}: generated from other columns when loaded, so no rule applies to it")
         elif not rules.skip:
             builtin = transforms.lookup_builtin(rules.columns[name])
             try:
@@ -70,7 +64,7 @@ def table_problems(spec: TableSpec, rules: TableRules) -> list[str]:
             except ValueError as e:
                 out.append(f"{where}: {e}")
     if not out and not rules.skip and not spec.stored:
-        out.append(f'table "{spec.qualified}" has no exportable columns')
+        out.append(f"{spec.qualified}: every column is generated, nothing is left to export")
     return out
 
 
@@ -99,14 +93,11 @@ def plan(specs: Iterable[TableSpec], cfg: ScrubConfig) -> list[TablePlan]:
             plans.append(TablePlan(spec, cfg.rules_for(spec.qualified)))
     for name in cfg.table_names():
         if name not in known:
-            problems.append(f'no table "{name}" in the source')
+            problems.append(f"{name}: no such table")
         elif known[name].partitioned:
-            problems.append(
-                f'table "{name}" is a partitioned parent, so its rules would never apply; '
-                "configure its leaf partitions instead"
-            )
+            problems.append(f"{name}: rules on a partitioned table reach no row; put them on its leaves")
     if not plans and not problems:
-        problems.append("the source contains no tables to export")
+        problems.append("there is no table to export")
     if problems:
         raise PlanError(problems)
     return sorted(plans, key=lambda p: p.spec.qualified)

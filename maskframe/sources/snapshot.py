@@ -46,12 +46,12 @@ def scrubbed_frames(
     for p in plans:
         name = p.spec.qualified
         if name not in tables:
-            problems.append(f'no table "{name}" in the source')
+            problems.append(f"{name}: no such table")
             continue
         try:
             frames[name] = apply_plan(tables[name], p, salt)
         except AnalysisException as e:
-            problems.append(f'table "{name}": {e.getCondition() or "error"} in a rule or filter')
+            problems.append(f"{name}: {e.getCondition() or 'error'} in a rule or filter")
     if problems:
         raise PlanError(problems)
     return frames
@@ -128,7 +128,7 @@ def _export_table(
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
     else:
-        raise ValueError(f'unknown snapshot format "{fmt}", expected one of: parquet, copytext')
+        raise ValueError(f'snapshots are written as parquet or copytext, not "{fmt}"')
     writer.mode("error").save(path)
 
     found = seen.get

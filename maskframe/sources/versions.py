@@ -157,9 +157,7 @@ class Versions:
         roles = self._roles(target)
         found = self.state(target)
         if found == "missing":
-            raise LookupError(
-                f'"{target}" does not exist and there is no backup to restore it from; nothing was changed'
-            )
+            raise LookupError(f'"{target}" has neither a published version nor a backup; left as found')
         changes = []
         if found == "crashed_mid_swap":
             changes.append((roles["backup"][-1], "target"))

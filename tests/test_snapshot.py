@@ -74,10 +74,10 @@ def test_round_trip(spark, tables, tmp_path, fmt):
 
 
 def test_unknown_format_and_stale_rules(spark, tables, tmp_path):
-    with pytest.raises(ValueError, match="unknown snapshot format"):
+    with pytest.raises(ValueError, match='not "csv"'):
         take(spark, tables, tmp_path, fmt="csv")
     stale = ScrubConfig.parse({"version": 1, "tables": {"public.absent": {"mode": "skip"}}})
-    with pytest.raises(PlanError, match='no table "public.absent"'):
+    with pytest.raises(PlanError, match="public.absent: no such table"):
         take(spark, tables, tmp_path / "x", cfg=stale)
     assert not (tmp_path / "x").exists()
 
@@ -168,7 +168,7 @@ def test_alignment(spark):
     out = load.recompute_generated(load.align(df, target), target)
     assert out.dtypes == [("b", "string"), ("c", "string"), ("a", "bigint"), ("d", "int"), ("g", "string")]
     assert tuple(out.first()) == ("x", "dflt", 1, None, "xdflt")
-    with pytest.raises(ValueError, match="no column for: a, b"):
+    with pytest.raises(ValueError, match="no place for a, b"):
         load.align(df, TableSpec.from_df("public.t", spark.range(1)))
 
 
@@ -256,7 +256,7 @@ def test_recovery(spark, tmp_path):
     assert versions.recover("core") == "crashed_mid_swap"
     assert [(r["name"], r["role"]) for r in versions.current().collect()] == [(a, "target")]
     versions._append("core", [(a, "dropped"), (c, "dropped")])
-    with pytest.raises(LookupError, match="nothing was changed"):
+    with pytest.raises(LookupError, match="left as found"):
         versions.recover("core")
 
 
