@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,12 @@ def content_measures(schema: T.StructType) -> dict[str, Column]:
     }
 
 
+def content_sha256(found: Mapping[str, Any]) -> str:
+    """The digest made of observed measures; ``content_digest`` gives the same as a column."""
+    text = f"{found['rows']}:{found['hash_xor']}:{found['hash_sum']}"
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def content_digest(df: DataFrame) -> DataFrame:
     """One row: (rows, content_sha256), the same for any order and any file layout."""
     measured = df.agg(*[c.alias(n) for n, c in content_measures(df.schema).items()])

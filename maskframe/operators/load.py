@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digests import content_measures
 from ..functions.transforms import source_column
 from ..plans.specs import TableSpec
 from ..sources.copyfiles import read_copytext
 from ..sources.manifests import Manifest, TableEntry
-from ..sources.snapshot import COPYTEXT
+from ..sources.snapshot import COPYTEXT, PARQUET
 from .reports import one_row_to_rows, report_row, union_all
 
 Migration = Callable[[DataFrame], DataFrame]
@@ -66,10 +67,13 @@ def load(
     manifest: Manifest,
     targets: Sequence[TableSpec],
     migrations: Mapping[str, Migration] | None = None,
+    observed: dict[str, Observation] | None = None,
 ) -> dict[str, DataFrame]:
     """Every table of a snapshot, aligned to its target, migrated and completed.
 
-    Lazy: the rows move when the frames are written or audited.
+    Lazy: the rows move when the frames are written or audited. ``observed`` takes
+    an observation per Parquet table: the content digest of the rows as they are
+    read, which is there once the frame has been written.
     """
     migrations = migrations or {}
     by_name = {t.qualified: t for t in targets}
@@ -79,7 +83,14 @@ def load(
     out = {}
     for entry in manifest.tables:
         target = by_name[entry.qualified]
-        df = recompute_generated(align(read_entry(spark, entry, target), target), target)
+        stored = read_entry(spark, entry, target)
+        if observed is not None and entry.format == PARQUET:
+            observed[entry.qualified] = Observation()
+            measures = content_measures(stored.schema)
+            stored = stored.observe(
+                observed[entry.qualified], *[c.alias(n) for n, c in measures.items()]
+            )
+        df = recompute_generated(align(stored, target), target)
         migrate = migrations.get(entry.qualified)
         out[entry.qualified] = df if migrate is None else df.transform(migrate)
     return out

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import content_sha256
 from ..functions.names import MIN_SERVER_MAJOR
 from ..operators import audits, load, registry
 from ..operators.profile import table_profile
 from ..plans.specs import TableSpec
+from ..workspace import path_exists
 from .layout import Layout
 from .manifests import Manifest, read_manifest, read_manifests
 from .snapshot import changed_digests
@@ -61,19 +63,23 @@ def restore(
     migrations: Mapping[str, load.Migration] | None = None,
     keep: int = 1,
     workers: int = 4,
-    verify_files: bool = True,
+    verify_files: bool = False,
     profile: bool = False,
 ) -> Restored:
     """Load a snapshot beside the published version and replace that only if every check passed.
 
     What an interrupted run left behind is resolved first. A failure at any later
-    point drops the staged version and leaves the target as it was.
+    point drops the staged version and leaves the target as it was. The content of
+    Parquet tables is checked against the manifest while they are loaded;
+    ``verify_files`` also hashes every file first, which reads the snapshot twice.
     """
     target = target or database
     if versions.state(target) in ("orphaned_staging", "crashed_mid_swap"):
         versions.recover(target)
     layout, manifest = select_snapshot(spark, root, database, ts, target_major)
     if verify_files and manifest.loadable():
+        if not path_exists(spark, layout.digests):
+            raise SnapshotRefused(f"snapshot {layout.ts} has no file digests")
         changed = changed_digests(spark, layout).groupBy("table").agg(F.count(F.lit(1)).alias("n"))
         broken = [f"{r['table']}: {r['n']} files changed" for r in changed.collect()]
         if broken:
@@ -81,13 +87,21 @@ def restore(
 
     migrations = migrations or {}
     loaded = load.load(spark, manifest, targets)
+    observed: dict[str, Observation] = {}
+    checked = load.load(spark, manifest, targets, observed=observed)
     largest_first = [t.qualified for t in manifest.loadable()]
     written = {
-        t: loaded[t].transform(migrations[t]) if t in migrations else loaded[t]
+        t: checked[t].transform(migrations[t]) if t in migrations else checked[t]
         for t in [*largest_first, *(n for n in loaded if n not in largest_first)]
     }
     name = versions.stage(target, written, workers)
     try:
+        wrong = [
+            t for t, seen in sorted(observed.items())
+            if content_sha256(seen.get) != manifest.entry(t).content_sha256
+        ]
+        if wrong:
+            raise SnapshotRefused(f"content differs from the manifest: {', '.join(wrong)}")
         staged = {t: versions.read_version(target, name, t) for t in written}
         # Counts and constraints are those of the rows as loaded, before a migration changes them.
         as_loaded = {t: loaded[t] if t in migrations else staged[t] for t in loaded}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -72,11 +71,14 @@ def snapshot(
     server_major: int = MIN_SERVER_MAJOR,
     sequences: Sequence[dict[str, Any]] = (),
     rows_per_file: int | None = None,
+    hash_files: bool = True,
 ) -> Snapshot:
     """Export all tables and write the manifest.
 
     ``tables`` must be opened beforehand, all of them, so that they are read as of
-    one moment. Only counts and digests come back to the driver.
+    one moment. Only counts and digests come back to the driver. ``hash_files`` reads
+    what was written once more, for a SHA-256 of every file; the content digest, which
+    a restore checks as well, comes from the pass that writes.
     """
     salt = salt or new_salt()
     plans = plan(specs, cfg)
@@ -88,7 +90,7 @@ def snapshot(
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         entries = list(pool.map(inheritable_thread_target(spark)(export), plans))
-    entries = _with_file_digests(spark, layout, entries)
+    entries = _with_file_digests(spark, layout, entries, hash_files)
 
     manifest = Manifest(
         database=database,
@@ -132,46 +134,55 @@ def _export_table(
     writer.mode("error").save(path)
 
     found = seen.get
-    content = f"{found['rows']}:{found['hash_xor']}:{found['hash_sum']}"
     return replace(
         entry,
         row_count=found["rows"],
         file=path,
         format=fmt,
-        content_sha256=hashlib.sha256(content.encode()).hexdigest(),
+        content_sha256=digests.content_sha256(found),
     )
 
 
-def file_digests(spark: SparkSession, layout: Layout) -> DataFrame:
-    """(table, file, bytes, sha256) of every data file of a snapshot, from the bytes that landed.
-
-    A file is one row while it is hashed, so part files must stay well below 2 GB;
-    Spark refuses to read a longer one.
-    """
+def data_files(spark: SparkSession, layout: Layout) -> DataFrame:
+    """(table, file, bytes, content) of every data file of a snapshot; unused content is not read."""
     files = spark.read.format("binaryFile").load(f"{layout.folder}/data/*")
     return files.select(
         F.regexp_extract("path", r"/data/([^/]+)/[^/]+$", 1).alias("table"),
         F.regexp_extract("path", r"/([^/]+)$", 1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        F.col("length").alias("bytes"), "content",
     )
 
 
+def file_digests(spark: SparkSession, layout: Layout) -> DataFrame:
+    """(table, file, bytes, sha256) from the bytes that landed.
+
+    A file is one row while it is hashed, so part files must stay well below 2 GB;
+    Spark refuses to read a longer one.
+    """
+    files = data_files(spark, layout)
+    return files.select("table", "file", "bytes", F.sha2("content", 256).alias("sha256"))
+
+
 def _with_file_digests(
-    spark: SparkSession, layout: Layout, entries: list[TableEntry]
+    spark: SparkSession, layout: Layout, entries: list[TableEntry], hash_files: bool
 ) -> list[TableEntry]:
     """One pass over all files. Digests per file stay a table beside the data."""
     if not any(e.file for e in entries):
         return entries
-    file_digests(spark, layout).write.mode("error").parquet(layout.digests)
-    stored = spark.read.parquet(layout.digests)
+    if hash_files:
+        file_digests(spark, layout).write.mode("error").parquet(layout.digests)
+        stored = spark.read.parquet(layout.digests)
+    else:
+        unknown = F.lit(None).cast("string").alias("sha256")
+        stored = data_files(spark, layout).select("table", "bytes", unknown)
     sums = stored.groupBy("table").agg(
         *digests.combine_sha256(F.col("sha256")),
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
     )
     sums = sums.select(
         "table", "files", "bytes",
-        digests.combined_sha256(F.col("files"), F.col("bytes")).alias("sha256"),
+        F.when(F.col("w0").isNotNull(), digests.combined_sha256(F.col("files"), F.col("bytes")))
+        .alias("sha256"),
     )
     by_table = {r["table"]: r for r in sums.collect()}  # one row per table
     out = []

@@ -124,8 +124,12 @@ def test_changed_and_missing_files_are_found(spark, tables, tmp_path):
     part.rename(tmp_path / "gone")
     found = changed_digests(spark, taken.layout).collect()
     assert [(r["table"], r["sha256"]) for r in found] == [("public.orders", None)]
+    versions = Versions(spark, str(tmp_path / "v"))
     with pytest.raises(SnapshotRefused, match="public.orders: 1 files changed"):
-        restore(spark, str(tmp_path), "core", specs_of(tables), Versions(spark, str(tmp_path / "v")))
+        restore(spark, str(tmp_path), "core", specs_of(tables), versions, verify_files=True)
+    with pytest.raises(SnapshotRefused, match="content differs from the manifest: public.orders"):
+        restore(spark, str(tmp_path), "core", specs_of(tables), versions)
+    assert versions.current().count() == 0
     loaded = load.load(spark, taken.manifest, specs_of(tables))
     counts = spark.createDataFrame([("public.orders", 2)], "table string, rows bigint")
     short = load.row_counts({"public.orders": loaded["public.orders"]})
@@ -134,6 +138,29 @@ def test_changed_and_missing_files_are_found(spark, tables, tmp_path):
     assert load.reconcile_report(load.reconcile(counts, short)).first()["violations"] > 0
 
 
+def test_file_hashes_are_optional(spark, tables, tmp_path):
+    taken = take(spark, tables, tmp_path, hash_files=False)
+    entry = taken.manifest.entry("public.orders")
+    assert entry.sha256 is None and entry.files > 0 and entry.bytes > 0 and len(entry.content_sha256) == 64
+    restore(spark, str(tmp_path), "core", specs_of(tables), Versions(spark, str(tmp_path / "v")))
+    with pytest.raises(SnapshotRefused, match="no file digests"):
+        restore(spark, str(tmp_path), "core", specs_of(tables), Versions(spark, str(tmp_path / "v")), verify_files=True)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "copytext"])
+def test_swapped_content_is_found(spark, tables, tmp_path, fmt):
+    """Same number of rows, another value: counts agree, the digest does not."""
+    taken = take(spark, tables, tmp_path, fmt=fmt)
+    folder = Path(taken.layout.data("public.orders"))
+    folder.rename(tmp_path / "aside")
+    other = {**tables, "public.orders": tables["public.orders"].withColumn("total", F.col("total") + 1)}
+    forged = take(spark, other, tmp_path / "forged", fmt=fmt)
+    Path(forged.layout.data("public.orders")).rename(folder)
+    versions = Versions(spark, str(tmp_path / "v"))
+    with pytest.raises(SnapshotRefused, match="public.orders"):
+        restore(spark, str(tmp_path), "core", specs_of(tables), versions, verify_files=fmt == "copytext")
+
+
 def test_pinned_reads(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).write.parquet(path)
