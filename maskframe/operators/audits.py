@@ -183,7 +183,7 @@ def _per_column_report(
     """A column without a single value has no group; it is reported as 0 all the same."""
     zero = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(0).cast("bigint").alias("n")) for c in columns])
     spark = counted.sparkSession
-    all_columns = spark.range(1).select(F.inline(zero))
+    all_columns = spark.range(0, 1, 1, 1).select(F.inline(zero))
     return (
         counted.select("column", F.col("n").cast("bigint").alias("n"))
         .unionByName(all_columns)

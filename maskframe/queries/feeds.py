@@ -37,7 +37,7 @@ def publication_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spec = PublicationSpec(
         "changes", ("insert", "update"),
-        {"public.events": PublishedTable(("event_id", "user_id", "value"), "value > 10")}, _LEAVES,
+        {"public.events": PublishedTable(("event_id", "user_id", "value"), "value > 10")}, roots=_LEAVES,
     )
     return apply_publication(changes, spec, "public.events")
 
@@ -97,7 +97,8 @@ def stream_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("op", _operation())
     events.write.parquet(source)
     spec = PublicationSpec(
-        "inserts", ("insert",), {"public.events": PublishedTable(("event_id", "value"), "value > 10")}, _LEAVES
+        "inserts", ("insert",), {"public.events": PublishedTable(("event_id", "value"), "value > 10")},
+        roots=_LEAVES,
     )
     stream = read_folder(spark, source, events.schema)
     write_folder(apply_publication(stream, spec, "public.events"), sink).awaitTermination()

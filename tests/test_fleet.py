@@ -353,14 +353,17 @@ def test_apply_publication(spark):
         FEED,
     )
     listed = PublishedTable(("id", "tenant"), "tenant = 'acme'")
-    pub = PublicationSpec("p", ("insert", "update"), {"public.orders": listed}, {"public.orders_2024": "public.orders"})
+    pub = PublicationSpec("p", ("insert", "update"), {"public.orders": listed}, roots={"public.orders_2024": "public.orders"})
     out = apply_publication(feed, pub, "public.orders")
     assert rows(out) == [("public.orders", "insert", 1, "acme"), ("public.orders", "update", 4, "acme")]
     everything = PublicationSpec("q", tables={"public.orders": PublishedTable()})
     assert apply_publication(feed, everything, "public.orders").columns == feed.columns
     assert apply_publication(feed, everything, "public.orders").count() == 4
-    with pytest.raises(ValueError, match="does not publish"):
-        apply_publication(feed, pub, "public.users")
+    for whole in (PublicationSpec("r", all_tables=True), PublicationSpec("s", schemas=("public",))):
+        assert apply_publication(feed, whole, "public.users").count() == 1
+    for other in (pub, PublicationSpec("t", schemas=("private",))):
+        with pytest.raises(ValueError, match="does not publish"):
+            apply_publication(feed, other, "public.users")
 
 
 def test_updates_across_the_filter(spark):
