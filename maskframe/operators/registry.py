@@ -35,8 +35,10 @@ def _neighbours(registry: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     number = timestamp_number(F.col("ts")).alias("n")
     taken = registry.select(*by, number).distinct().withColumn("day", F.expr("n DIV 1000000"))
-    # Stated once for both uses below, so that both read the same shuffle.
-    taken = taken.dropna(subset=[*by, "n", "day"])
+    # Stated here for both uses below; otherwise the join adds it to one of them only,
+    # and they no longer read the same shuffle.
+    for c in (*by, "n", "day"):
+        taken = taken.filter(F.col(c).isNotNull())
     in_day = Window.partitionBy(*by, "day").orderBy("n")
     taken = taken.select(
         "*", F.lag("n").over(in_day).alias("before"), F.lead("n").over(in_day).alias("after")

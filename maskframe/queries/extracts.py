@@ -119,12 +119,12 @@ EXTRACTS: dict[str, str] = {
         SELECT 'db_' || CAST(user_id AS STRING) AS database, {stamp("ts")} AS ts,
                event_type <> 'error' AS has_manifest
         FROM {{events}}""",
-    "snapshot_columns": f"""
+    "snapshot_columns": """
         SELECT 'db_' || CAST(l_suppkey AS STRING) AS database,
-               {stamp("date_trunc('month', l_shipdate)")} AS ts,
+               CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS STRING) || 'T000000Z' AS ts,
                'public.t' || CAST(l_linenumber AS STRING) AS "table",
                lower(l_returnflag || l_linestatus) AS "column"
-        FROM {{lineitem}}""",
+        FROM {lineitem}""",
     "instance_databases": f"""
         SELECT DISTINCT 'core_' || CAST(o_custkey AS STRING) AS target,
                CASE o_orderstatus
