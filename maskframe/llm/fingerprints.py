@@ -63,7 +63,7 @@ def minima(shingles: Iterable[np.ndarray]) -> np.ndarray:
 
 def fingerprints(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
     """Texts x ``PLACES`` of 16 bits."""
-    return (minima(shingle_hashes(t, width) for t in texts) >> np.uint64(48)).astype(">u2")
+    return (minima(shingle_hashes(t, width) for t in texts) >> np.uint64(48)).astype("<u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        ids, texts, prints = [], [], np.zeros((0, PLACES), ">u2")  # the row that waits for the next one
+        ids, texts, prints = [], [], np.zeros((0, PLACES), "<u2")  # the row that waits for the next one
 
         def edge(name: str, doc_id, text: str, own: np.ndarray) -> pa.RecordBatch:
             row = {"doc_id": doc_id, "fingerprint": own.tobytes(), "part": part, "edge": name, "text": text}
@@ -156,7 +156,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     def close(frames):
         for frame in frames:
             prints, following = (
-                np.array([np.frombuffer(p, ">u2") for p in frame[c]]).reshape(-1, PLACES) for c in ("fingerprint", "next_print")
+                np.array([np.frombuffer(p, "<u2") for p in frame[c]]).reshape(-1, PLACES) for c in ("fingerprint", "next_print")
             )
             ids = frame["doc_id"].astype("Int64")
             yield pd.DataFrame(_rows(ids, frame["text"].tolist(), frame["next_text"].tolist(), prints, following))

@@ -5,8 +5,9 @@ remainders is how many there are of each length, at most ``window - 1`` numbers,
 from these counts and is as small for any number of documents. The longest remaining length is placed, and a
 bitset holds which sums the other lengths, each as often as it is left, can reach: bit s is set if some multiset
 sums to s. The best reachable fill is traced back to the multiset behind it, and the same
-multiset is used as often as the counts allow, which uses up at least one length, so there are at most
-``window - 1`` different fills. Documents then take the places of their length in the plan by their rank in it.
+multiset is used as often as the counts allow, until some length has fewer pieces left than the fill takes of
+it. That happens to a length n at most ``window / n`` times, so there are at most about ``window * ln(window)`` fills, whatever
+the number of documents. Documents then take the places of their length in the plan by their rank in it.
 """
 
 from __future__ import annotations

@@ -207,25 +207,26 @@ def _block_words(docs: DataFrame, path: str) -> DataFrame:
 
 def decoded(table: Table, ids) -> str:
     """The text of ids: pieces in a row, runs of bytes as UTF-8, the space mark as a space, without the one put in front."""
-    out, run = [], b""
+    out, run, begun = [], b"", False
     for i in ids:
         text = table.texts[i]
         if isinstance(text, bytes):
-            run += text
+            run, begun = run + text, True
             continue
         if run:
             out.append(run.decode("utf-8", "replace"))
             run = b""
-        out.append(text)
+        out.append(text if begun else text.removeprefix("▁"))
+        begun = begun or bool(text)
     if run:
         out.append(run.decode("utf-8", "replace"))
-    return "".join(out).replace("▁", " ").removeprefix(" ")
+    return "".join(out).replace("▁", " ")
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, with_ids: bool = False) -> DataFrame:
     """For each row: ``doc_id``, ``n_pieces``, ``ids_crc32`` (little-endian unsigned 32-bit ids), ``decoded_sha256``; perhaps ``ids``.
 
-    The ids are those of the path with the highest sum of the table's scores, as SentencePiece finds it for
+    The ids are those of the path with the highest sum of the table's scores, as SentencePiece's lattice finds it for
     unigram models. ``decoded_sha256`` is of the text that the ids decode to (lowercase hex, UTF-8).
 
     - A null or empty text has no pieces and decodes to an empty text.

@@ -59,7 +59,7 @@ def _blocks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         dim = int(frame["dim"].iloc[0])
-        numbers = np.array([np.frombuffer(b, "<i8") for b in frame["numbers"]], np.int64).reshape(-1, dim)
+        numbers = np.array([np.frombuffer(b, "<i8") for b in frame["numbers"]], np.int64).reshape(len(frame), dim)
         ids = frame["vec_id"].to_numpy(np.int64)
         lengths = _lengths(numbers)
         order = np.lexsort((ids, -lengths))

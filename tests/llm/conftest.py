@@ -1,0 +1,51 @@
+import random
+
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    return str(tmp_path)
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls in every column, empty and blank texts, ties, repeated rows, no spaces, marks, many characters."""
+    rnd = random.Random(5)
+    long = " ".join(rnd.choice(["alpha", "Beta", "gamma,", "delta.", "épsilon"]) for _ in range(30_000))
+    rows = [
+        (1, None, "en", "s", 0), (2, "", None, None, None), (3, "   \n\t", "en", "s", 5), (4, "one two three", "en", "s", 13),
+        (5, "one two three", "de", "t", 13), (5, "one two three", "de", "t", 13), (6, "ONE two THREE", "de", None, 13), (7, long, "en", "s", len(long)),
+        (8, long + " omega", None, "s", None), (9, "x" * 50_000, "en", "s", 50_000), (10, "日本語 テキスト ☃ \U0001F600 İ ß", "fr", "s", 20),
+        (11, "12 34 !!", "fr", "s", 8), (12, "<|endoftext|> a<|endoftext|>", "fr", "s", 28), (13, "tab\tand\x0bmore\x1cx", "fr", "s", 15),
+        (14, "a@b.c " * 400 + "4111 1111 1111 1111 or +1 (724) 555-3457 or 42.144.35.254 or 999.1.1.1", "en", "s", 2470),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clashing(df):
+    """The table with further columns named as the operators' own."""
+    from pyspark.sql import functions as F
+
+    for c in ("spans", "k1", "k2", "node", "comp", "band", "block", "digest", "content", "n_tokens", "rank", "part", "start", "slot"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="session")
+def with_clashes(odd):
+    return clashing(odd)
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+SF = "/root/testdata/sf0.001"
