@@ -36,6 +36,11 @@ def _measures(spec: TableSpec) -> list[tuple[str, str, Column]]:
     return out
 
 
+def row_measures(spec: TableSpec) -> dict[str, Column]:
+    """The per-row checks as aggregates to observe in a pass that is made anyway."""
+    return {f"m{i}": value for i, (_, _, value) in enumerate(_measures(spec))}
+
+
 def audit_columns(
     df: DataFrame, spec: TableSpec, kinds: Iterable[str] = ("not_null", "max_len", "check")
 ) -> DataFrame | None:
@@ -62,13 +67,17 @@ def audit_check(df: DataFrame, spec: TableSpec) -> DataFrame | None:
     return audit_columns(df, spec, ["check"])
 
 
+def _counted_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each key value without a NULL, and its rows; a column's name may hold any character."""
+    whole = df
+    for c in key:
+        whole = whole.filter(source_column(c).isNotNull())
+    return whole.groupBy(*[source_column(c).alias(c) for c in key]).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key values held by more than one row, with how many. NULLs never collide."""
-    return (
-        df.select(*key).dropna(subset=list(key))
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > 1)
-    )
+    return _counted_keys(df, key).filter(F.col("rows") > 1)
 
 
 def audit_unique(df: DataFrame, spec: TableSpec) -> DataFrame | None:
@@ -91,17 +100,16 @@ def fk_orphans(
     Both sides are reduced to distinct keys before they meet. A caller that knows
     the parent key is unique saves the parent that step.
     """
-    child_keys = (
-        child.select(*[source_column(c) for c in fk.columns])
-        .dropna(subset=list(fk.columns))
-        .groupBy(*fk.columns).agg(F.count(F.lit(1)).alias("rows"))
-    )
-    parent_keys = parent.select(
-        *[source_column(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns, strict=True)]
+    places = [f"k{i}" for i in range(len(fk.columns))]
+    child_keys = _counted_keys(child, fk.columns).select(
+        *[source_column(c).alias(k) for c, k in zip(fk.columns, places, strict=True)], "rows"
     )
+    parent_keys = parent.select(*[source_column(p).alias(k) for p, k in zip(fk.parent_columns, places, strict=True)])
     if not parent_unique:
         parent_keys = parent_keys.distinct()
-    return child_keys.join(parent_keys, list(fk.columns), "left_anti")
+    return child_keys.join(parent_keys, places, "left_anti").select(
+        *[F.col(k).alias(c) for c, k in zip(fk.columns, places, strict=True)], "rows"
+    )
 
 
 def audit_fk(
@@ -197,12 +205,13 @@ def _per_column_report(
 
 
 def audit_completeness(
-    source: DataFrame, table: str, where: str = "", exported: DataFrame | None = None
+    source: DataFrame, table: str, where: str = "", exported: DataFrame | None = None,
+    recorded: DataFrame | None = None,
 ) -> DataFrame:
     """Source rows must equal kept plus removed, and what was exported must equal kept.
 
-    The filter is counted twice, as true and as not true, so that a read which
-    quietly drops rows cannot satisfy both sums.
+    All three counts of the source come from one read, so a read that is short as a whole fits them.
+    ``recorded`` is a count from elsewhere, the sum of its ``rows``: of the pinned files, or of a manifest.
     """
     keep = F.expr(where) if where else F.lit(True)
     counted = source.agg(
@@ -214,24 +223,29 @@ def audit_completeness(
         counted = counted.withColumn("exported", F.col("kept"))
     else:
         written = exported.agg(F.count(F.lit(1)).alias("exported"))
-        counted = counted.unionByName(written, allowMissingColumns=True).agg(
-            *[F.sum(c).alias(c) for c in ("source_rows", "kept", "removed", "exported")]
-        )
+        counted = counted.unionByName(written, allowMissingColumns=True)
+    known = counted.sparkSession.createDataFrame([], "recorded bigint") if recorded is None else recorded.agg(
+        F.sum("rows").cast("bigint").alias("recorded")
+    )
+    counted = counted.unionByName(known, allowMissingColumns=True).agg(
+        *[F.sum(c).alias(c) for c in ("recorded", "source_rows", "kept", "removed", "exported")]
+    )
     return counted.select(
-        F.lit(table).alias("table"), "source_rows", "kept", "removed", "exported",
+        F.lit(table).alias("table"), "recorded", "source_rows", "kept", "removed", "exported",
         (
-            (F.col("source_rows") == F.col("kept") + F.col("removed"))
+            (F.coalesce("recorded", "source_rows") == F.col("source_rows"))
+            & (F.col("source_rows") == F.col("kept") + F.col("removed"))
             & (F.col("exported") == F.col("kept"))
         ).alias("complete"),
     )
 
 
 def table_reports(
-    spec: TableSpec, frames: Mapping[str, DataFrame], fk_mode: str = FK_VALIDATE
+    spec: TableSpec, frames: Mapping[str, DataFrame], fk_mode: str = FK_VALIDATE, rows_checked: bool = False
 ) -> list[DataFrame]:
-    """Every declared constraint of one table, as independent reports."""
+    """Every declared constraint of one table, as independent reports; ``rows_checked`` leaves the per-row ones out."""
     df = frames[spec.qualified]
-    found = [audit_columns(df, spec), audit_unique(df, spec), audit_fk(spec, frames, fk_mode)]
+    found = [None if rows_checked else audit_columns(df, spec), audit_unique(df, spec), audit_fk(spec, frames, fk_mode)]
     return [f for f in found if f is not None]
 
 

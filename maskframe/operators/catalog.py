@@ -10,9 +10,8 @@ Extracts are plain frames, one row per catalog entry, each with a ``database``:
 - ``roles``: owner, is_member, bypass_rls (what the exporting role is to each owner)
 
 Reports keep one row per column, owner or finding. Nothing gathers a database or
-a table into an array. Joins to per-database, per-owner or per-parent rows are
-salted: one owner may well own most tables. A join on (database, table) needs no
-salt: a table has at most 1,600 columns.
+a table into an array. One owner may well own most tables; adaptive execution splits
+the partitions such joins skew.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import types as T
 
 from ..functions.names import MIN_SERVER_MAJOR, is_user_schema, server_major
 from ..plans.specs import ColumnSpec, TableSpec
-from .skew import salted_join
 
 # Kinds of finding, strongest first.
 NO_SELECT = "no_select"
@@ -92,7 +90,7 @@ def tables(classes: DataFrame, inherits: DataFrame) -> DataFrame:
         "database", F.col("oid").alias("inhparent"),
         _qualified("nspname", "relname").alias("parent"),
     )
-    links = salted_join(inherits, parents, ["database", "inhparent"], "inner", prune=True)
+    links = inherits.join(parents, ["database", "inhparent"])
     links = links.select("database", F.col("inhrelid").alias("oid"), "parent")
     leaf = found.filter("relispartition").join(links, ["database", "oid"], "left")
     other = found.filter("NOT relispartition").withColumn("parent", F.lit(""))
@@ -201,7 +199,7 @@ def findings(
         "database", _qualified("nspname", "relname").alias("table"),
         F.col("relowner").alias("owner"), F.col("relforcerowsecurity").alias("forced"),
     )
-    secured = salted_join(secured, roles, ["database", "owner"])
+    secured = secured.join(roles, ["database", "owner"], "left")
     bypass = F.coalesce("bypass_rls", F.lit(False))
     member = F.coalesce("is_member", F.lit(False))
     secured = secured.filter(~(bypass | (member & ~F.col("forced"))))

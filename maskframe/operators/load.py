@@ -104,6 +104,15 @@ def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def leaf_counts(parent: DataFrame, leaf: str, table: str) -> DataFrame:
+    """(table, rows) of every leaf of a partitioned table, named by its value of ``leaf``, and of the whole.
+
+    One read and one aggregate for any number of leaves.
+    """
+    name = F.when(F.grouping(leaf) == 1, table).otherwise(F.concat(F.lit(f"{table}_"), F.coalesce(leaf, F.lit("default"))))
+    return parent.rollup(leaf).agg(name.alias("table"), F.count(F.lit(1)).alias("rows")).select("table", "rows")
+
+
 def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows per table that were recorded and that were loaded; both frames are (table, rows)."""
     joined = expected.withColumnRenamed("rows", "expected").join(

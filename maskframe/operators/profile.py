@@ -24,7 +24,9 @@ def table_profile(df: DataFrame, table: str, distinct: bool = True) -> DataFrame
         measures.append(F.count_if(col.isNull()).alias(f"nulls{i}"))
         ordered = not isinstance(f.dataType, _UNORDERED)
         if ordered and not isinstance(f.dataType, _SIZED):
-            measures += [F.min(col).alias(f"min{i}"), F.max(col).alias(f"max{i}")]
+            # Zeros of both signs are equal, and which one an extreme returns is chance.
+            value = col + F.lit(0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col
+            measures += [F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
             low, high = F.col(f"min{i}").cast("string"), F.col(f"max{i}").cast("string")
         else:
             low = high = F.lit(None).cast("string")

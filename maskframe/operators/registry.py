@@ -97,16 +97,19 @@ def columns_added_between(current: DataFrame, before: DataFrame) -> DataFrame:
     )
 
 
-def column_changes(columns: DataFrame) -> DataFrame:
+def column_changes(columns: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """Drift over a whole registry of (database, ts, table, column): what each snapshot changed.
 
+    ``snapshots``: (database, ts) of all complete ones. One that has skipped all its tables has no
+    columns, and only this list knows it; without the list every snapshot must have a column.
     A column of a snapshot counts as present there and as expected in the next one.
     The first snapshot of a database has nothing to compare with and is left out.
-    Keys end in the column, so no group is larger than its copies.
+    Columns are one row each before they meet their snapshot's neighbours.
     """
     qualified = F.concat_ws(".", "table", "column").alias("qualified_column")
-    keyed = columns.select("database", timestamp_number(F.col("ts")).alias("n"), qualified)
-    placed = keyed.join(_neighbours(columns, ["database"]), ["database", "n"])
+    keyed = columns.select("database", timestamp_number(F.col("ts")).alias("n"), qualified).distinct()
+    listed = columns if snapshots is None else snapshots
+    placed = keyed.join(_neighbours(listed, ["database"]), ["database", "n"])
     here = F.struct(
         F.when(F.col("previous").isNotNull(), F.col("n")).alias("n"), F.lit(True).alias("present")
     )
@@ -124,14 +127,14 @@ def column_changes(columns: DataFrame) -> DataFrame:
     )
 
 
-def columns_added(columns: DataFrame) -> DataFrame:
+def columns_added(columns: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """Columns that a snapshot has and the one before it had not."""
-    return column_changes(columns).filter(F.col("change") == "added").drop("change")
+    return column_changes(columns, snapshots).filter(F.col("change") == "added").drop("change")
 
 
-def columns_removed(columns: DataFrame) -> DataFrame:
+def columns_removed(columns: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """The other direction of drift: columns the previous snapshot had."""
-    return column_changes(columns).filter(F.col("change") == "removed").drop("change")
+    return column_changes(columns, snapshots).filter(F.col("change") == "removed").drop("change")
 
 
 def expired(versions: DataFrame, keep: int) -> DataFrame:

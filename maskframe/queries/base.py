@@ -16,7 +16,7 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-SALT = "s4lt"
+SALT = "grain-of-7"
 
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}

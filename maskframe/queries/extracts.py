@@ -33,6 +33,19 @@ EXTRACTS: dict[str, str] = {
                            'Brand#12') AS relrowsecurity,
                p_brand IN ('Brand#7', 'Brand#8', 'Brand#9') AS relforcerowsecurity
         FROM {part}""",
+    "namespaces": """
+        SELECT database, min(oid) AS oid, nspname FROM {classes} GROUP BY database, nspname""",
+    "raw_classes": """
+        SELECT c.database, c.oid, c.relname, n.oid AS relnamespace, c.relkind
+        FROM {classes} c JOIN {namespaces} n ON n.database = c.database AND n.nspname = c.nspname
+        UNION ALL
+        SELECT c.database, 1000000000 + c.oid, c.relname || '_seq', n.oid, 'S'
+        FROM {classes} c JOIN {namespaces} n ON n.database = c.database AND n.nspname = c.nspname""",
+    "depends": """
+        SELECT c.database, 1000000000 + c.oid AS objid, c.oid AS refobjid,
+               CASE c.relkind WHEN 'v' THEN 0 ELSE 1 + length(c.nspname) - 4 END AS refobjsubid,
+               CASE WHEN c.relforcerowsecurity THEN 'n' WHEN c.relispartition THEN 'i' ELSE 'a' END AS deptype
+        FROM {classes} c WHERE c.relowner <> 'owner_brand13'""",
     "inherits": """
         SELECT c.database, c.oid AS inhrelid, p.parent AS inhparent
         FROM {classes} c
@@ -145,6 +158,7 @@ EXTRACTS: dict[str, str] = {
 
 # Each extract and the ones it is made from, in an order in which they can be defined.
 _MADE_FROM = {
+    "namespaces": ["classes"], "raw_classes": ["classes", "namespaces"], "depends": ["classes"],
     "inherits": ["classes"], "attributes": ["classes"], "fleet_rules": ["classes"],
     "skipped": ["classes"], "published": ["classes", "publications"],
 }

@@ -73,7 +73,7 @@ def publication_apply_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT event_id, ts, CAST(NULL AS BIGINT) AS user_id, event_type, value,
-           md5(props || 's4lt') AS props
+           md5(props || 'grain-of-7') AS props
     FROM events WHERE value > 5""")
 def stream_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch scrub on a stream of files, read back from its sink."""

@@ -147,6 +147,23 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.positions(refs, readable, sequences.high_water_by(owned, "owned_by", "value"))
 
 
+@query(with_extracts("""
+    SELECT s.database, n.nspname AS "schema", s.relname AS name,
+           CASE WHEN t.relname IS NOT NULL AND a.attname IS NOT NULL
+                THEN tn.nspname || '.' || t.relname || '.' || a.attname END AS owned_by
+    FROM raw_classes s
+    JOIN namespaces n ON n.database = s.database AND n.oid = s.relnamespace
+    LEFT JOIN depends d ON d.database = s.database AND d.objid = s.oid AND d.deptype IN ('a', 'i') AND d.refobjsubid > 0
+    LEFT JOIN raw_classes t ON t.database = d.database AND t.oid = d.refobjid
+    LEFT JOIN namespaces tn ON tn.database = t.database AND tn.oid = t.relnamespace
+    LEFT JOIN attributes a ON a.database = d.database AND a.attrelid = d.refobjid AND a.attnum = d.refobjsubid
+    WHERE s.relkind = 'S'""", "raw_classes", "namespaces", "depends", "attributes"))
+def sequence_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column owns a sequence, from the raw catalog."""
+    names = ("raw_classes", "namespaces", "depends", "attributes")
+    return sequences.owning_columns(*(extract(spark, sf_dir, n) for n in names))
+
+
 @query(with_extracts(_POSITIONS + " SELECT * FROM positions", *_POSITION_INPUTS))
 def sequence_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _positions(spark, sf_dir)
@@ -388,28 +405,22 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_extracts("," + _DRIFT + """,
-    counted AS (SELECT l.database, l.pubname, count(t.oid) - count(m.oid) AS missing
-        FROM listed l
-        LEFT JOIN publishable t ON t.database = l.database
-        LEFT JOIN published m ON m.database = l.database AND m.pubname = l.pubname AND m.oid = t.oid
-        GROUP BY l.database, l.pubname),
-    chosen AS (SELECT database, pubname FROM (
-        SELECT *, row_number() OVER (PARTITION BY database ORDER BY missing DESC, pubname DESC) AS n
-        FROM counted WHERE missing > 0) WHERE n = 1)
-    SELECT l.database, l.pubname,
+    per AS (SELECT database, count(*) AS enumerated FROM listed GROUP BY database),
+    named AS (SELECT m.database, m.oid, count(DISTINCT m.pubname) AS named FROM published m
+              JOIN listed l ON l.database = m.database AND l.pubname = m.pubname GROUP BY m.database, m.oid)
+    SELECT t.database, p.enumerated, coalesce(n.named, 0) AS named,
            CASE WHEN regexp_full_match(t.nspname, '[a-z_][a-z0-9_]*') THEN t.nspname
                 ELSE '"' || replace(t.nspname, '"', '""') || '"' END || '.' ||
            CASE WHEN regexp_full_match(t.relname, '[a-z_][a-z0-9_]*') THEN t.relname
                 ELSE '"' || replace(t.relname, '"', '""') || '"' END AS "table"
-    FROM chosen l JOIN publishable t ON t.database = l.database
-    WHERE NOT EXISTS (SELECT 1 FROM published m WHERE m.database = l.database
-                      AND m.pubname = l.pubname AND m.oid = t.oid)""",
+    FROM publishable t JOIN per p ON p.database = t.database
+    LEFT JOIN named n ON n.database = t.database AND n.oid = t.oid""",
     "publications", "published_schemas", "published"))
 def publication_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the publication of each database that is furthest behind, what it misses."""
-    chosen = publications.furthest_behind(_coverage(spark, sf_dir))
-    return publications.missing_tables(
-        extract(spark, sf_dir, "classes"), published_tables(spark, sf_dir), chosen
+    """For every table, how many enumerated publications its database has and how many of them name it."""
+    return publications.unpublished(
+        extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "publications"),
+        extract(spark, sf_dir, "published_schemas"), published_tables(spark, sf_dir),
     )
 
 

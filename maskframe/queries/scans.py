@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audits
-from ..operators.load import row_counts
+from ..operators.load import leaf_counts
 from ..operators.reports import union_all
 from ..operators.scrub import scrub
 from ..plans.config import ScrubConfig
-from ..plans.specs import TableSpec
-from ..plans.tables import plan
-from ..sources.tables import open_parquet, pinned_files, read_parent
+from ..sources.tables import pinned_files
 from ..workspace import new_folder
 from .base import SALT, open_tables, query, rules, spec_of, table
 
@@ -29,18 +27,11 @@ def scan_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'public.events_' || event_type AS "table", count(*) AS "rows" FROM events GROUP BY event_type
     UNION ALL SELECT 'public.events', count(*) FROM events""")
 def scan_leaf_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a partitioned table: one leaf per type, the parent never read itself."""
+    """Events as a partitioned table: one leaf per type, read once, whatever the number of leaves."""
     folder = new_folder(spark, "leaves")
     events = table(spark, sf_dir, "events")
     events.withColumn("leaf", F.col("event_type")).write.partitionBy("leaf").parquet(folder)
-    leaves = spark.read.parquet(folder).select("leaf").distinct().collect()  # one row per partition
-    names = sorted(r["leaf"] for r in leaves)
-    frames = open_parquet(spark, {f"public.events_{n}": f"{folder}/leaf={n}" for n in names})
-    specs = [TableSpec.from_df(n, df, parent="public.events") for n, df in frames.items()]
-    specs.append(TableSpec.from_df("public.events", events, kind="partitioned"))
-    exported = {p.spec.qualified: frames[p.spec.qualified] for p in plan(specs, _NO_RULES)}
-    exported["public.events"] = read_parent(frames, specs, "public.events")
-    return row_counts(exported)
+    return leaf_counts(spark.read.parquet(folder), "leaf", "public.events")
 
 
 @query("""
@@ -60,15 +51,15 @@ def scrub_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, md5(c_name || 's4lt') AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+    SELECT c_custkey, md5(c_name || 'grain-of-7') AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def scrub_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
     return scrub(df, spec_of(df, "customer"), rules("customer", c_name="md5"), SALT)
 
 
 @query("""
-    SELECT event_id, md5(nullif(event_type, 'error') || 's4lt') AS a,
-           'REDACTED' AS b, 'user_' || md5(nullif(event_type, 'view') || 's4lt') || '@example.invalid' AS c
+    SELECT event_id, md5(nullif(event_type, 'error') || 'grain-of-7') AS a,
+           'REDACTED' AS b, 'user_' || md5(nullif(event_type, 'view') || 'grain-of-7') || '@example.invalid' AS c
     FROM events""")
 def scrub_md5_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of NULL are NULL; a redacted NULL is the marker."""
@@ -80,7 +71,7 @@ def scrub_md5_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, left(md5(c_name || 's4lt'), 20) AS c_name, c_nationkey, c_acctbal, c_mktsegment
+    SELECT c_custkey, left(md5(c_name || 'grain-of-7'), 20) AS c_name, c_nationkey, c_acctbal, c_mktsegment
     FROM customer""")
 def scrub_md5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
@@ -89,7 +80,7 @@ def scrub_md5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, 'user_' || md5(c_name || 's4lt') || '@example.invalid' AS c_name,
+    SELECT c_custkey, 'user_' || md5(c_name || 'grain-of-7') || '@example.invalid' AS c_name,
            c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
@@ -97,7 +88,7 @@ def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, 'user_' || left(md5(c_name || 's4lt'), 9) || '@example.invalid' AS c_name,
+    SELECT c_custkey, 'user_' || left(md5(c_name || 'grain-of-7'), 9) || '@example.invalid' AS c_name,
            c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def scrub_email_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
@@ -121,7 +112,7 @@ def scrub_redact_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, md5(CAST(o_custkey AS VARCHAR) || 's4lt') AS o_custkey,
+    SELECT o_orderkey, md5(CAST(o_custkey AS VARCHAR) || 'grain-of-7') AS o_custkey,
            'old ' || o_orderstatus AS o_orderstatus, floor(o_totalprice / 1000) * 1000 AS o_totalprice,
            o_orderdate, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'n/a' END AS o_orderpriority
     FROM orders""")
@@ -139,7 +130,7 @@ def scrub_raw_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, md5(c_name || 's4lt') AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+    SELECT c_custkey, md5(c_name || 'grain-of-7') AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def scrub_excludes_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = "c_name || ' <' || c_mktsegment || '>'"
     df = table(spark, sf_dir, "customer").withColumn("display", F.expr(made))
@@ -171,7 +162,7 @@ def scrub_join_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, repeat('*', CAST(length(text) AS INTEGER)) AS text, lang,
-           md5(source || 's4lt') AS source, n_chars
+           md5(source || 'grain-of-7') AS source, n_chars
     FROM documents WHERE lang <> 'en'""")
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
@@ -182,7 +173,7 @@ def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT md5(role || 's4lt') AS role, conv_id, turn, 'user_' || md5(text || 's4lt') || '@example.invalid' AS text
+    SELECT md5(role || 'grain-of-7') AS role, conv_id, turn, 'user_' || md5(text || 'grain-of-7') || '@example.invalid' AS text
     FROM conversations""")
 def scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts are hashed, however long."""
@@ -214,19 +205,35 @@ def filter_before_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT 'public.orders' AS "table", count(*) AS source_rows,
+    SELECT 'public.orders' AS "table", count(*) AS recorded, count(*) AS source_rows,
            count(*) FILTER (o_orderdate >= DATE '1999-01-01') AS kept,
            count(*) FILTER (NOT o_orderdate >= DATE '1999-01-01') AS removed,
            count(*) FILTER (o_orderdate >= DATE '1999-01-01') AS exported, true AS complete FROM orders
     UNION ALL
-    SELECT 'public.lineitem', count(*), count(*), 0, count(*), true FROM lineitem""")
+    SELECT 'public.lineitem', count(*), count(*), count(*), 0, count(*), true FROM lineitem
+    UNION ALL
+    SELECT 'public.customer', count(*), count(*) FILTER (c_acctbal >= 0), count(*) FILTER (c_acctbal >= 0), 0,
+           count(*) FILTER (c_acctbal >= 0), count(*) = count(*) FILTER (c_acctbal >= 0) FROM customer""")
 def audit_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = open_tables(spark, sf_dir, "orders", "lineitem")
+    """Counts beside those of the pinned files; customer is read short, as a policy on its rows would have it."""
+    frames = open_tables(spark, sf_dir, "orders", "lineitem", "customer")
     orders, lineitem = frames["public.orders"], frames["public.lineitem"]
+    recorded = {n: pinned_files(df, n) for n, df in frames.items()}
+    short = frames["public.customer"].filter("c_acctbal >= 0")
     where = "o_orderdate >= date '1999-01-01'"
     kept = scrub(orders, spec_of(orders, "orders"), rules("orders", where=where), SALT)
     folder = new_folder(spark, "kept")
     kept.write.parquet(folder)
     return audits.audit_completeness(
-        orders, "public.orders", where, spark.read.parquet(folder)
-    ).unionByName(audits.audit_completeness(lineitem, "public.lineitem"))
+        orders, "public.orders", where, spark.read.parquet(folder), recorded["public.orders"]
+    ).unionByName(
+        audits.audit_completeness(lineitem, "public.lineitem", recorded=recorded["public.lineitem"])
+    ).unionByName(audits.audit_completeness(short, "public.customer", recorded=recorded["public.customer"]))
+
+
+@query("SELECT * FROM events WHERE ts > now()::TIMESTAMP - INTERVAL '100 years' AND NOT ts > now()::TIMESTAMP - INTERVAL '1 day'")
+def filter_relative_to_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual filter on age, run: both bounds are far from any row's time."""
+    df = table(spark, sf_dir, "events")
+    where = "ts > now() - interval '100 years' AND NOT ts > now() - interval '1 day'"
+    return scrub(df, spec_of(df, "events"), rules("events", where=where), SALT)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import content_digest
 from ..operators import load, registry
 from ..operators.reports import union_all
+from ..operators.sequences import SequenceRef
 from ..plans.config import ScrubConfig
 from ..plans.specs import ForeignKey, TableSpec
 from ..sources.copyfiles import read_copytext, write_copytext
@@ -16,8 +17,8 @@ from ..sources.manifests import (
 )
 from ..sources.restore import restore
 from ..sources.snapshot import COPYTEXT, Snapshot, changed_digests, snapshot
-from ..sources.versions import Versions
-from ..workspace import new_folder
+from ..sources.versions import PublishRefused, Versions
+from ..workspace import new_folder, remove
 from .base import SALT, TABLES, open_tables, query, rules, spec_of, table
 
 _TS = "20240131T000000Z"
@@ -109,7 +110,7 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, 'user_' || md5(c_name || 's4lt') || '@example.invalid' AS c_name, c_nationkey,
+    SELECT c_custkey, 'user_' || md5(c_name || 'grain-of-7') || '@example.invalid' AS c_name, c_nationkey,
            CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer""")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot, read the manifest back, load what it lists."""
@@ -120,7 +121,7 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, text, lang, md5(source || 's4lt') AS source, n_chars FROM documents""")
+    SELECT doc_id, text, lang, md5(source || 'grain-of-7') AS source, n_chars FROM documents""")
 def export_roundtrip_copytext(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = _snapshot(spark, sf_dir, "documents", fmt=COPYTEXT)
     target = spec_of(table(spark, sf_dir, "documents"), "documents")
@@ -131,10 +132,17 @@ def export_roundtrip_copytext(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'public.lineitem' AS "table", count(*) AS row_count, true AS has_files, true AS has_digest,
            CAST(0 AS BIGINT) AS changed_files FROM lineitem
     UNION ALL
-    SELECT 'public.events', count(*), true, true, 0 FROM events""")
+    SELECT 'public.events', count(*), true, true, 0 FROM events
+    UNION ALL
+    SELECT 'public.nation', count(*), true, true, 1 FROM nation
+    UNION ALL
+    SELECT 'public.region', count(*), true, true, 1 FROM region""")
 def export_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file hashed when it landed and hashed again; none may differ."""
-    taken = _snapshot(spark, sf_dir, "lineitem", "events")
+    """Every file digested when it landed and again; afterwards nation has got a file and region has lost one."""
+    taken = _snapshot(spark, sf_dir, "lineitem", "events", "nation", "region")
+    table(spark, sf_dir, "nation").coalesce(1).write.mode("append").parquet(taken.layout.data("public.nation"))
+    lost = spark.read.parquet(taken.layout.table_digests("public.region")).first()["file"]
+    remove(spark, f"{taken.layout.data('public.region')}/{lost}")
     changed = changed_digests(spark, taken.layout).groupBy("table").agg(F.count(F.lit(1)).alias("changed"))
     return _entries(spark, taken).join(changed, "table", "left").select(
         "table", "row_count",
@@ -147,19 +155,30 @@ def export_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT 'public.lineitem' AS "table", count(*) AS "rows", true AS same FROM lineitem
     UNION ALL SELECT 'public.orders', count(*), true FROM orders WHERE o_orderdate >= DATE '1999-01-01'
-    UNION ALL SELECT 'public.embeddings', count(*), true FROM embeddings""")
+    UNION ALL SELECT 'public.embeddings', count(*), true FROM embeddings
+    UNION ALL SELECT 'public.supplier', count(*), false FROM supplier""")
 def table_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest observed while writing equals one computed from what a second export reads."""
     names = ("lineitem", "orders", "embeddings")
     taken = _snapshot(spark, sf_dir, *names)
     again = _snapshot(spark, sf_dir, *names, rows_per_file=5000)
+    # One value of one column is another one.
+    altered = {"public.supplier": open_tables(spark, sf_dir, "supplier")["public.supplier"].withColumn(
+        "s_acctbal", F.when(F.col("s_suppkey") == 1, F.col("s_acctbal") + 0.01).otherwise(F.col("s_acctbal"))
+    )}
+    other = snapshot(spark, altered, _specs(altered), ScrubConfig(), new_folder(spark, "snapshots"), "core", salt=SALT, ts=_TS)
+    before = _snapshot(spark, sf_dir, "supplier", cfg=ScrubConfig())
     digests = union_all(
         content_digest(spark.read.parquet(again.layout.data(f"public.{n}"))).select(
             F.lit(f"public.{n}").alias("table"), "rows", F.col("content_sha256").alias("second")
         )
         for n in names
     )
-    return digests.join(_entries(spark, taken), "table").select(
+    changed = content_digest(spark.read.parquet(other.layout.data("public.supplier"))).select(
+        F.lit("public.supplier").alias("table"), "rows", F.col("content_sha256").alias("second")
+    )
+    recorded = _entries(spark, taken).unionByName(_entries(spark, before))
+    return digests.unionByName(changed).join(recorded, "table").select(
         "table", "rows", (F.col("content_sha256") == F.col("second")).alias("same")
     )
 
@@ -196,7 +215,7 @@ def copytext_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT s_acctbal, md5(s_name || 's4lt') AS s_name, 'EU' AS s_region, s_suppkey,
+    SELECT s_acctbal, md5(s_name || 'grain-of-7') AS s_name, 'EU' AS s_region, s_suppkey,
            CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(NULL AS VARCHAR) AS s_note FROM supplier""")
 def load_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target with another column order, a wider type, a defaulted and an empty column."""
@@ -209,8 +228,8 @@ def load_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT s_suppkey, md5(s_name || 's4lt') AS s_name, s_nationkey, s_acctbal,
-           md5(s_name || 's4lt') || ' <' || CAST(s_nationkey AS VARCHAR) || '>' AS display FROM supplier""")
+    SELECT s_suppkey, md5(s_name || 'grain-of-7') AS s_name, s_nationkey, s_acctbal,
+           md5(s_name || 'grain-of-7') || ' <' || CAST(s_nationkey AS VARCHAR) || '>' AS display FROM supplier""")
 def load_generated_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = "s_name || ' <' || cast(s_nationkey AS string) || '>'"
     source = table(spark, sf_dir, "supplier").withColumn("display", F.expr(made))
@@ -254,7 +273,7 @@ def load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, 'user_' || md5(c_name || 's4lt') || '@example.invalid' AS email, c_nationkey,
+    SELECT c_custkey, 'user_' || md5(c_name || 'grain-of-7') || '@example.invalid' AS email, c_nationkey,
            c_acctbal, c_mktsegment, c_mktsegment = 'BUILDING' AS builder FROM customer""")
 def load_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A migration step between load and audit: renames a column and adds one."""
@@ -318,5 +337,52 @@ def drift_between_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     wider = frames["public.customer"].withColumn("c_segment", F.lower("c_mktsegment"))
     frames["public.customer"] = wider
     snapshot(spark, frames, _specs(frames), ScrubConfig(), root, "core", salt=SALT, ts=_TS)
-    columns = column_entries(table_entries(read_manifests(spark, root)))
-    return registry.columns_added(columns).select("database", "qualified_column")
+    taken = read_manifests(spark, root)
+    columns = column_entries(table_entries(taken))
+    return registry.columns_added(columns, taken).select("database", "qualified_column")
+
+
+@query("""
+    SELECT change, 'public.region.' || column_name AS qualified_column
+    FROM information_schema.columns, (SELECT 'added' AS change UNION ALL SELECT 'removed') WHERE table_name = 'region'""")
+def drift_over_a_skipped_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full, skipped, full: the second snapshot has no column and is there all the same."""
+    root = new_folder(spark, "snapshots")
+    skip = ScrubConfig.parse({"version": 1, "tables": {"public.region": {"mode": "skip"}}})
+    for ts, cfg in (("20240129T000000Z", ScrubConfig()), ("20240130T000000Z", skip), (_TS, ScrubConfig())):
+        _snapshot(spark, sf_dir, "region", cfg=cfg, root=root, ts=ts)
+    taken = read_manifests(spark, root)
+    found = registry.column_changes(column_entries(table_entries(taken)), taken)
+    return found.select("change", "qualified_column")
+
+
+@query("""
+    SELECT 'public' AS "schema", 'orders_seq' AS name, max(o_orderkey) + 1 AS next_value FROM orders
+    WHERE o_orderdate >= DATE '1999-01-01'
+    UNION ALL SELECT 'public', 'customer_seq', CAST(7001 AS BIGINT)""")
+def restore_next_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions found while a snapshot is written, and what a restored version hands out next."""
+    root, versions = new_folder(spark, "snapshots"), Versions(spark, new_folder(spark, "versions"))
+    refs = [
+        SequenceRef("public", "orders_seq", "public.orders.o_orderkey"),
+        SequenceRef("public", "customer_seq", "public.customer.c_custkey", readable=True, last_value=7000),
+        SequenceRef("public", "free_seq"),
+    ]
+    _snapshot(spark, sf_dir, "orders", "customer", root=root, sequence_refs=refs)
+    restore(spark, root, "core", _specs(open_tables(spark, sf_dir, "orders", "customer")), versions)
+    return versions.next_values("core")
+
+
+@query("SELECT * FROM customer")
+def publish_refused_after_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A migration that breaks a key is found in what would be published; readers keep the version before."""
+    root, versions = new_folder(spark, "snapshots"), Versions(spark, new_folder(spark, "versions"))
+    target = spec_of(table(spark, sf_dir, "customer"), "customer", not_null=["c_custkey"], unique=[["c_custkey"]])
+    _snapshot(spark, sf_dir, "customer", cfg=ScrubConfig(), root=root)
+    restore(spark, root, "core", [target], versions)
+    broken = {"public.customer": lambda df: df.withColumn("c_custkey", F.lit(None).cast("bigint"))}
+    try:
+        restore(spark, root, "core", [target], versions, migrations=broken)
+    except PublishRefused:
+        return versions.read("core", "public.customer")
+    raise AssertionError("a version with a broken key was published")

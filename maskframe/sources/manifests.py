@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import path_exists
-from .layout import Layout
+from .layout import Layout, path_part
 
 ARTIFACT_VERSION = 1
 
@@ -127,24 +127,28 @@ class Manifest:
 
 def write_manifest(spark: SparkSession, layout: Layout, manifest: Manifest) -> None:
     """Written last, as one document. A snapshot without it does not exist."""
-    row = spark.range(0, 1, 1, 1).select(F.lit(manifest.to_json()).alias("value"))
+    stored = replace(manifest, tables=tuple(replace(t, file=layout.relative(t.file)) for t in manifest.tables))
+    row = spark.range(0, 1, 1, 1).select(F.lit(stored.to_json()).alias("value"))
     row.write.mode("error").text(layout.manifest)
 
 
 def read_manifest(spark: SparkSession, layout: Layout) -> Manifest:
-    return Manifest.from_json(spark.read.text(layout.manifest, wholetext=True).first()["value"])
+    """The document, with the places of data below the folder it was read from."""
+    found = Manifest.from_json(spark.read.text(layout.manifest, wholetext=True).first()["value"])
+    return replace(found, tables=tuple(replace(t, file=layout.resolve(t.file)) for t in found.tables))
 
 
 def read_manifests(spark: SparkSession, root: str, database: str = "*") -> DataFrame:
-    """Every complete snapshot below a root: (database, ts) from its place, and the document."""
-    place = f"{root.rstrip('/')}/{database}/*/manifest.json"
+    """Every complete snapshot below a root: its database as the document says, ``ts`` from its place."""
+    name = database if database == "*" else path_part(database)
+    place = f"{root.rstrip('/')}/{name}/*/manifest.json"
     if path_exists(spark, place):
         docs = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(place)
         docs = docs.withColumn("place", F.col("_metadata.file_path"))
     else:
         docs = spark.createDataFrame([], MANIFEST_SCHEMA).withColumn("place", F.lit(""))
     return docs.select(
-        F.regexp_extract("place", _PLACE, 1).alias("database"),
+        F.coalesce("source.database", F.regexp_extract("place", _PLACE, 1)).alias("database"),
         F.regexp_extract("place", _PLACE, 2).alias("ts"),
         *[c for c in docs.columns if c != "place"],
     ).filter(F.col("ts") != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
@@ -15,21 +15,31 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..functions.names import MIN_SERVER_MAJOR, timestamp_name
-from ..functions.transforms import new_salt
+from ..functions.transforms import new_salt, source_column
 from ..operators.registry import columns_added_between
+from ..operators.reports import union_all
 from ..operators.scrub import apply_plan
+from ..operators.sequences import Mark, SequenceRef, manifest_rows, sequence_positions
 from ..plans.config import ScrubConfig
 from ..plans.specs import TableSpec
 from ..plans.tables import PlanError, TablePlan, plan
+from ..workspace import data_size, path_exists
 from .copyfiles import copytext_writer
 from .layout import Layout
-from .manifests import Manifest, TableEntry, column_entries, read_manifests, table_entries, write_manifest
+from .manifests import (
+    Manifest, TableEntry, column_entries, read_manifest, read_manifests, table_entries, write_manifest,
+)
+from .tables import pinned, unpinned
 
 PARQUET = "parquet"
 COPYTEXT = "copytext"
 DEFAULT_WORKERS = 4
 
 
+class SourceChanged(RuntimeError):
+    """A table would not be read as of one moment."""
+
+
 @dataclass(frozen=True)
 class Snapshot:
     layout: Layout
@@ -70,27 +80,37 @@ def snapshot(
     workers: int = DEFAULT_WORKERS,
     server_major: int = MIN_SERVER_MAJOR,
     sequences: Sequence[dict[str, Any]] = (),
+    sequence_refs: Sequence[SequenceRef] = (),
     rows_per_file: int | None = None,
     hash_files: bool = True,
 ) -> Snapshot:
     """Export all tables and write the manifest.
 
     ``tables`` must be opened beforehand, all of them, so that they are read as of
-    one moment. Only counts and digests come back to the driver. ``hash_files`` reads
-    what was written once more, for a SHA-256 of every file; the content digest, which
-    a restore checks as well, comes from the pass that writes.
+    one moment; a source file that changes before the last job ends refuses the snapshot.
+    Only counts and digests come back to the driver. ``hash_files`` reads what was
+    written once more, for a digest of every file; the content digest, which
+    a restore checks as well, comes from the pass that writes, and so do the high-water
+    marks of ``sequence_refs``. Positions found elsewhere can be given as ``sequences``.
     """
     salt = salt or new_salt()
     plans = plan(specs, cfg)
     frames = scrubbed_frames(tables, plans, salt)
     layout = Layout(root, database, ts or timestamp_name())
 
-    def export(p: TablePlan) -> TableEntry:
-        return _export_table(frames[p.spec.qualified], p, layout, fmt, rows_per_file)
+    def export(p: TablePlan) -> tuple[TableEntry, list[Mark]]:
+        owned = [r.owned_by for r in sequence_refs if r.owned_by and not r.readable]
+        entry, marks = _export_table(frames[p.spec.qualified], p, layout, fmt, rows_per_file, owned)
+        return _with_files(spark, layout, entry, hash_files), marks
 
+    pins = pinned(spark, frames.values())
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        entries = list(pool.map(inheritable_thread_target(spark)(export), plans))
-    entries = _with_file_digests(spark, layout, entries, hash_files)
+        done = list(pool.map(inheritable_thread_target(spark)(export), plans))
+    changed = unpinned(spark, pins)
+    if changed:
+        raise SourceChanged(f"{changed} source files were replaced or removed while the snapshot was taken")
+    entries, positions = [e for e, _ in done], [m for _, marks in done for m in marks]
+    found = manifest_rows(sequence_positions(spark, sequence_refs, positions)) if sequence_refs else list(sequences)
 
     manifest = Manifest(
         database=database,
@@ -99,7 +119,7 @@ def snapshot(
         config_sha256=cfg.sha256(),
         fk_mode=cfg.fk_mode,
         tables=tuple(entries),
-        sequences=tuple(sequences),
+        sequences=tuple(found),
     )
     added = _columns_added(spark, layout, manifest)
     write_manifest(spark, layout, manifest)
@@ -107,8 +127,9 @@ def snapshot(
 
 
 def _export_table(
-    scrubbed: DataFrame, p: TablePlan, layout: Layout, fmt: str, rows_per_file: int | None
-) -> TableEntry:
+    scrubbed: DataFrame, p: TablePlan, layout: Layout, fmt: str, rows_per_file: int | None, owned: Sequence[str]
+) -> tuple[TableEntry, list[Mark]]:
+    """The table written, and the greatest exported value of each of its columns that owns a sequence."""
     entry = TableEntry(
         schema=p.spec.schema,
         name=p.spec.name,
@@ -118,11 +139,14 @@ def _export_table(
         transforms=p.transforms,
     )
     if p.skipped:
-        return entry
+        return entry, []
     path = layout.data(p.spec.qualified)
     seen = Observation()
     measures = digests.content_measures(scrubbed.schema)
-    observed = scrubbed.observe(seen, *[c.alias(n) for n, c in measures.items()])
+    prefix = f"{p.spec.qualified}."
+    columns = [c for c in (o.removeprefix(prefix) for o in owned if o.startswith(prefix)) if c in scrubbed.columns]
+    highest = [F.max(source_column(c)).cast("bigint").alias(f"high{i}") for i, c in enumerate(columns)]
+    observed = scrubbed.observe(seen, *[c.alias(n) for n, c in measures.items()], *highest)
     if fmt == COPYTEXT:
         writer = copytext_writer(observed, **({"rows_per_file": rows_per_file} if rows_per_file else {}))
     elif fmt == PARQUET:
@@ -140,67 +164,69 @@ def _export_table(
         file=path,
         format=fmt,
         content_sha256=digests.content_sha256(found),
-    )
+    ), [(f"{prefix}{c}", found[f"high{i}"]) for i, c in enumerate(columns)]
 
 
-def data_files(spark: SparkSession, layout: Layout) -> DataFrame:
-    """(table, file, bytes, content) of every data file of a snapshot; unused content is not read."""
-    files = spark.read.format("binaryFile").load(f"{layout.folder}/data/*")
-    return files.select(
-        F.regexp_extract("path", r"/data/([^/]+)/[^/]+$", 1).alias("table"),
-        F.regexp_extract("path", r"/([^/]+)$", 1).alias("file"),
-        F.col("length").alias("bytes"), "content",
-    )
+def _stored_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """The rows of a table's files as they lie there: lines of COPY text, or Parquet rows."""
+    if fmt == COPYTEXT:
+        return spark.read.option("lineSep", "\n").text(path)
+    return spark.read.parquet(path)
 
 
-def file_digests(spark: SparkSession, layout: Layout) -> DataFrame:
-    """(table, file, bytes, sha256) from the bytes that landed.
+def _file_digests(spark: SparkSession, entry: TableEntry) -> DataFrame:
+    """(table, file, bytes, sha256) of a table's files, from sums over their rows.
 
-    A file is one row while it is hashed, so part files must stay well below 2 GB;
-    Spark refuses to read a longer one.
+    Files are read in splits and sums combine partially, so a file may have any size.
+    A file without a row has nothing to digest and is not listed.
     """
-    files = data_files(spark, layout)
-    return files.select("table", "file", "bytes", F.sha2("content", 256).alias("sha256"))
-
-
-def _with_file_digests(
-    spark: SparkSession, layout: Layout, entries: list[TableEntry], hash_files: bool
-) -> list[TableEntry]:
-    """One pass over all files. Digests per file stay a table beside the data."""
-    if not any(e.file for e in entries):
-        return entries
-    if hash_files:
-        file_digests(spark, layout).write.mode("error").parquet(layout.digests)
-        stored = spark.read.parquet(layout.digests)
+    if path_exists(spark, f"{entry.file}/part-*"):
+        stored = _stored_rows(spark, entry.file, entry.format)
     else:
-        unknown = F.lit(None).cast("string").alias("sha256")
-        stored = data_files(spark, layout).select("table", "bytes", unknown)
-    sums = stored.groupBy("table").agg(
-        *digests.combine_sha256(F.col("sha256")),
-        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
-    )
-    sums = sums.select(
-        "table", "files", "bytes",
-        F.when(F.col("w0").isNotNull(), digests.combined_sha256(F.col("files"), F.col("bytes")))
-        .alias("sha256"),
-    )
-    by_table = {r["table"]: r for r in sums.collect()}  # one row per table
-    out = []
-    for e in entries:
-        r = by_table.get(e.qualified)
-        out.append(replace(e, files=r["files"], bytes=r["bytes"], sha256=r["sha256"]) if r else e)
-    return out
+        stored = spark.createDataFrame([], "value string").withColumn(
+            "_metadata", F.expr("named_struct('file_path', '', 'file_size', 0L)")
+        )
+    measures = digests.content_measures(stored.schema)
+    by_file = stored.groupBy(
+        F.regexp_extract("_metadata.file_path", r"/([^/]+)$", 1).alias("file"),
+        F.col("_metadata.file_size").alias("bytes"),
+    ).agg(*[c.alias(n) for n, c in measures.items()])
+    whole = F.concat_ws(":", "rows", "hash_xor", F.col("hash_sum").cast("string"))
+    return by_file.select(F.lit(entry.qualified).alias("table"), "file", "bytes", F.sha2(whole, 256).alias("sha256"))
+
+
+def file_digests(spark: SparkSession, layout: Layout) -> DataFrame:
+    """(table, file, bytes, sha256) of every data file of a snapshot as it is now."""
+    return union_all(_file_digests(spark, e) for e in read_manifest(spark, layout).loadable())
 
 
-def changed_digests(spark: SparkSession, layout: Layout) -> DataFrame:
+def _with_files(spark: SparkSession, layout: Layout, entry: TableEntry, hash_files: bool) -> TableEntry:
+    """What the store lists of a table, and one digest for all its files; digests per file stay beside the data."""
+    if not entry.file:
+        return entry
+    files, size = data_size(spark, entry.file)
+    if entry.row_count and not files:
+        raise RuntimeError(f"{entry.qualified}: {entry.row_count} rows were written and no file is there")
+    if not hash_files:
+        return replace(entry, files=files, bytes=size)
+    place = layout.table_digests(entry.qualified)
+    _file_digests(spark, entry).write.mode("error").parquet(place)
+    sums = spark.read.parquet(place).agg(*digests.combine_sha256(F.col("sha256")))
+    sha = sums.select(digests.combined_sha256(F.lit(files), F.lit(size)).alias("sha256")).first()["sha256"]
+    return replace(entry, files=files, bytes=size, sha256=sha)
+
+
+def changed_digests(spark: SparkSession, layout: Layout, tables: Collection[str] | None = None) -> DataFrame:
     """Files that are missing, added or different from when the snapshot was taken."""
-    then = spark.read.parquet(layout.digests).withColumnsRenamed(
-        {"bytes": "recorded_bytes", "sha256": "recorded_sha256"}
-    )
-    now = file_digests(spark, layout)
-    return now.join(then, ["table", "file"], "full_outer").filter(
-        ~F.col("sha256").eqNullSafe(F.col("recorded_sha256"))
-    )
+    found = []
+    for entry in read_manifest(spark, layout).loadable():
+        if tables is None or entry.qualified in tables:
+            then = spark.read.parquet(layout.table_digests(entry.qualified)).withColumnsRenamed(
+                {"bytes": "recorded_bytes", "sha256": "recorded_sha256"}
+            )
+            joined = _file_digests(spark, entry).join(then, ["table", "file"], "full_outer")
+            found.append(joined.filter(~F.col("sha256").eqNullSafe(F.col("recorded_sha256"))))
+    return union_all(found)
 
 
 def _columns_added(spark: SparkSession, layout: Layout, manifest: Manifest) -> tuple[str, ...]:

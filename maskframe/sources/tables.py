@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reports import union_all
 from ..plans.specs import TableSpec
+from ..workspace import new_folder, path_exists
 
 
 def open_parquet(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -38,6 +40,36 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after, ["table", "file", "bytes", "modified"], "left_anti")
 
 
+_STATE = ("path", "length", "modificationTime")
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path, length and time of files from a fresh listing; their content is not read."""
+    return spark.read.format("binaryFile").load(paths).select(*_STATE)
+
+
+def pinned(spark: SparkSession, frames: Iterable[DataFrame]) -> DataFrame | None:
+    """The files that frames read, as they are now, kept in the shared folder; None if there are none."""
+    paths = sorted({unquote(f) for df in frames for f in df.inputFiles()})
+    if not paths:
+        return None
+    folder = new_folder(spark, "pins")
+    _listed(spark, paths).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def unpinned(spark: SparkSession, pins: DataFrame | None) -> int:
+    """How many pinned files are no longer there as they were."""
+    if pins is None:
+        return 0
+    folders = pins.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder")).distinct()
+    there = [f for f in (unquote(r["folder"]) for r in folders.toLocalIterator()) if path_exists(spark, f)]
+    if not there:
+        return pins.count()
+    now = spark.read.format("binaryFile").load(there).select(*_STATE)
+    return pins.join(now, list(_STATE), "left_anti").count()
+
+
 def leaves_of(specs: Iterable[TableSpec], parent: str) -> list[TableSpec]:
     return [s for s in specs if s.parent == parent and not s.partitioned]
 
@@ -55,14 +87,14 @@ def read_jdbc(
     url: str,
     spec: TableSpec,
     *,
-    split_column: str | None = None,
-    bounds: tuple[int, int] | None = None,
-    partitions: int = 1,
+    split: tuple[str, int, int, int] | None,
     fetch_size: int = 10000,
     **options: str,
 ) -> DataFrame:
     """A table of a live database: only the exported columns, in parallel ranges of a column.
 
+    ``split`` is the column, its lowest and highest value and the number of ranges. Reading through
+    one task is for small tables, and has to be written down as None.
     Filters and column pruning of the scrub reach the database through Spark's JDBC
     pushdown. ``row_security`` is switched off so that a policy fails the read
     instead of shortening it.
@@ -77,11 +109,7 @@ def read_jdbc(
     )
     for key, value in options.items():
         reader = reader.option(key, value)
-    if split_column is not None and bounds is not None and partitions > 1:
-        reader = (
-            reader.option("partitionColumn", split_column)
-            .option("lowerBound", bounds[0])
-            .option("upperBound", bounds[1])
-            .option("numPartitions", partitions)
-        )
+    if split is not None:
+        for key, value in zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), split, strict=True):
+            reader = reader.option(key, value)
     return reader.load()

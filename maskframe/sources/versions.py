@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from ..functions.names import staging_name
 from ..operators import registry
 from ..operators.reports import ERROR
-from ..workspace import path_exists
+from ..workspace import path_exists, remove
+from .layout import path_part
 
 LOG_SCHEMA = "target string, name string, role string, at string, seq int"
 DROPPED = "dropped"
+NEXT_VALUES = "_next_values"
 
 
 class PublishRefused(RuntimeError):
@@ -41,10 +43,13 @@ class Versions:
 
     def _log(self, target: str) -> str:
         """One log per target: runs for different targets never write to the same folder."""
-        return f"{self.root.rstrip('/')}/{target}/_versions"
+        return f"{self.root.rstrip('/')}/{target if target == '*' else path_part(target)}/_versions"
 
     def path(self, target: str, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{target}/{name}"
+        return f"{self.root.rstrip('/')}/{path_part(target)}/{path_part(name)}"
+
+    def table_path(self, target: str, name: str, table: str) -> str:
+        return f"{self.path(target, name)}/{path_part(table)}"
 
     def current(self, target: str = "*") -> DataFrame:
         """(target, name, role, since) of everything that exists."""
@@ -90,7 +95,7 @@ class Versions:
 
         def write(item: tuple[str, DataFrame]) -> None:
             table, df = item
-            df.write.mode("error").parquet(f"{self.path(target, name)}/{table}")
+            df.write.mode("error").parquet(self.table_path(target, name, table))
 
         try:
             with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -102,10 +107,20 @@ class Versions:
 
     def discard(self, target: str, name: str) -> None:
         """Give up a staged version; the target is as it was."""
-        self._append(target, [(name, DROPPED)])
+        self._drop(target, [name])
+
+    def _drop(self, target: str, names: Sequence[str], changes: Sequence[tuple[str, str]] = ()) -> None:
+        """The log says that versions are gone before their files go, so no reader is sent to half of one."""
+        self._append(target, [*changes, *((n, DROPPED) for n in names)])
+        for name in names:
+            remove(self.spark, self.path(target, name))
 
     def read_version(self, target: str, name: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path(target, name)}/{table}")
+        return self.spark.read.parquet(self.table_path(target, name, table))
+
+    def next_values(self, target: str) -> DataFrame:
+        """(schema, name, next_value) of the published version's sequences."""
+        return self.read(target, NEXT_VALUES)
 
     def read(self, target: str, table: str) -> DataFrame:
         """A table of the published version."""
@@ -115,14 +130,14 @@ class Versions:
         return self.read_version(target, names[-1], table)
 
     def publish(
-        self, target: str, name: str, reports: Sequence[DataFrame] = (), keep: int = 1, workers: int = 4
+        self, target: str, name: str, reports: Sequence[DataFrame] = (), workers: int = 4
     ) -> None:
         """Make a staged version current, unless a check found an error.
 
         Every report is a job of its own, several at a time, so that many tables do not
         become one plan. On refusal the staged version is dropped and the target is as
-        it was. The version replaced becomes the newest backup; backups beyond ``keep``
-        are dropped.
+        it was. The version replaced becomes the newest backup and stays until a later
+        run expires it.
         """
 
         def errors(report: DataFrame) -> list[str]:
@@ -142,14 +157,16 @@ class Versions:
             raise LookupError(f'"{name}" is not a staged version of "{target}"')
         changes = [(old, "backup") for old in roles.get("target", [])]
         self._append(target, [*changes, (name, "target")])
-        self.expire(target, keep)
 
     def expire(self, target: str, keep: int = 1) -> list[str]:
-        """Drop backups beyond the newest ``keep`` from the log; their files can be removed then."""
+        """Drop backups beyond the newest ``keep``, and remove their files.
+
+        A run does this before it stages anything, so what it replaces is there to fall back to.
+        """
         backups = self._roles(target).get("backup", [])
         gone = backups[: max(0, len(backups) - max(0, keep))]
         if gone:
-            self._append(target, [(n, DROPPED) for n in gone])
+            self._drop(target, gone)
         return gone
 
     def recover(self, target: str) -> str:
@@ -161,7 +178,7 @@ class Versions:
         changes = []
         if found == "crashed_mid_swap":
             changes.append((roles["backup"][-1], "target"))
-        changes += [(n, DROPPED) for n in roles.get("staging", [])]
-        if changes:
-            self._append(target, changes)
+        staging = roles.get("staging", [])
+        if changes or staging:
+            self._drop(target, staging, changes)
         return found

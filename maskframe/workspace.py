@@ -32,8 +32,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def _store(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def data_size(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """How many files Spark has written to a folder, and their bytes, as the store lists them."""
+    path, store = _store(spark, folder)
+    found = store.getContentSummary(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return found.getFileCount() - int(store.exists(marker)), found.getLength()
+
+
+def remove(spark: SparkSession, place: str) -> bool:
+    """Delete a file or a folder; whether there was one."""
+    path, store = _store(spark, place)
+    return store.delete(path, True)
+
+
 def path_exists(spark: SparkSession, pattern: str) -> bool:
     """Whether any file or folder matches, on whatever file system the path names."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    path, store = _store(spark, pattern)
+    found = store.globStatus(path)
     return found is not None and len(found) > 0

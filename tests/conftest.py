@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from maskframe.session import builder  # noqa: E402
 
-SALT = "s4lt"
+SALT = "grain-of-7"
 
 
 @pytest.fixture(scope="session")
@@ -26,15 +26,15 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def users(spark):
-    """The scrubbed-export fixture: two users with every kind of sensitive column."""
-    return spark.createDataFrame(
-        [
-            (1, "a@example.com", "Alpha", "111-11-1111", "first", "Alpha <a@example.com>"),
-            (2, "b@example.com", "Beta", "222-22-2222", "second", "Beta <b@example.com>"),
-        ],
-        "id bigint, email string, last_name string, ssn string, notes string, display string",
-    )
+def suppliers(spark):
+    """Three suppliers with something to hide in every text column; the label is made of two of them."""
+    rows = [
+        (4, "sales@north-mill.test", "North Mill", "DE-4410-77", "pays late"),
+        (5, "office@harbour.test", "Harbour & Sons", "FR-0093-12", "calls on Mondays"),
+        (9, "hello@quarry.test", "Quarry", "ES-7120-03", "pays late"),
+    ]
+    made = [(*r, f"{r[2]} / {r[3]}") for r in rows]
+    return spark.createDataFrame(made, "suppkey bigint, contact string, firm string, tax_no string, remark string, label string")
 
 
 def rows(df):

@@ -72,6 +72,12 @@ def test_drift(spark):
         ("core", t2, "public.orders.id"), ("core", t2, "public.users.referral_code"),
     ]
     assert rows(registry.columns_removed(columns)) == [("core", t2, "public.users.old")]
+    t3 = "20240103T000000Z"
+    later = columns.union(columns.filter("database = 'core'").filter(F.col("ts") == t2).withColumn("ts", F.lit("20240104T000000Z")))
+    taken = later.select("database", "ts").distinct().union(spark.createDataFrame([("core", t3)], "database string, ts string"))
+    back = registry.columns_added(later, taken).filter("ts > '20240103'").collect()
+    gone = registry.columns_removed(later, taken).filter(F.col("ts") == t3).collect()
+    assert len(back) == len(gone) == 4  # the snapshot without a column is compared with on both sides
 
 
 def test_states(spark):
@@ -336,7 +342,8 @@ def test_publications(spark, classes, attributes):
     assert {r["table"] for r in missing if r["pubname"] == "listed"} == every - {"public.plain", "public.secured"}
     assert {r["table"] for r in missing if r["pubname"] == "empty"} == every
     assert {r["pubname"] for r in missing} == {"listed", "empty"}
-    assert rows(publications.furthest_behind(covered)) == [("core", "empty")]
+    counted = {r["table"]: (r["enumerated"], r["named"]) for r in publications.unpublished(classes, pubs, schemas, tables).collect()}
+    assert counted == {t: (2, int(t in ("public.plain", "public.secured"))) for t in every}
     owners = spark.createDataFrame([("core", "dba")], "database string, owner string")
     found = publications.publication_owners(classes, tables.filter("pubname = 'listed'"), owners)
     assert rows(found.select("owner")) == [("ann",), ("bob",), ("dba",)]

@@ -15,13 +15,13 @@ def md5(text, salt=SALT):
     return hashlib.md5((text + salt).encode()).hexdigest()
 
 
-def config(columns=None, table="public.users", **more):
+def config(columns=None, table="public.suppliers", **more):
     body = {**({"columns": columns} if columns else {}), **more}
     return ScrubConfig.parse({"version": 1, "tables": {table: body}})
 
 
 def spec(*columns, **kwargs):
-    return TableSpec("public", "users", tuple(columns), **kwargs)
+    return TableSpec("public", "suppliers", tuple(columns), **kwargs)
 
 
 TEXT = ColumnSpec("c")
@@ -67,7 +67,7 @@ def test_null_handling(spark):
 
 def test_typed_nulls_can_be_written(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0])], "c int, d array<double>")
-    table = TableSpec.from_df("public.users", df)
+    table = TableSpec.from_df("public.suppliers", df)
     out = scrub(df, table, config({"c": "null", "d": "null"}), SALT)
     assert out.dtypes == df.dtypes
     out.write.parquet(str(tmp_path / "x"))
@@ -87,32 +87,32 @@ def test_salt_in_sql(spark):
     assert cast.first()["v"] == 8
 
 
-def test_salts_rotate(spark, users):
-    table = TableSpec.from_df("public.users", users)
-    cfg = config({"email": "email"})
+def test_salts_rotate(spark, suppliers):
+    table = TableSpec.from_df("public.suppliers", suppliers)
+    cfg = config({"contact": "email"})
     a, b = new_salt(), new_salt()
     assert len(a) == 32 and a != b
-    first = {r["email"] for r in scrub(users, table, cfg, a).collect()}
-    again = {r["email"] for r in scrub(users, table, cfg, a).collect()}
-    other = {r["email"] for r in scrub(users, table, cfg, b).collect()}
+    first = {r["contact"] for r in scrub(suppliers, table, cfg, a).collect()}
+    again = {r["contact"] for r in scrub(suppliers, table, cfg, a).collect()}
+    other = {r["contact"] for r in scrub(suppliers, table, cfg, b).collect()}
     assert first == again and not first & other
 
 
-def test_scrubbed_export(users):
+def test_a_table_with_every_kind_of_rule(suppliers):
+    """Filtered on a raw value that is scrubbed itself; the generated column is left for the load to make."""
     table = TableSpec.from_df(
-        "public.users", users, not_null=["id", "email"], identity=["id"], max_len={"email": 30},
-        generated={"display": "last_name || ' <' || email || '>'"},
+        "public.suppliers", suppliers, not_null=["suppkey", "contact"], identity=["suppkey"],
+        max_len={"contact": 32, "firm": 12}, generated={"label": "firm || ' / ' || tax_no"},
     )
-    cfg = config({"email": "email", "last_name": "md5", "ssn": "null", "notes": "redact"})
-    out = scrub(users, table, cfg, "acc-salt")
-    assert out.columns == ["id", "email", "last_name", "ssn", "notes"]
-    got = out.collect()
-    assert len(got) == 2 and len({r["email"] for r in got}) == 2
-    raw = {v for r in users.collect() for v in r if isinstance(v, str)}
-    for r in got:
-        assert len(r["email"]) <= 30 and "@example.invalid" in r["email"]
-        assert r["ssn"] is None and r["notes"] == "REDACTED"
-        assert not raw & set(r)
+    cfg = config(
+        {"contact": "email", "firm": "md5", "tax_no": "left(tax_no, 2)", "remark": "redact"}, where="remark = 'pays late'"
+    )
+    got = [tuple(r) for r in scrub(suppliers, table, cfg, SALT).orderBy("suppkey").collect()]
+    raw = {r["suppkey"]: r for r in suppliers.collect()}
+    assert got == [
+        (k, f"user_{md5(raw[k]['contact'])[:11]}@example.invalid", md5(raw[k]["firm"])[:12], raw[k]["tax_no"][:2], "REDACTED")
+        for k in (4, 9)
+    ]
 
 
 @pytest.mark.parametrize(
@@ -144,7 +144,7 @@ def test_every_problem_is_reported():
         TableSpec("public", "made", (ColumnSpec("g", generated="1"),)),
     ]
     cfg = ScrubConfig.parse({"version": 1, "tables": {
-        "public.users": {"columns": {"c": "md5", "g": "md5", "gone": "md5"}},
+        "public.suppliers": {"columns": {"c": "md5", "g": "md5", "gone": "md5"}},
         "public.parent": {"mode": "skip"},
         "public.absent": {"mode": "skip"},
     }})
@@ -152,7 +152,7 @@ def test_every_problem_is_reported():
         plan(tables, cfg)
     text = str(e.value)
     assert len(e.value.problems) == 6
-    for part in ("users.c: md5 makes text", "users.g: generated", "users.gone: no such column",
+    for part in ("suppliers.c: md5 makes text", "suppliers.g: generated", "suppliers.gone: no such column",
                  "parent: rules on a partitioned table", "absent: no such table", "every column is generated"):
         assert part in text
 
@@ -171,16 +171,16 @@ def test_manifest_side_of_a_plan():
     assert skipped.skipped and skipped.columns == []
 
 
-def test_bad_sql_is_found_before_any_job(spark, users):
-    table = TableSpec.from_df("public.users", users)
-    plans = plan([table], config({"email": "no_such_column || 'x'"}))
-    with pytest.raises(PlanError, match="public.users"):
-        scrubbed_frames({"public.users": users}, plans, SALT)
+def test_bad_sql_is_found_before_any_job(spark, suppliers):
+    table = TableSpec.from_df("public.suppliers", suppliers)
+    plans = plan([table], config({"contact": "no_such_column || 'x'"}))
+    with pytest.raises(PlanError, match="public.suppliers"):
+        scrubbed_frames({"public.suppliers": suppliers}, plans, SALT)
 
 
 def test_rules_see_raw_values(spark):
     df = spark.createDataFrame([("a", "b"), ("c", "d")], "x string, y string")
-    table = TableSpec.from_df("public.users", df)
+    table = TableSpec.from_df("public.suppliers", df)
     cfg = config({"x": "y", "y": "x"}, where="x = 'a'")
     assert rows(scrub(df, table, cfg, SALT)) == [("b", "a")]
 
@@ -219,14 +219,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "p_name:string" not in text and "p_brand:string" in text
 
 
-def test_generated_salt_is_not_in_rendered_plans(spark, users):
+def test_generated_salt_is_not_in_rendered_plans(spark, suppliers):
     salt = new_salt()
-    df = scrub(users, TableSpec.from_df("public.users", users), config({"email": "md5"}), salt)
+    df = scrub(suppliers, TableSpec.from_df("public.suppliers", suppliers), config({"contact": "md5"}), salt)
     shown = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "extended")
     assert salt not in shown
 
 
 def test_hot_value_keeps_every_row(spark):
     df = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("c"))
-    out = scrub(df, TableSpec.from_df("public.users", df), config({"c": "md5"}), SALT)
+    out = scrub(df, TableSpec.from_df("public.suppliers", df), config({"c": "md5"}), SALT)
     assert out.filter(F.col("c") == md5("hot")).count() == 1000

@@ -1,3 +1,4 @@
+import importlib
 import json
 from pathlib import Path
 
@@ -9,25 +10,27 @@ from maskframe import (
     ForeignKey, Layout, Manifest, PlanError, PublishRefused, ScrubConfig, SnapshotRefused, TableSpec,
     Versions, read_manifest, read_manifests, restore, snapshot,
 )
-from maskframe.operators import load, registry
+from maskframe.operators import audits, load, registry
+from maskframe.operators.sequences import SequenceRef
 from maskframe.sources.manifests import column_entries, table_entries
 from maskframe.sources.restore import select_snapshot
 from maskframe.sources.snapshot import changed_digests, file_digests
 from maskframe.sources.tables import changed_files, open_parquet, pinned_files, read_parent
 
+taking = importlib.import_module("maskframe.sources.snapshot")
 TS = ["20240101T000000Z", "20240102T000000Z", "20240103T000000Z"]
 RULES = ScrubConfig.parse({"version": 1, "tables": {
-    "public.users": {"columns": {"email": "email", "ssn": "null", "notes": "redact"}},
+    "public.suppliers": {"columns": {"contact": "email", "tax_no": "null", "remark": "redact"}},
     "public.logs": {"mode": "skip"},
     "public.orders": {"where": "total > 10"},
 }})
 
 
 @pytest.fixture
-def tables(spark, users):
-    orders = spark.createDataFrame([(10, 1, 5.0), (11, 1, 20.0), (12, 2, 30.0)], "id bigint, user_id bigint, total double")
+def tables(spark, suppliers):
+    orders = spark.createDataFrame([(10, 4, 5.0), (11, 4, 20.0), (12, 9, 30.0)], "id bigint, suppkey bigint, total double")
     logs = spark.createDataFrame([(1, "secret")], "id bigint, line string")
-    return {"public.users": users.drop("display"), "public.orders": orders, "public.logs": logs}
+    return {"public.suppliers": suppliers.drop("label"), "public.orders": orders, "public.logs": logs}
 
 
 def specs_of(tables, **orders):
@@ -44,33 +47,33 @@ def test_manifest(spark, tables, tmp_path):
     taken = take(spark, tables, tmp_path, server_major=17)
     m = read_manifest(spark, taken.layout)
     assert m == Manifest.from_json(taken.manifest.to_json())
-    assert [t.qualified for t in m.tables] == ["public.logs", "public.orders", "public.users"]
+    assert [t.qualified for t in m.tables] == ["public.logs", "public.orders", "public.suppliers"]
     assert m.scrubbed and m.server_major == 17 and m.config_sha256 == RULES.sha256()
-    assert m.total_rows() == 4 and m.entry("public.orders").where == "total > 10"
+    assert m.total_rows() == 5 and m.entry("public.orders").where == "total > 10"
     logs = m.entry("public.logs")
     assert logs.skipped and logs.columns == () and logs.file is None and logs.row_count == 0
-    users = m.entry("public.users")
-    assert users.transforms == {"email": "email", "ssn": "null", "notes": "redact"}
-    assert users.files > 0 and users.bytes > 0 and len(users.sha256) == 64
-    assert {t.qualified for t in m.loadable()} == {"public.orders", "public.users"}
+    suppliers = m.entry("public.suppliers")
+    assert suppliers.transforms == {"contact": "email", "tax_no": "null", "remark": "redact"}
+    assert suppliers.files > 0 and suppliers.bytes > 0 and len(suppliers.sha256) == 64
+    assert {t.qualified for t in m.loadable()} == {"public.orders", "public.suppliers"}
     everything = "".join(p.read_text(errors="replace") for p in Path(taken.layout.folder).rglob("*") if p.is_file())
-    assert SALT not in json.dumps(json.loads(taken.manifest.to_json())) and "first" not in everything
+    assert SALT not in json.dumps(json.loads(taken.manifest.to_json())) and "Mondays" not in everything
 
 
 def test_unscrubbed_values_never_land(spark, tables, tmp_path):
     taken = take(spark, tables, tmp_path, fmt="copytext")
-    text = spark.read.text(taken.layout.data("public.users")).collect()
-    assert len(text) == 2 and all("REDACTED" in r[0] and "\\N" in r[0] for r in text)
-    assert not any(v in r[0] for r in text for v in ("a@example.com", "111-11-1111", "first"))
+    text = spark.read.text(taken.layout.data("public.suppliers")).collect()
+    assert len(text) == 3 and all("REDACTED" in r[0] and "\\N" in r[0] for r in text)
+    assert not any(v in r[0] for r in text for v in ("sales@north-mill.test", "DE-4410-77", "Mondays"))
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "copytext"])
 def test_round_trip(spark, tables, tmp_path, fmt):
     taken = take(spark, tables, tmp_path, fmt=fmt)
     loaded = load.load(spark, read_manifest(spark, taken.layout), specs_of(tables))
-    assert rows(loaded["public.orders"]) == [(11, 1, 20.0), (12, 2, 30.0)]
+    assert rows(loaded["public.orders"]) == [(11, 4, 20.0), (12, 9, 30.0)]
     assert loaded["public.logs"].count() == 0 and loaded["public.logs"].columns == ["id", "line"]
-    assert loaded["public.users"].filter("notes = 'REDACTED' AND ssn IS NULL").count() == 2
+    assert loaded["public.suppliers"].filter("remark = 'REDACTED' AND tax_no IS NULL").count() == 3
 
 
 def test_unknown_format_and_stale_rules(spark, tables, tmp_path):
@@ -158,7 +161,7 @@ def test_swapped_content_is_found(spark, tables, tmp_path, fmt):
     Path(forged.layout.data("public.orders")).rename(folder)
     versions = Versions(spark, str(tmp_path / "v"))
     with pytest.raises(SnapshotRefused, match="public.orders"):
-        restore(spark, str(tmp_path), "core", specs_of(tables), versions, verify_files=fmt == "copytext")
+        restore(spark, str(tmp_path), "core", specs_of(tables), versions)
 
 
 def test_pinned_reads(spark, tmp_path):
@@ -203,7 +206,7 @@ def test_alignment(spark):
 
 
 def with_key(tables):
-    key = ForeignKey(("user_id",), "public.users", ("id",))
+    key = ForeignKey(("suppkey",), "public.suppliers", ("suppkey",))
     return specs_of(tables, foreign_keys=[key], not_null=["id"], unique=[["id"]])
 
 
@@ -218,41 +221,135 @@ def test_restore_publishes_and_keeps_backups(spark, tables, tmp_path):
         names.append(restore(spark, str(tmp_path), "core", with_key(tables), versions, profile=True).version)
         assert versions.state("core") == "idle"
     roles = {r["name"]: r["role"] for r in versions.current().collect()}
-    assert roles == {names[1]: "backup", names[2]: "target"}
-    assert rows(versions.read("core", "public.orders")) == [(11, 1, 20.0), (12, 2, 30.0)]
+    # A run expires before it stages, so the version before last is still there.
+    assert roles == {names[0]: "backup", names[1]: "backup", names[2]: "target"}
+    assert rows(versions.read("core", "public.orders")) == [(11, 4, 20.0), (12, 9, 30.0)]
     assert spark.read.parquet(f"{versions.path('core', names[2])}/_profile/*").count() == 10
 
 
 def test_orphans_refuse_unless_not_valid(spark, tables, tmp_path):
-    filtered = {"public.users": {"where": "id = 1"}}
+    filtered = {"public.suppliers": {"where": "suppkey = 4"}}
     versions = Versions(spark, str(tmp_path / "v"))
     take(spark, tables, tmp_path, TS[0])
     first = restore(spark, str(tmp_path), "core", with_key(tables), versions).version
     take(spark, tables, tmp_path, TS[1], ScrubConfig.parse({"version": 1, "tables": filtered}))
-    with pytest.raises(PublishRefused, match="foreign_key user_id->public.users: 1"):
+    with pytest.raises(PublishRefused, match="foreign_key suppkey->public.suppliers: 1"):
         restore(spark, str(tmp_path), "core", with_key(tables), versions)
     assert [r["name"] for r in versions.current().collect()] == [first]
-    assert versions.read("core", "public.users").count() == 2
+    assert versions.read("core", "public.suppliers").count() == 3
     take(spark, tables, tmp_path, TS[2],
          ScrubConfig.parse({"version": 1, "fk_mode": "not_valid", "tables": filtered}))
     restore(spark, str(tmp_path), "core", with_key(tables), versions)
-    assert versions.read("core", "public.users").count() == 1
+    assert versions.read("core", "public.suppliers").count() == 1
 
 
-def test_migration_runs_after_the_checks_and_its_failure_changes_nothing(spark, tables, tmp_path):
+def test_what_a_migration_makes_is_checked_and_a_failure_changes_nothing(spark, tables, tmp_path):
     versions = Versions(spark, str(tmp_path / "v"))
     take(spark, tables, tmp_path)
     moved = {"public.orders": lambda df: df.filter("id = 11").withColumnRenamed("total", "amount")}
-    restore(spark, str(tmp_path), "core", with_key(tables), versions, migrations=moved)
-    assert versions.read("core", "public.orders").columns == ["id", "user_id", "amount"]
+    shape = TableSpec.from_df(
+        "public.orders", moved["public.orders"](tables["public.orders"]), not_null=["id", "amount"], unique=[["id"]],
+        checks={"small": "amount < 50"},
+    )
+    restore(spark, str(tmp_path), "core", with_key(tables), versions, migrations=moved, migrated={"public.orders": shape})
+    assert versions.read("core", "public.orders").columns == ["id", "suppkey", "amount"]
     before = rows(versions.current())
 
-    def broken(df):
+    def boom(df):
         return df.withColumn("x", F.raise_error(F.lit("boom")))
 
-    with pytest.raises(Exception, match="boom"):
-        restore(spark, str(tmp_path), "core", with_key(tables), versions, migrations={"public.orders": broken})
-    assert rows(versions.current()) == before and versions.state("core") == "idle"
+    breaks = {
+        "not_null id: 2": lambda df: df.withColumn("id", F.lit(None).cast("bigint")),
+        "unique id: 1": lambda df: df.withColumn("id", F.lit(7).cast("bigint")),
+        "foreign_key suppkey->public.suppliers: 2": lambda df: df.withColumn("suppkey", F.lit(1).cast("bigint")),
+        "boom": boom,
+    }
+    for message, broken in breaks.items():
+        with pytest.raises(Exception, match=message):
+            restore(spark, str(tmp_path), "core", with_key(tables), versions, migrations={"public.orders": broken})
+        assert rows(versions.current()) == before and versions.state("core") == "idle"
+    assert {p.name for p in (tmp_path / "v" / "core").iterdir()} == {"_versions", before[0][1]}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "copytext"])
+def test_snapshots_can_be_moved_and_names_can_hold_anything(spark, tmp_path, fmt):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "`a.b` bigint, note string")
+    tables = {f"public.{n}": df for n in ("a[1]", "a/b", "a b", "a%20b", "q")}
+    specs = [TableSpec.from_df(n, d, unique=[["a.b"]], not_null=["a.b"], foreign_keys=[ForeignKey(("a.b",), "public.q", ("a.b",))])
+             for n, d in tables.items()]
+    taken = snapshot(spark, tables, specs, ScrubConfig(), str(tmp_path / "here"), "my db", ts=TS[0], salt=SALT, fmt=fmt)
+    assert all(t.files > 0 and t.bytes > 0 and len(t.sha256) == 64 for t in taken.manifest.tables)
+    (tmp_path / "here").rename(tmp_path / "there")
+    root, versions = str(tmp_path / "there"), Versions(spark, str(tmp_path / "v"))
+    found = read_manifests(spark, root)
+    assert [(r["database"], r["ts"]) for r in registry.latest(found).collect()] == [("my db", TS[0])]
+    assert all(not r["file"].startswith("/") for r in table_entries(found).collect())
+    restore(spark, root, "my db", specs, versions, verify_files=True)
+    for n in tables:
+        assert rows(versions.read("my db", n)) == [(1, "x"), (2, "y")]
+
+
+def test_a_key_with_a_dot_is_checked(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,)], "`a.b` bigint")
+    key = ForeignKey(("a.b",), "public.p", ("c.d",))
+    spec = TableSpec.from_df("public.t", df, unique=[["a.b"]], foreign_keys=[key])
+    assert audits.audit_unique(df, spec).first()["violations"] == 1
+    parent = spark.createDataFrame([(2,)], "`c.d` bigint")
+    assert audits.audit_fk(spec, {"public.t": df, "public.p": parent}).first()["violations"] == 2
+
+
+def test_a_source_file_that_changes_meanwhile_refuses_the_snapshot(spark, tmp_path, monkeypatch):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    frames = open_parquet(spark, {"public.t": str(tmp_path / "t")})
+    real = taking._export_table
+
+    def meanwhile(*args):
+        out = real(*args)
+        spark.range(20).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t"))
+        return out
+
+    monkeypatch.setattr(taking, "_export_table", meanwhile)
+    specs = [TableSpec.from_df("public.t", frames["public.t"])]
+    with pytest.raises(taking.SourceChanged, match="1 source files"):
+        snapshot(spark, frames, specs, ScrubConfig(), str(tmp_path / "s"), "core", ts=TS[0])
+    assert read_manifests(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_no_data_file_is_read_as_one_row():
+    import inspect
+
+    import maskframe.sources.snapshot as module
+
+    assert "binaryFile" not in inspect.getsource(module)
+    assert '"content"' not in inspect.getsource(module)
+
+
+def test_sequences_travel_with_the_tables(spark, tables, tmp_path):
+    refs = [
+        SequenceRef("public", "orders_id", "public.orders.id"), SequenceRef("public", "read", None, True, 41),
+        SequenceRef("public", "fresh", None, True), SequenceRef("public", "lost"), SequenceRef("public", "skipped", "public.logs.id"),
+    ]
+    taken = take(spark, tables, tmp_path, sequence_refs=refs)
+    assert {s["name"]: (s["source"], s["lastValue"], s["isCalled"]) for s in taken.manifest.sequences} == {
+        "orders_id": ("max_column", 12, True), "read": ("pg_sequences", 41, True), "fresh": ("pg_sequences", 1, False),
+        "lost": ("unavailable", 0, False), "skipped": ("max_column", 1, False),
+    }
+    versions = Versions(spark, str(tmp_path / "v"))
+    done = restore(spark, str(tmp_path), "core", specs_of(tables), versions)
+    assert (done.sequences_applied, done.sequences_skipped) == (4, 1)
+    assert {r["name"]: r["next_value"] for r in versions.next_values("core").collect()} == {
+        "orders_id": 13, "read": 42, "fresh": 1, "skipped": 1,
+    }
+
+
+@pytest.mark.parametrize("keep, left", [(0, 1), (1, 2), (2, 3)])
+def test_files_of_expired_versions_go(spark, tables, tmp_path, keep, left):
+    versions = Versions(spark, str(tmp_path / "v"))
+    take(spark, tables, tmp_path)
+    names = [restore(spark, str(tmp_path), "core", specs_of(tables), versions, keep=keep).version for _ in range(4)]
+    there = {p.name for p in (tmp_path / "v" / "core").iterdir()} - {"_versions"}
+    # What the last run replaced is there whatever ``keep`` is.
+    assert there == set(names[-left - 1:]) == {r["name"] for r in versions.current().collect()}
 
 
 def test_selecting_a_snapshot(spark, tables, tmp_path):
@@ -293,7 +390,7 @@ def test_backup_retention(spark, tmp_path, keep, left):
     names = ["v1", "v2", "v3", "v4"]
     for n in names:
         versions._append("core", [(n, "staging")])
-        versions.publish("core", n, keep=9)
+        versions.publish("core", n)
     versions.expire("core", keep)
     backups = sorted(r["name"] for r in versions.current().filter("role = 'backup'").collect())
     assert backups == names[3 - left:3]

@@ -46,14 +46,14 @@ def main() -> None:
     spec, n = spec_of(lineitem, "lineitem"), lineitem.count()
     for rule in (None, "null", "redact", "md5", "email"):
         cfg = ScrubConfig() if rule is None else rules("lineitem", l_returnflag=rule, l_linestatus=rule)
-        took = best(lambda: scrub(lineitem, spec, cfg, "s4lt").write.parquet(new_folder(spark, "m")))
+        took = best(lambda: scrub(lineitem, spec, cfg, "grain-of-7").write.parquet(new_folder(spark, "m")))
         print(f"scrub of 2 columns, {rule or 'plain read and write'}: {took:.2f} s, {n / took:,.0f} rows/s")
 
     frames = open_tables(spark, sf)
     specs = [TableSpec.from_df(name, df) for name, df in frames.items()]
     for workers in (1, 4):
         took = best(lambda: snapshot(
-            spark, frames, specs, FLEET_RULES, new_folder(spark, "s"), "core", salt="s4lt", workers=workers
+            spark, frames, specs, FLEET_RULES, new_folder(spark, "s"), "core", salt="grain-of-7", workers=workers
         ), 2)
         print(f"snapshot of {len(frames)} tables, {workers} at a time: {took:.2f} s")
 
