@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, slices, written
-from .near_dedup import band_keys, near_components, set_digest
-from .shingles import shingle_hashes, shingle_set
+from .near_dedup import near_components, sketched_by
+from .shingles import shingle_hashes
 
 WIDTH, PLACES, CHUNK = 5, 128, 1 << 15
-BANDS = 24  # of 5 places of the first 120, for links from 0.8 on: one in 1.4e4 at 0.8 is missed, at 0.9 one in 1e9
+BANDS, BAND_PLACES = 24, 5  # for links from 0.8 on: one in 1.4e4 at 0.8 is missed, at 0.9 one in 1e9
 
 _WORDS = mix64(np.arange(1, 2 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _WORDS[:PLACES] | np.uint64(1), _WORDS[PLACES:]
@@ -169,23 +169,11 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    def sketches(sets: list[np.ndarray]) -> list[np.ndarray | None]:
+        least = minima(sets) >> np.uint64(32)
+        return [m if len(s) else None for s, m in zip(sets, least, strict=True)]
 
-    def run(batches):
-        for batch in slices(batches, most=4 << 20):
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            least = minima(sets)[:, : BANDS * 5]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([band_keys(m, BANDS) if len(s) else None for s, m in zip(sets, least, strict=True)], schema.field("bands").type),
-                ],
-                schema=schema,
-            )
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return sketched_by(docs, width, sketches, BANDS, BAND_PLACES)
 
 
 def alike(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
@@ -194,4 +182,4 @@ def alike(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
     One row for each row of ``docs``, with what :func:`near_components` returns and its rules for unusual rows; the bands
     are of MinHash places instead of a similarity sketch's.
     """
-    return near_components(docs, width, percent, sketched=_signatures)
+    return near_components(docs, width, percent, sketched=_signatures, places=PLACES)

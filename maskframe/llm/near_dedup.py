@@ -8,13 +8,16 @@ of round i takes every element, so no place stays empty. Two sketches agree at a
 probability equal to the sets' similarity, and the agreements are concentrated as those of independent hashes.
 
 Bands of ``ROWS`` places are keys. Two sets of similarity 0.8 share none of the 48 keys with a
-probability of 5e-7; sets of 0.3 share one with 3 in a hundred.
-
-Sets that are equal are one class from the start. In every key's bucket, in rounds, a growing number
-of members (pivots, each the least of a hashed part of the bucket) is compared with all other members
-that are not yet known to be in the same component, on whole sets; then pivots leave the bucket and components are
-merged. A bucket ends when all that is left in it is one component. So a bucket of n copies costs about n
-comparisons, not n squared, yet every pair in a bucket is compared or already connected.
+probability of 5e-7; sets of 0.3 share one with 3 in a hundred. A pair that shares a key is verified unless its sketches
+disagree in so many places that, by their concentration, it cannot reach the similarity: five standard deviations,
+so pairs below 0.72 mostly go and one in 3e6 of those at 0.8.
+
+Sets that are equal are one class from the start. Then there are three rounds of comparing whole sets, and components are
+merged after each. First a random member of each bucket meets the others in it, so a set meets a pivot for each of its
+keys, and what has many copies becomes one component. Then some, and at last all, of the sets that are still outside
+the largest component of a bucket meet all members of their buckets that are in other components. After each round
+pivots leave their buckets, and buckets that are down to one component are done. So a bucket of n copies costs about
+n comparisons, not n squared, yet every pair in a bucket is compared or already connected.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from .components import components
 from .shingles import shingle_set
 
 BANDS, ROWS = 48, 6
-COORDINATES = BANDS * ROWS
-FIRST_PIVOTS = 4
+COORDINATES = 1024  # the first BANDS * ROWS make the keys, all of them the comparison of sketches
+DEVIATIONS = 5
+SOME = 8  # of the pivots of the last round, one in so many go first
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -65,29 +69,58 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def agreement_bits(signature: np.ndarray) -> np.ndarray:
+    """The two lowest bits of every place, 32 places in a word."""
+    low = (signature & np.uint64(3)).astype(np.uint8)
+    bits = np.packbits(np.stack([low >> 1, low & 1], axis=1).ravel())
+    return np.pad(bits, (0, -len(bits) % 8)).view("<i8")
+
+
+def _disagreements(a: str, b: str, places: int) -> str:
+    words = -(-places // 32)
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(words))
+
+
+def _most_disagreements(places: int, percent: int) -> int:
+    """Sketches of two sets of this similarity disagree in more bits only beyond ``DEVIATIONS`` standard deviations.
+
+    A place that differs has two random bits: of n bits, 0.5 are expected to differ and 0.375 is the mean square.
+    """
+    apart = 1 - percent / 100
+    spread = 2 * (places * (0.375 * apart - (0.5 * apart) ** 2)) ** 0.5
+    return int(places * apart + DEVIATIONS * spread)
+
+
 def set_digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of the set and ``bands``; the last two null for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """``doc_id``, ``n_shingles``, ``digest`` of the set, ``bands`` and ``bits``; the last three null for an empty set."""
+    return sketched_by(docs, width, lambda sets: [sketch(s) if len(s) else None for s in sets], BANDS, ROWS)
+
+
+def sketched_by(docs: DataFrame, width: int, sketches, bands: int, rows: int) -> DataFrame:
+    """The table of signatures by a function from sets to sketches, None for an empty set; ``bands`` of ``rows`` places are keys."""
+    words = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", words), ("bits", words)])
 
     def run(batches):
-        for batch in slices(batches):
-            sizes, digests, bands = [], [], []
-            for text in batch.column("text").to_pylist():
-                items = shingle_set(text, width)
-                sizes.append(len(items))
-                digests.append(set_digest(items) if len(items) else None)
-                bands.append(band_keys(sketch(items)) if len(items) else None)
+        for batch in slices(batches, most=4 << 20):
+            sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
+            found = sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field("bands").type)],
+                [
+                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([None if f is None else band_keys(f[: bands * rows], bands) for f in found], words),
+                    pa.array([None if f is None else agreement_bits(f) for f in found], words),
+                ],
                 schema=schema,
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -104,19 +137,48 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return wanted.mapInArrow(run, "node long, items array<long>")
 
 
+_MEMBER = ("node", "n", "comp", "bits", "keys")
+
+
+def _with_keys(members: DataFrame) -> DataFrame:
+    """The members with ``keys``, all buckets that their set is still in: ``BANDS`` at most."""
+    keys = members.groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("keys"))
+    return members.drop("keys").join(keys, "node")
+
+
 def _active(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component."""
     live = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     return members.join(live.select("band"), "band")
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched=None) -> DataFrame:
+def _outside(members: DataFrame) -> DataFrame:
+    """The members that are not in their bucket's largest component: pairs across components have an end among them."""
+    sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("l")).select("band", F.col("l.comp").alias("main"))
+    return members.join(largest, "band").where("comp <> main").drop("main")
+
+
+def _band_pivots(members: DataFrame) -> DataFrame:
+    """One member of each bucket, chosen anew for each, so a set meets different pivots in its buckets."""
+    turn = F.xxhash64("node", "band").alias("turn")
+    chosen = _outside(members).groupBy("band").agg(F.min(F.struct(turn, *_MEMBER)).alias("p"))
+    return chosen.select("band", *[F.col(f"p.{c}").alias(c) for c in _MEMBER])
+
+
+def _node_pivots(members: DataFrame, one_in: int) -> DataFrame:
+    """One in so many of the sets that are outside a largest component somewhere, in all their buckets."""
+    nodes = _outside(members).select("node").distinct().where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
+    return members.join(nodes, "node", "left_semi").select("band", *_MEMBER)
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched=signatures, places: int = COORDINATES) -> DataFrame:
     """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked where 100 * |A and B| >= ``percent`` * |A or B| of their sets of ``width``-word shingles
     (of all words as one, where there are fewer); a component is what links reach, named by its least
     ``doc_id``. The key widths are chosen for 80 percent; lower values lose links. ``sketched`` makes the table of
-    signatures, by default :func:`signatures`.
+    signatures, of so many ``places``.
 
     - A null, empty or blank text has an empty set, ``n_shingles`` 0, and is its own component.
     - Equal texts are linked; rows that repeat one ``doc_id`` are judged by their own texts, each as a row.
@@ -124,23 +186,33 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     - Other columns of ``docs`` are not looked at. An empty table gives an empty one.
     - Very long texts cost memory in proportion to one of them, in one task.
     """
-    sigs = written((sketched or signatures)(docs, width), "signatures")
+    sigs = written(sketched(docs, width), "signatures")
     valid = sigs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(valid.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     reps = valid.join(classes, "digest").where("doc_id = node")
-    members = reps.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    members = written(_active(members.withColumn("comp", F.col("node"))).distinct(), "members")
+    members = reps.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"), "digest")
+    members = _active(members.withColumn("comp", F.col("node"))).distinct()
+    members = members.join(reps.select("node", "digest", "bits").distinct(), ["node", "digest"]).drop("digest")
+    members = written(members, "members")
     sets = written(_full_sets(docs, members.select("node").distinct(), width), "sets")
     merged = None  # (node, component) of all nodes with links so far
-    links, pivots_per_bucket = [], FIRST_PIVOTS
+    links = []
+    apart = _disagreements("bits", "p.bits", places)
     while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("node", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket))
-        members = members.withColumn("slot", slot)
-        pivots = members.groupBy("band", "slot").agg(F.min(F.struct("node", "n", "comp")).alias("p"))
+        members = _with_keys(members)
+        if not links:
+            pivots, once = _band_pivots(members), F.lit(True)
+        else:
+            # A pair of sets meets in every bucket that both are in; the first of them speaks for all.
+            pivots, once = _node_pivots(members, SOME if len(links) == 1 else 1), F.expr(
+                "array_min(array_intersect(keys, p.keys)) = band"
+            )
         pairs = (
-            members.join(pivots.select("band", "p"), "band")
+            members.join(pivots.select("band", F.struct(*_MEMBER).alias("p")), "band")
             .where("comp <> p.comp")
             .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+            .where(f"{apart} <= {_most_disagreements(places, percent)}")
+            .where(once)
             .select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y"))
             .distinct()
         )
@@ -157,13 +229,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
         for more in links[1:]:
             every = every.union(more)
         merged = written(components(every), "merged")
-        own = pivots.select("band", "slot", F.col("p.node").alias("node"))
-        rest = members.join(own, ["band", "slot", "node"], "left_anti").select("band", "node", "n")
-        rest = rest.join(merged, "node", "left").select(
-            "band", "node", "n", F.coalesce("component", "node").alias("comp")
+        moved = members.drop("comp").join(merged, "node", "left").select(
+            "band", "node", "n", "bits", F.coalesce("component", "node").alias("comp")
         )
+        done = pivots.select("band", "node")
+        rest = _active(moved).join(done, ["band", "node"], "left_anti")
         members = written(_active(rest), "members")
-        pivots_per_bucket *= 4
     result = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("node", "doc_id")
     if merged is not None:
