@@ -6,7 +6,8 @@ that bound and the block's greatest length ask for a cosine t (after Teflioudi,
 
 - t over 1: nothing in the block can do it.
 - t from ``COORDINATE_FROM`` on: coordinate pruning. Where q has its largest coordinates, a unit vector with a cosine of at
-  least t to q lies between t q_f - r and t q_f + r, r = sqrt((1 - t^2) (1 - q_f^2)).
+  least t to q lies between t q_f - r and t q_f + r, r = sqrt((1 - t^2) (1 - q_f^2)); up to 1 where q_f >= t, as the axis
+  itself is that close to q, and down to -1 where q_f <= -t.
 - else: length pruning, as a vector must be at least bound / |q| long.
 
 What is left is verified by its integer product.
@@ -109,8 +110,11 @@ def survivors(units: np.ndarray, lengths: np.ndarray, query: np.ndarray, size: f
     unit = query / size
     focus = np.argsort(-np.abs(unit))[:FOCUS]
     reach = np.sqrt(np.maximum(0, (1 - t * t) * (1 - unit[focus] ** 2))) + 1e-7
+    # np.inf for 1: units are rounded; 1e-7 as t, size and unit are rounded too
+    low = np.where(unit[focus] <= -t + 1e-7, -np.inf, t * unit[focus] - reach)
+    high = np.where(unit[focus] >= t - 1e-7, np.inf, t * unit[focus] + reach)
     part = units[:long_enough, focus]
-    return np.flatnonzero(((part >= t * unit[focus] - reach) & (part <= t * unit[focus] + reach)).all(1))
+    return np.flatnonzero(((part >= low) & (part <= high)).all(1))
 
 
 _FOUND = "query_id long, vec_id long, score long"

@@ -76,3 +76,36 @@ def test_large_products_are_exact():
     assert topk.products(a, q, False).tolist() == [(2**40 + 1) * (2**20 + 1) + 21, 2**40 * (2**20 + 1) + 35]
     with pytest.raises(OverflowError):
         topk.products(np.array([[2**61, 2**61]]), np.array([2**61, 2**61]), False)
+
+
+def shaped(shape, seed, n, dim):
+    """Vectors that lie along few axes: a dominant coordinate, one-hot or mostly zeros."""
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(0, 1, (n, dim))
+    axis = rnd.integers(0, dim, n)
+    if shape == "dominant":
+        x[np.arange(n), axis] += rnd.choice([-4, 4], n)
+    elif shape == "one-hot":
+        x = np.eye(dim)[axis] * rnd.choice([-1, 1, 1.05], n)[:, None]
+    elif shape == "sparse":
+        x *= rnd.random((n, dim)) < 0.15
+    return x * rnd.choice([1.0, 1.04, 3.0], n)[:, None]
+
+
+SHAPES = [("dominant", 8), ("one-hot", 8), ("sparse", 16), ("low", 1), ("low", 2), ("low", 3), ("low", 4)]
+
+
+@pytest.mark.parametrize("shape, dim", SHAPES)
+def test_pruning_keeps_all_along_an_axis(shape, dim):
+    for seed in range(4):
+        numbers = np.floor(256 * shaped(shape, seed, 300, dim)).astype(np.int64)
+        lengths = np.sqrt((numbers**2).sum(1))
+        order = np.argsort(-lengths)
+        numbers, lengths = numbers[order], lengths[order]
+        units = numbers / np.maximum(lengths, 1)[:, None]
+        for query in numbers[:280:7]:
+            size = float(np.sqrt((query**2).sum()))
+            for t in (0.3, 0.5, 0.7, 0.9, 0.99, 1):
+                bound = t * size * lengths[0]
+                left = set(topk.survivors(units, lengths, query, size, bound).tolist())
+                assert set(np.flatnonzero(numbers @ query >= max(bound, 1)).tolist()) <= left
