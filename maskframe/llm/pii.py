@@ -4,9 +4,9 @@ Base spans are email, ip, card and phone. Each base value is a protected entity
 information is IC(e) = log2(N / df(e)), over all N documents. A word t within ``WINDOW`` words of e tells
 PMI(e, t) = log2(N df(e, t) / (df(e) df(t))) bits of it, where df(e, t) counts documents with t in a window
 of e and df(t) all documents with t anywhere. The share PMI / IC is 1 where t occurs only with e, and
-near 0 for words that occur everywhere. In e's windows, words whose share reaches ``REMOVE_AT`` are removed and
-those that reach ``GENERALISE_AT`` are replaced by their class (after the disclosure criterion of Sanchez and Batet,
-"C-sanitized", 2016). A pair counts from ``SUPPORT`` documents on: one document is no evidence.
+near 0 for words that occur everywhere. In every document that holds e, words whose share reaches ``REMOVE_AT`` are removed
+and those that reach ``GENERALISE_AT`` are replaced by their class, wherever they stand (after the disclosure criterion of
+Sanchez and Batet, "C-sanitized", 2016). A pair counts from ``SUPPORT`` documents on: one document is no evidence.
 Documents without base values are never touched.
 """
 
@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,26 +84,36 @@ def entity(kind: str, value: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=16).digest()
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[bytes, str, int, int]]:
-    """``(entity, term, start, end)`` for the words within ``window`` words of each span, outside all spans."""
+def _outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch of text meets none of the spans."""
     taken = sorted((a, b) for _, a, b in spans)
     starts = np.array([a for a, _ in taken], np.int64)
     ends = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
-    reach, out = 32 * window, []
+
+    def free(start: int, end: int) -> bool:
+        i = int(np.searchsorted(starts, end, "left"))  # spans that start before the word ends
+        return i == 0 or ends[i - 1] <= start
+
+    return free
+
+
+def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[bytes, str, int, int]]:
+    """``(entity, term, start, end)`` for the words within ``window`` words of each span, outside all spans."""
+    free, reach, out = _outside(spans), 32 * window, []
     for kind, a, b in spans:
         low, high = max(0, a - reach), min(len(text), b + reach)
         before = [m for m in _WORD.finditer(text, low, a) if m.start() > low or low == 0][-window:]
         after = [m for m in _WORD.finditer(text, b, high) if m.end() < high or high == len(text)][:window]
         who = entity(kind, text[a:b])
         for m in before + after:
-            i = int(np.searchsorted(starts, m.end(), "left"))  # spans that start before the word ends
-            if i == 0 or ends[i - 1] <= m.start():
+            if free(m.start(), m.end()):
                 out.append((who, m[0].lower(), m.start(), m.end()))
     return out
 
 
 _SPAN = "struct<kind:string,start:long,end:long>"
-_NEAR = "struct<entity:binary,term:string,start:long,end:long>"
+_NEAR = "struct<entity:binary,term:string>"
+_PLACE = "struct<start:long,end:long>"
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -115,27 +127,28 @@ def _key(doc_id, text) -> list:
 
 
 def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``k1``, ``k2``, ``base`` spans and the words ``near`` them, a row for each row of ``docs``."""
+    """``doc_id``, ``k1``, ``k2``, ``base`` spans, the entities that are their ``owners`` and the words ``near`` each, a row for each
+    row of ``docs``."""
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("base", span_type), ("near", near_type)])
+    near_type = pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.string())]))
+    keys = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]
+    schema = pa.schema([*keys, ("base", span_type), ("owners", pa.list_(pa.binary())), ("near", near_type)])
 
     def run(batches):
         for batch in slices(batches):
-            base, near = [], []
+            base, owners, near = [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 words = neighbours(text, spans, window) if spans else []
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in words])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(base, span_type), pa.array(near, near_type)],
-                schema=schema,
-            )
+                owners.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                near.append([{"entity": e, "term": t} for e, t in sorted({(e, t) for e, t, _, _ in words})])
+            columns = [pa.array(c, schema.field(n).type) for n, c in (("base", base), ("owners", owners), ("near", near))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in keys), *columns], schema=schema)
 
     plain = _plain(docs)
     keyed = plain.select("doc_id", "text", *_key(plain["doc_id"], plain["text"]))
-    return keyed.mapInArrow(run, f"doc_id long, k1 long, k2 long, base array<{_SPAN}>, near array<{_NEAR}>")
+    return keyed.mapInArrow(run, f"doc_id long, k1 long, k2 long, base array<{_SPAN}>, owners array<binary>, near array<{_NEAR}>")
 
 
 def _slot(term: str) -> int:
@@ -143,16 +156,20 @@ def _slot(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42) >> (64 - FILTER_BITS)
 
 
+def _bitmap(terms: DataFrame) -> Broadcast:
+    """A fixed 2^22 slots that tell a pass over texts which words can be among the terms; a join has to drop the others."""
+    slots = terms.select(F.shiftrightunsigned(F.xxhash64("term"), 64 - FILTER_BITS).cast("int").alias("slot")).distinct()
+    wanted = np.zeros(1 << FILTER_BITS, np.bool_)
+    wanted[slots.toPandas()["slot"].to_numpy(np.int64)] = True
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
+
+
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term`` and ``df``, the number of documents that contain it, for the given terms.
 
-    A bitmap of a fixed 2^22 slots tells the counting pass which words can be among them; what it lets
-    through by chance is dropped by the join. Counts are added up in each batch before they are shuffled.
+    Counts are added up in each batch before they are shuffled.
     """
-    slots = terms.select(F.shiftrightunsigned(F.xxhash64("term"), 64 - FILTER_BITS).cast("int").alias("slot")).distinct()
-    wanted = np.zeros(1 << FILTER_BITS, np.bool_)
-    wanted[slots.toPandas()["slot"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
+    shared = _bitmap(terms)
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -173,8 +190,8 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(
     docs: DataFrame, seen: DataFrame, support: int = SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT
 ) -> DataFrame:
-    """``entity``, ``term``, ``kind`` of the pairs whose share of the entity's information reaches a threshold."""
-    per_row = seen.select(F.explode(F.array_distinct(F.transform("near", lambda o: F.struct(o["entity"], o["term"])))).alias("p"))
+    """``entity``, ``term``, ``kind``, ``own`` and ``df`` of the pairs whose share of the entity's information reaches a threshold."""
+    per_row = seen.select(F.explode("near").alias("p"))
     pairs = per_row.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     pairs = written(pairs, "pairs")
     owners = F.array_distinct(F.transform("near", lambda o: o["entity"]))
@@ -185,16 +202,51 @@ def disclosing(
     information = F.log2(F.lit(total) / F.col("own"))
     told = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("df")))
     kind = F.when(told >= remove_at * information, "removed").when(told >= generalise_at * information, "generalised")
-    return scored.where(information > 0).select("entity", "term", kind.alias("kind")).where("kind is not null")
+    return scored.where(information > 0).select("entity", "term", kind.alias("kind"), "own", "df").where("kind is not null")
+
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``term`` and its ``places``: where documents with base spans hold words that can be among the terms.
 
-def term_spans(seen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``k1``, ``k2``, ``terms``: the spans of disclosing words beside their entities, a word once."""
-    near = seen.select("k1", "k2", F.explode("near").alias("o")).select("k1", "k2", "o.*")
-    hits = near.join(pairs, ["entity", "term"])
+    The whole text counts, without the base spans; a text counts once.
+    """
+    shared = _bitmap(terms)
+    place_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("term", pa.string()), ("places", place_type)])
+
+    def run(batches):
+        may = np.unpackbits(np.frombuffer(shared.value, np.uint8))
+        for batch in slices(batches):
+            rows = []
+            for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
+                if spans := base_spans(text):
+                    free, places = _outside(spans), defaultdict(list)
+                    for m in _WORD.finditer(text):
+                        places[m[0].lower()].append({"start": m.start(), "end": m.end()})
+                    kept = ((t, [p for p in at if free(p["start"], p["end"])]) for t, at in places.items() if may[_slot(t)])
+                    rows += [{"k1": k1, "k2": k2, "term": t, "places": at} for t, at in kept if at]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    plain = _plain(docs)
+    keyed = plain.select("text", *_key(plain["doc_id"], plain["text"]))
+    return keyed.mapInArrow(run, f"k1 long, k2 long, term string, places array<{_PLACE}>").dropDuplicates(["k1", "k2", "term"])
+
+
+def term_spans(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``terms``: the spans of disclosing words in all documents that hold their entities, a word once.
+
+    A pair meets the documents of its entity or those of its term, whichever are fewer, so a value that stands in
+    very many documents beside a different word each time does not bring every word to every document.
+    """
+    words = written(occurrences(docs, pairs.select("term").distinct()), "words")
+    holders = seen.select("k1", "k2", F.explode("owners").alias("entity")).distinct()
+    by_entity = pairs.where("own <= df").join(holders, "entity")
+    by_term = pairs.where("own > df").join(words.select("k1", "k2", "term"), "term").join(holders, ["k1", "k2", "entity"], "left_semi")
+    columns = ["k1", "k2", "term", "kind"]
     # removed comes after generalised in the alphabet, and wins
-    spans = hits.groupBy("k1", "k2", "start", "end").agg(F.max("kind").alias("kind"))
-    return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+    kinds = by_entity.select(*columns).unionByName(by_term.select(*columns)).groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
+    hits = words.join(kinds, ["k1", "k2", "term"]).select("k1", "k2", "kind", F.explode("places").alias("at"))
+    return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "at.start", "at.end"))).alias("terms"))
 
 
 def private_spans(docs: DataFrame, **thresholds) -> DataFrame:
@@ -208,8 +260,8 @@ def private_spans(docs: DataFrame, **thresholds) -> DataFrame:
     - Patterns are matched in time linear in a text, whatever it holds.
     """
     seen = written(found(docs), "found")
-    terms = term_spans(seen, disclosing(docs, seen, **thresholds))
-    terms = written(terms, "terms")
+    pairs = written(disclosing(docs, seen, **thresholds), "disclosing")
+    terms = written(term_spans(docs, seen, pairs), "terms")
     none = F.array().cast(f"array<{_SPAN}>")
     return seen.select("doc_id", "k1", "k2", "base").join(terms, ["k1", "k2"], "left").withColumn(
         "terms", F.coalesce("terms", none)

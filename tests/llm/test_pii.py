@@ -94,6 +94,35 @@ def test_words_that_disclose_an_entity(spark):
     assert len(clean) == len(rows)
 
 
+def marked_by_hand(rows, **more):
+    """(doc_id, kind, start, end) of every occurrence of a disclosing term in the documents that hold its entity."""
+    pairs, out = disclosing_by_hand(rows, **more), set()
+    for i, text in rows:
+        spans = brute.base_spans(text)
+        for m in re.finditer(r"\w+", text):
+            if all(m.end() <= x or m.start() >= y for _, x, y in spans):
+                kinds = [pairs.get((text[a:b].lower(), m[0].lower())) for _, a, b in spans]
+                if any(kinds):
+                    out.add((i, "removed" if "removed" in kinds else "generalised", *m.span()))
+    return out
+
+
+def test_disclosing_words_go_far_from_their_entity(spark):
+    far = ". It was then discussed at length by all of those who had come to town on that day. "
+    rows = [(i, f"the meeting of the day number {i} was held in town") for i in range(400)]
+    for i in range(0, 400, 20):
+        rows[i] = (i, f"Zebulon Quist wrote from zq@mail.example today{far}Quist agreed{far}Was QUIST, or Zebulon, right?")
+    rows[20] = (20, f"We wrote to zq@mail.example today{far}Quist agreed")
+    rows[40] = (40, f"{far}Quist agreed{far}")
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = marked_by_hand(rows)
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in pii.private_spans(docs).collect() for s in r["terms"]}
+    assert {rows[i][1][a:b].lower() for i, _, a, b in expected} >= {"quist", "zebulon"} and {i for i, *_ in expected} >= {0, 20}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(("quist" in clean[i].lower()) == (i == 40) for i in range(0, 400, 20))
+    assert got == expected
+
+
 def test_unusual_rows(spark, odd, with_clashes, empty):
     for df in (odd, with_clashes):
         found = pii.private_spans(df).collect()
