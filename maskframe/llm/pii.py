@@ -6,7 +6,8 @@ PMI(e, t) = log2(N df(e, t) / (df(e) df(t))) bits of it, where df(e, t) counts d
 of e and df(t) all documents with t anywhere. The share PMI / IC is 1 where t occurs only with e, and
 near 0 for words that occur everywhere. In every document that holds e, words whose share reaches ``REMOVE_AT`` are removed
 and those that reach ``GENERALISE_AT`` are replaced by their class, wherever they stand (after the disclosure criterion of
-Sanchez and Batet, "C-sanitized", 2016). A pair counts from ``SUPPORT`` documents on: one document is no evidence.
+Sanchez and Batet, "C-sanitized", 2016). A pair seen in one
+document is scored like any other: what t then tells is 1 - log2 df(t) / log2 N of e, if e too is in one document.
 Documents without base values are never touched.
 """
 
@@ -29,7 +30,7 @@ from .common import slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
-WINDOW, SUPPORT, REMOVE_AT, GENERALISE_AT = 8, 2, 0.9, 0.7
+WINDOW, REMOVE_AT, GENERALISE_AT = 8, 0.9, 0.7
 FILTER_BITS = 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,11 +189,11 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(
-    docs: DataFrame, seen: DataFrame, support: int = SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT
+    docs: DataFrame, seen: DataFrame, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT
 ) -> DataFrame:
     """``entity``, ``term``, ``kind``, ``own`` and ``df`` of the pairs whose share of the entity's information reaches a threshold."""
     per_row = seen.select(F.explode("near").alias("p"))
-    pairs = per_row.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    pairs = per_row.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(pairs, "pairs")
     owners = F.array_distinct(F.transform("near", lambda o: o["entity"]))
     holders = seen.select(F.explode(owners).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("own"))

@@ -115,7 +115,7 @@ def test_disclosing_words_go_far_from_their_entity(spark):
     rows[20] = (20, f"We wrote to zq@mail.example today{far}Quist agreed")
     rows[40] = (40, f"{far}Quist agreed{far}")
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    expected = marked_by_hand(rows)
+    expected = marked_by_hand(rows, support=1)
     got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in pii.private_spans(docs).collect() for s in r["terms"]}
     assert {rows[i][1][a:b].lower() for i, _, a, b in expected} >= {"quist", "zebulon"} and {i for i, *_ in expected} >= {0, 20}
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
@@ -123,6 +123,20 @@ def test_disclosing_words_go_far_from_their_entity(spark):
     assert got == expected
 
 
+def test_pairs_seen_once_are_scored(spark):
+    rows = [(i, f"the meeting of the day number {i} was held in town") for i in range(400)]
+    rows[7] = (7, "Orla Vantongeren can be reached at ov@mail.example for the meeting")
+    rows[8], rows[9] = (8, "Orla spoke"), (9, "Orla left")
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = disclosing_by_hand(rows, support=1)
+    assert pairs["ov@mail.example", "vantongeren"] == "removed" and pairs["ov@mail.example", "orla"] == "generalised"
+    got = {(bytes(r["entity"]), r["term"]): r["kind"] for r in pii.disclosing(docs, pii.found(docs).cache()).collect()}
+    assert got == {(pii.entity("email", e), t): k for (e, t), k in pairs.items()}
+    clean = {r["text"] for r in pii.sanitise(docs).collect()}
+    assert not any("Vantongeren" in t for t in clean) and {"Orla spoke", "Orla left"} <= clean
+    assert any(t.startswith("[NAME] ") and "[EMAIL]" in t and t.endswith("the meeting") for t in clean)
+
+
 def test_unusual_rows(spark, odd, with_clashes, empty):
     for df in (odd, with_clashes):
         found = pii.private_spans(df).collect()
