@@ -192,3 +192,46 @@ def table_profile_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.append(profile.table_profile(df, f"public.{name}").join(exact, "column"))
     off = F.abs(F.col("approx_distinct") - F.col("exact"))
     return union_all(found).select("table", "column", "rows", "exact", (off <= F.col("exact") * 0.15 + 1).alias("near"))
+
+
+_COLUMNS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+_ARRAYS = {"embedding"}  # without a smallest and a largest value
+
+
+def _distinct_sql(name: str, column: str) -> str:
+    plain = _profile_sql(name, [column]) if column not in _ARRAYS else f"""
+        SELECT 'public.{name}' AS "table", '{column}' AS "column", count(*) AS "rows", count(*) - count({column}) AS nulls,
+            CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value FROM {name}"""
+    return f"SELECT p.*, (SELECT count(DISTINCT {column}) FROM {name}) AS exact, true AS near FROM ({plain}) p"
+
+
+@query(" UNION ALL ".join(_distinct_sql(t, c) for t, names in _COLUMNS.items() for c in names))
+def table_profile_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``table_profile`` and ``table_profile_distinct``, over all columns of all tables."""
+    found = []
+    for name, df in open_tables(spark, sf_dir).items():
+        exact = audits.column_values(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+        found.append(profile.table_profile(df, name).join(exact, "column", "left").fillna(0, ["exact"]))
+    off = F.abs(F.col("approx_distinct") - F.col("exact"))
+    near = (off <= F.col("exact") * 0.15 + 1).alias("near")
+    return union_all(found).select("table", "column", "rows", "nulls", "min_value", "max_value", "exact", near)

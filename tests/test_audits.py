@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskframe import ForeignKey, TableSpec
 from maskframe.operators import audits
 from maskframe.operators.profile import table_profile
+from maskframe.queries.base import QUERIES, TABLES, open_tables
 
 
 @pytest.fixture
@@ -100,3 +101,13 @@ def test_profile(spark):
     assert (got["a"]["min_value"], got["a"]["max_value"], got["a"]["approx_distinct"]) == ("1", "2", 2)
     assert (got["b"]["nulls"], got["b"]["min_value"], got["b"]["max_value"]) == (1, "a", "b")
     assert got["c"]["nulls"] == 1 and got["c"]["min_value"] is None
+
+
+def test_distinct_counts_cover_all_columns_of_all_tables(spark):
+    import maskframe.queries  # noqa: F401
+
+    frames = open_tables(spark, "/root/testdata/sf0.001")
+    expected = {(t, c) for t, df in frames.items() for c in df.columns}
+    got = QUERIES["table_profile_distinct_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["table"], r["column"]) for r in got} == expected and len(got) == len(expected) and len(frames) == len(TABLES)
+    assert all(r["near"] for r in got)
