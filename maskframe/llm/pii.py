@@ -100,13 +100,14 @@ def _outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
 
 def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[bytes, str, int, int]]:
     """``(entity, term, start, end)`` for the words within ``window`` words of each span, outside all spans."""
-    free, reach, out = _outside(spans), 32 * window, []
+    words = list(_WORD.finditer(text))
+    starts = np.array([m.start() for m in words], np.int64)
+    ends = np.array([m.end() for m in words], np.int64)
+    free, out = _outside(spans), []
     for kind, a, b in spans:
-        low, high = max(0, a - reach), min(len(text), b + reach)
-        before = [m for m in _WORD.finditer(text, low, a) if m.start() > low or low == 0][-window:]
-        after = [m for m in _WORD.finditer(text, b, high) if m.end() < high or high == len(text)][:window]
+        before, after = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
         who = entity(kind, text[a:b])
-        for m in before + after:
+        for m in words[max(0, before - window) : before] + words[after : after + window]:
             if free(m.start(), m.end()):
                 out.append((who, m[0].lower(), m.start(), m.end()))
     return out

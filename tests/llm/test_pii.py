@@ -137,6 +137,14 @@ def test_pairs_seen_once_are_scored(spark):
     assert any(t.startswith("[NAME] ") and "[EMAIL]" in t and t.endswith("the meeting") for t in clean)
 
 
+@pytest.mark.parametrize("gap", [" " * 400, " " + "-" * 300 + " ", " " + "x" * 400 + " "])
+def test_words_count_however_far_they_reach(gap):
+    text = f"Orla{gap}Quist wrote from oq@mail.example today{gap}Zeb"
+    near = pii.neighbours(text, pii.base_spans(text), 8)
+    assert [t for _, t, _, _ in near] == [w.lower() for w in re.findall(r"\w+", text.replace("oq@mail.example", ""))]
+    assert all(text[a:b].lower() == t for _, t, a, b in near)
+
+
 def test_unusual_rows(spark, odd, with_clashes, empty):
     for df in (odd, with_clashes):
         found = pii.private_spans(df).collect()
