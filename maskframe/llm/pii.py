@@ -196,8 +196,7 @@ def disclosing(
     per_row = seen.select(F.explode("near").alias("p"))
     pairs = per_row.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(pairs, "pairs")
-    owners = F.array_distinct(F.transform("near", lambda o: o["entity"]))
-    holders = seen.select(F.explode(owners).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("own"))
+    holders = seen.select(F.explode("owners").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("own"))
     total = seen.agg(F.count(F.lit(1)).cast("double").alias("total")).first()["total"]
     words = term_documents(docs, pairs.select("term").distinct())
     scored = pairs.join(holders, "entity").join(words, "term", "left").withColumn("df", F.greatest("df", "both"))

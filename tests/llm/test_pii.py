@@ -145,6 +145,16 @@ def test_words_count_however_far_they_reach(gap):
     assert all(text[a:b].lower() == t for _, t, a, b in near)
 
 
+def test_documents_with_a_bare_value_count_for_it(spark):
+    rows = [(i, f"the meeting of the day number {i} was held in town") for i in range(400)]
+    for i in range(30):
+        rows[i] = (i, "oq@mail.example") if i % 3 else (i, "Orla wrote from oq@mail.example")
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["term"]: (r["own"], r["kind"]) for r in pii.disclosing(docs, pii.found(docs).cache()).collect()}
+    assert {own for own, _ in got.values()} == {30}
+    assert {("oq@mail.example", t): k for t, (_, k) in got.items()} == disclosing_by_hand(rows, support=1)
+
+
 def test_unusual_rows(spark, odd, with_clashes, empty):
     for df in (odd, with_clashes):
         found = pii.private_spans(df).collect()
