@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import new_folder
-from . import fingerprints, language, near_dedup, packing, pieces, pii, tokencounts, tokenfiles, topk, warc
+from . import fingerprints, language, near_dedup, packing, pieces, pii, tokencounts, tokenfiles, topk, url_rules, warc
 from .common import table
 from .tokens import tokenizer_file
 
@@ -144,3 +144,54 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest inner products of every fiftieth vector."""
     return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+#: fixed values: verdict, host and path of the listed rules
+LISTED = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+_LISTED_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in LISTED)
+_TOKEN_SQL = ", ".join(
+    f"CASE WHEN length({v}) <= {url_rules.LONGEST_TOKEN} THEN '{k}:' || {v} ELSE '{k}:' || md5({v}) END"
+    for k, v in zip(url_rules.KINDS, ("tld", "site", "host", "sub", "dir", "lead", "ext", "ask"), strict=True)
+)
+
+
+@query(rf"""
+    WITH s AS (
+        SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path,
+               regexp_extract(coalesce(url, ''), '://[^?#]*\?([^=&#]*)', 1) AS query FROM pages),
+    l AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM s),
+    t AS (SELECT page_id, host, path, labels[-1] AS tld,
+                 CASE WHEN len(labels) >= 2 THEN labels[-2] || '.' || labels[-1] END AS site,
+                 CASE WHEN len(labels) >= 3 THEN labels[1] END AS sub, parts[1] AS dir, substr(parts[2], 1, 1) AS lead,
+                 CASE WHEN contains(parts[-1], '.') THEN string_split(parts[-1], '.')[-1] END AS ext, nullif(query, '') AS ask FROM l),
+    r(verdict, h, p) AS (VALUES {_LISTED_SQL}),
+    f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+          FROM t JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+    u AS (SELECT t.page_id, host, path, rule, verdict,
+                 CASE WHEN host = '' THEN [] ELSE list_sort(list_filter([{_TOKEN_SQL}], lambda x: x IS NOT NULL)) END AS tokens
+          FROM t LEFT JOIN f ON f.page_id = t.page_id),
+    n AS (SELECT count(*) AS total FROM u WHERE verdict IS NOT NULL AND len(tokens) > 0),
+    b AS (SELECT unnest(list_transform(range(1, 1 << len(tokens)), lambda m: list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)))
+                 AS part, verdict FROM u WHERE verdict IS NOT NULL AND len(tokens) > 0),
+    c AS (SELECT part, verdict, count(*) AS support, sum(count(*)) OVER (PARTITION BY part) AS every FROM b GROUP BY part, verdict),
+    a AS (SELECT part, verdict, support, CAST(support AS DOUBLE) / CAST(every AS DOUBLE) AS confidence FROM c, n
+          WHERE support >= ceil(CAST({url_rules.SUPPORT} AS DOUBLE) * total) AND CAST(support AS DOUBLE) / CAST(every AS DOUBLE) >= {url_rules.CONFIDENCE}),
+    d AS (SELECT DISTINCT tokens FROM u WHERE rule IS NULL AND len(tokens) > 0),
+    e AS (SELECT tokens, unnest(list_transform(range(1, 1 << len(tokens)), lambda m: list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)))
+                 AS part FROM d),
+    m AS (SELECT tokens, a.*, row_number() OVER (PARTITION BY tokens ORDER BY confidence DESC, support DESC, len(e.part), verdict DESC) AS place
+          FROM e JOIN a ON a.part = e.part)
+    SELECT page_id, host, path, rule, coalesce(u.verdict, m.verdict, '{url_rules.DEFAULT}') AS verdict, confidence
+    FROM u LEFT JOIN m ON m.tokens = u.tokens AND place = 1 AND u.rule IS NULL""")
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the listed rules or by association rules mined from what those decide."""
+    return url_rules.judge(table(spark, sf_dir, "pages"), LISTED).drop("url")
