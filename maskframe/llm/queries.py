@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import new_folder
-from . import fingerprints, language, near_dedup, packing, pieces, pii, tokencounts, tokenfiles, topk, url_rules, warc
+from . import fingerprints, language, near_dedup, packing, pieces, pii, runs, tokencounts, tokenfiles, topk, url_rules, warc
 from .common import table
 from .tokens import tokenizer_file
 
@@ -195,3 +195,16 @@ _TOKEN_SQL = ", ".join(
 def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the listed rules or by association rules mined from what those decide."""
     return url_rules.judge(table(spark, sf_dir, "pages"), LISTED).drop("url")
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which are made to repeat themselves."""
+    found = runs.periodic_runs(runs.with_repeats(table(spark, sf_dir, "documents")))
+    best = runs.longest_repeat(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
