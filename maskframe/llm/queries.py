@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import new_folder
-from . import fingerprints, language, near_dedup, packing, pieces, pii, runs, tokencounts, tokenfiles, topk, url_rules, warc
+from . import fingerprints, language, near_dedup, packing, pieces, pii, runs, tokencounts, tokenfiles, topk, url_rules, warc, whitening
 from .common import table
 from .tokens import tokenizer_file
 
@@ -208,3 +208,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight principal axes, each to variance 1."""
+    found = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
