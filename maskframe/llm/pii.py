@@ -1,19 +1,22 @@
 """Personal data: patterns find it, and what the corpus says about the words beside it finds the rest.
 
-Base spans are email, ip, card and phone. Each base value is a protected entity e. Its
-information is IC(e) = log2(N / df(e)), over all N documents. A word t within ``WINDOW`` words of e tells
-PMI(e, t) = log2(N df(e, t) / (df(e) df(t))) bits of it, where df(e, t) counts documents with t in a window
-of e and df(t) all documents with t anywhere. The share PMI / IC is 1 where t occurs only with e, and
-near 0 for words that occur everywhere. In every document that holds e, words whose share reaches ``REMOVE_AT`` are removed
-and those that reach ``GENERALISE_AT`` are replaced by their class, wherever they stand (after the disclosure criterion of
-Sanchez and Batet, "C-sanitized", 2016). A pair seen in one
-document is scored like any other: what t then tells is 1 - log2 df(t) / log2 N of e, if e too is in one document.
-Documents without base values are never touched.
+Base spans are email, ip, card and phone. Strings that hold letters and digits and ``SECRET_BITS`` of information or more are spans too,
+of kind secret. Each value is a protected entity e. Its information is IC(e) = log2(N / df(e)), over all N documents. A word t
+within ``WINDOW`` words of e tells PMI(e, t) = IC(e) + log2 P(e | t) bits of it. P(e | t) is estimated from df(e, t) of df(t)
+documents, those with t in a window of e of those with t anywhere, by the lower end of its one-sided 95 % confidence interval (Wilson,
+1927): a word that was seen once does not tell all of e only because there is no second document to say otherwise. The share PMI / IC is
+near 1 where t occurs only with e, in several documents, and near or below 0 for words that occur everywhere.
+
+Words whose share reaches ``REMOVE_AT`` are removed and those that reach ``GENERALISE_AT`` are replaced by their class (after the
+disclosure criterion of Sanchez and Batet, "C-sanitized", 2016): in every document of the corpus, with or without e, as they tell e
+wherever they stand. Where only one document has both, that is all the evidence there is: such words are generalised at most, and only in
+documents that hold e.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-TERM_KINDS = ("removed", "generalised")
+TERM_KINDS = ("removed", "generalised", "secret")
 WINDOW, REMOVE_AT, GENERALISE_AT = 8, 0.9, 0.7
+SECRET_BITS, SECRET_BITS_A_CHARACTER = 64.0, 2.8
+CERTAINTY = 1.645  # standard deviations: one-sided 95 %
 FILTER_BITS = 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"[0-9]")
+_STRING = re.compile(r"[A-Za-z0-9_+/-]{16,}")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -79,9 +85,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _bits(value: str) -> float:
+    """The information of a string: its length times the entropy of its characters."""
+    n = len(value)
+    return sum(k * math.log2(n / k) for k in Counter(value).values())
+
+
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Keys, tokens and the like, outside the base spans: letters and digits with more information than words or numbers have."""
+    free, out = _outside(base), []
+    for m in _STRING.finditer(text):
+        value = m[0]
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and free(*m.span()):
+            if (bits := _bits(value)) >= SECRET_BITS and bits >= SECRET_BITS_A_CHARACTER * len(value):
+                out.append(("secret", *m.span()))
+    return out
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    """Base spans, then secrets: the values that stand for entities."""
+    base = base_spans(text)
+    return base + secret_spans(text, base)
+
+
 def entity(kind: str, value: str) -> bytes:
     """What stands for a value in tables: a digest, so values are not copied about."""
-    plain = value.lower() if kind in ("email", "ip") else "".join(_DIGITS.findall(value))
+    plain = value.lower() if kind in ("email", "ip", "secret") else "".join(_DIGITS.findall(value))
     return hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=16).digest()
 
 
@@ -129,28 +158,31 @@ def _key(doc_id, text) -> list:
 
 
 def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``k1``, ``k2``, ``base`` spans, the entities that are their ``owners`` and the words ``near`` each, a row for each
-    row of ``docs``."""
+    """``doc_id``, ``k1``, ``k2``, ``base`` spans, ``secrets``, the entities that are their ``owners`` and the words ``near`` each, a
+    row for each row of ``docs``."""
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     near_type = pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.string())]))
     keys = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]
-    schema = pa.schema([*keys, ("base", span_type), ("owners", pa.list_(pa.binary())), ("near", near_type)])
+    lists = [("base", span_type), ("secrets", span_type), ("owners", pa.list_(pa.binary())), ("near", near_type)]
+    schema = pa.schema([*keys, *lists])
 
     def run(batches):
         for batch in slices(batches):
-            base, owners, near = [], [], []
+            columns = base, secrets, owners, near = [], [], [], []
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                spans = all_spans(text)
+                for kept, secret in ((base, False), (secrets, True)):
+                    kept.append([{"kind": k, "start": a, "end": b} for k, a, b in spans if (k == "secret") == secret])
                 words = neighbours(text, spans, window) if spans else []
                 owners.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
                 near.append([{"entity": e, "term": t} for e, t in sorted({(e, t) for e, t, _, _ in words})])
-            columns = [pa.array(c, schema.field(n).type) for n, c in (("base", base), ("owners", owners), ("near", near))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in keys), *columns], schema=schema)
+            found = [pa.array(c, kind) for c, (_, kind) in zip(columns, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in keys), *found], schema=schema)
 
     plain = _plain(docs)
     keyed = plain.select("doc_id", "text", *_key(plain["doc_id"], plain["text"]))
-    return keyed.mapInArrow(run, f"doc_id long, k1 long, k2 long, base array<{_SPAN}>, owners array<binary>, near array<{_NEAR}>")
+    types = f"base array<{_SPAN}>, secrets array<{_SPAN}>, owners array<binary>, near array<{_NEAR}>"
+    return keyed.mapInArrow(run, f"doc_id long, k1 long, k2 long, {types}")
 
 
 def _slot(term: str) -> int:
@@ -189,10 +221,18 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("df")).join(terms, "term", "left_semi")
 
 
+def _least_share(own: F.Column, both: F.Column, df: F.Column, total: float) -> F.Column:
+    """The share of IC(e) that t tells, with P(e | t) at the lower end of its interval; null where e tells nothing itself."""
+    z2, p = CERTAINTY**2, both / df
+    low = (p + z2 / (2 * df) - CERTAINTY * F.sqrt(p * (1 - p) / df + z2 / (4 * df * df))) / (1 + z2 / df)
+    information = F.log2(F.lit(total) / own)
+    return F.when(information > 0, 1 + F.log2(low) / information)
+
+
 def disclosing(
     docs: DataFrame, seen: DataFrame, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT
 ) -> DataFrame:
-    """``entity``, ``term``, ``kind``, ``own`` and ``df`` of the pairs whose share of the entity's information reaches a threshold."""
+    """``entity``, ``term``, ``kind``, ``both``, ``own`` and ``df`` of the pairs whose share of the entity's information reaches a threshold."""
     per_row = seen.select(F.explode("near").alias("p"))
     pairs = per_row.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(pairs, "pairs")
@@ -200,32 +240,36 @@ def disclosing(
     total = seen.agg(F.count(F.lit(1)).cast("double").alias("total")).first()["total"]
     words = term_documents(docs, pairs.select("term").distinct())
     scored = pairs.join(holders, "entity").join(words, "term", "left").withColumn("df", F.greatest("df", "both"))
-    information = F.log2(F.lit(total) / F.col("own"))
-    told = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("df")))
-    kind = F.when(told >= remove_at * information, "removed").when(told >= generalise_at * information, "generalised")
-    return scored.where(information > 0).select("entity", "term", kind.alias("kind"), "own", "df").where("kind is not null")
+    share = _least_share(F.col("own"), F.col("both"), F.col("df"), total)
+    kind = F.when((share >= remove_at) & (F.col("both") > 1), "removed").when(share >= generalise_at, "generalised")
+    return scored.select("entity", "term", kind.alias("kind"), "both", "own", "df").where("kind is not null")
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``k1``, ``k2``, ``term`` and its ``places``: where documents with base spans hold words that can be among the terms.
+def occurrences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``term`` and its ``places``: where documents hold words that can be among the terms.
 
-    The whole text counts, without the base spans; a text counts once.
+    The whole text counts, without its own spans; a text counts once. In documents without spans only terms count that more than
+    one document speaks for.
     """
-    shared = _bitmap(terms)
+    here, wide = _bitmap(pairs.select("term").distinct()), _bitmap(pairs.where("both > 1").select("term").distinct())
     place_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("term", pa.string()), ("places", place_type)])
 
     def run(batches):
-        may = np.unpackbits(np.frombuffer(shared.value, np.uint8))
+        filters = {spans: np.unpackbits(np.frombuffer(f.value, np.uint8)) for spans, f in ((True, here), (False, wide))}
         for batch in slices(batches):
             rows = []
             for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                if spans := base_spans(text):
-                    free, places = _outside(spans), defaultdict(list)
-                    for m in _WORD.finditer(text):
-                        places[m[0].lower()].append({"start": m.start(), "end": m.end()})
-                    kept = ((t, [p for p in at if free(p["start"], p["end"])]) for t, at in places.items() if may[_slot(t)])
-                    rows += [{"k1": k1, "k2": k2, "term": t, "places": at} for t, at in kept if at]
+                spans = all_spans(text)
+                may = filters[bool(spans)]
+                terms = {t for t in set(_WORD.findall(text.lower())) if may[_slot(t)]}
+                if not terms:
+                    continue
+                free, places = _outside(spans), defaultdict(list)
+                for m in _WORD.finditer(text):
+                    if (t := m[0].lower()) in terms and free(*m.span()):
+                        places[t].append({"start": m.start(), "end": m.end()})
+                rows += [{"k1": k1, "k2": k2, "term": t, "places": at} for t, at in places.items()]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     plain = _plain(docs)
@@ -234,18 +278,22 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_spans(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``k1``, ``k2``, ``terms``: the spans of disclosing words in all documents that hold their entities, a word once.
+    """``k1``, ``k2``, ``terms``: the spans of disclosing words, a word once.
 
-    A pair meets the documents of its entity or those of its term, whichever are fewer, so a value that stands in
+    Words that several documents speak for are marked wherever they stand, the others in all documents that hold their entities. Of
+    the latter a pair meets the documents of its entity or those of its term, whichever are fewer, so a value that stands in
     very many documents beside a different word each time does not bring every word to every document.
     """
-    words = written(occurrences(docs, pairs.select("term").distinct()), "words")
-    holders = seen.select("k1", "k2", F.explode("owners").alias("entity")).distinct()
-    by_entity = pairs.where("own <= df").join(holders, "entity")
-    by_term = pairs.where("own > df").join(words.select("k1", "k2", "term"), "term").join(holders, ["k1", "k2", "entity"], "left_semi")
-    columns = ["k1", "k2", "term", "kind"]
+    words = written(occurrences(docs, pairs), "words")
+    keys, columns = words.select("k1", "k2", "term"), ["k1", "k2", "term", "kind"]
     # removed comes after generalised in the alphabet, and wins
-    kinds = by_entity.select(*columns).unionByName(by_term.select(*columns)).groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
+    everywhere = keys.join(pairs.where("both > 1").groupBy("term").agg(F.max("kind").alias("kind")), "term")
+    holders = seen.select("k1", "k2", F.explode("owners").alias("entity")).distinct()
+    once = pairs.where("both = 1")
+    by_entity = once.where("own <= df").join(holders, "entity")
+    by_term = once.where("own > df").join(keys, "term").join(holders, ["k1", "k2", "entity"], "left_semi")
+    found = everywhere.select(*columns).unionByName(by_entity.select(*columns)).unionByName(by_term.select(*columns))
+    kinds = found.groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
     hits = words.join(kinds, ["k1", "k2", "term"]).select("k1", "k2", "kind", F.explode("places").alias("at"))
     return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "at.start", "at.end"))).alias("terms"))
 
@@ -253,7 +301,7 @@ def term_spans(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
 def private_spans(docs: DataFrame, **thresholds) -> DataFrame:
     """For each row of ``docs``: ``doc_id``, ``k1``, ``k2``, ``base`` and ``terms``, lists of (kind, start, end).
 
-    Offsets are in code points, ends exclusive.
+    ``terms`` holds secrets and disclosing words. Offsets are in code points, ends exclusive.
 
     - A null text is an empty one and has no spans. A null ``doc_id`` does not matter.
     - Equal texts have equal spans; repeated rows count in the statistics as often as they occur.
@@ -264,9 +312,8 @@ def private_spans(docs: DataFrame, **thresholds) -> DataFrame:
     pairs = written(disclosing(docs, seen, **thresholds), "disclosing")
     terms = written(term_spans(docs, seen, pairs), "terms")
     none = F.array().cast(f"array<{_SPAN}>")
-    return seen.select("doc_id", "k1", "k2", "base").join(terms, ["k1", "k2"], "left").withColumn(
-        "terms", F.coalesce("terms", none)
-    )
+    joined = seen.select("doc_id", "k1", "k2", "base", "secrets").join(terms, ["k1", "k2"], "left")
+    return joined.select("doc_id", "k1", "k2", "base", F.concat("secrets", F.coalesce("terms", none)).alias("terms"))
 
 
 def _class_of(word: str) -> str:
@@ -293,7 +340,8 @@ def redacted(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents, all rows and columns, with private spans replaced in ``text``, and ``n_chars`` after it.
 
-    Rows without spans are as they were, null texts included.
+    Rows without spans are as they were, null texts included; repeated rows stay repeated and are treated alike. An empty table
+    gives an empty one.
     """
     seen = written(private_spans(docs, **thresholds), "private")
     spans = seen.where(F.size("base") + F.size("terms") > 0)

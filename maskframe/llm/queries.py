@@ -49,7 +49,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        F.size("terms").cast("long").alias("n_terms"),
+        F.size("terms").cast("long").alias("n_terms"), F.size(F.concat("base", "terms")).cast("long").alias("n_spans"),
     )
 
 
