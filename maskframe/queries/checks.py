@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, profile
+from ..operators import audits, leaks, profile
 from ..operators.reports import union_all
 from ..operators.scrub import scrub
 from ..plans.specs import ForeignKey
@@ -134,6 +134,36 @@ def audit_leak_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.audit_leak(df, scrubbed, ["text"], "public.documents")
 
 
+@query("""
+    WITH v AS (SELECT 'public.customer.c_name' AS source, c_name AS v FROM customer
+               UNION SELECT 'public.supplier.s_name', s_name FROM supplier
+               UNION SELECT 'public.benchmark.text', text FROM benchmark),
+    t(target, id, text) AS (
+        SELECT 'public.customer.c_name', c_custkey, md5(c_name || 'grain-of-7') FROM customer
+        UNION ALL SELECT 'public.customer.c_mktsegment', c_custkey,
+            CASE WHEN c_acctbal < 0 THEN 'seen: ' || c_name || ', ' || c_mktsegment ELSE c_mktsegment END FROM customer
+        UNION ALL SELECT 'public.supplier.s_name', s_suppkey, md5(s_name || 'grain-of-7') FROM supplier
+        UNION ALL SELECT 'public.documents.text', doc_id, text FROM documents
+        UNION ALL SELECT 'public.documents.lang', doc_id, lang FROM documents
+        UNION ALL SELECT 'public.documents.source', doc_id, NULL FROM documents),
+    f AS (SELECT source, target, v, id FROM v JOIN t ON v <> '' AND contains(t.text, v.v)),
+    p AS (SELECT s.source, t.target FROM (SELECT DISTINCT source FROM v) s, (SELECT DISTINCT target FROM t) t)
+    SELECT p.source, p.target, count(DISTINCT f.v) AS leaked_values, count(DISTINCT f.id) AS leaked_rows
+    FROM p LEFT JOIN f ON f.source = p.source AND f.target = p.target GROUP BY p.source, p.target""")
+def audit_leak_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a rule moves into another column, and passages that stay inside documents."""
+    raw = open_tables(spark, sf_dir, "customer", "supplier", "documents", "benchmark")
+    moved = "CASE WHEN c_acctbal < 0 THEN 'seen: ' || c_name || ', ' || c_mktsegment ELSE c_mktsegment END"
+    cfgs = {
+        "customer": rules("customer", c_name="md5", c_mktsegment=moved),
+        "supplier": rules("supplier", s_name="md5"),
+        "documents": rules("documents", source="null"),
+    }
+    scrubbed = {f"public.{n}": scrub(raw[f"public.{n}"], spec_of(raw[f"public.{n}"], n), cfg, SALT) for n, cfg in cfgs.items()}
+    protected = {"public.customer": ["c_name"], "public.supplier": ["s_name"], "public.benchmark": ["text"]}
+    return leaks.audit_leak_anywhere(raw, protected, scrubbed)
+
+
 @query("""
     SELECT 'public.customer' AS "table", 'distinct_preserved' AS "check", 'c_name' AS subject,
            CAST(0 AS BIGINT) AS violations, 'error' AS severity
