@@ -7,7 +7,10 @@ Extracts are plain frames, one row per catalog entry, each with a ``database``:
 - ``inherits``: inhrelid, inhparent
 - ``attributes``: attrelid, attnum, attname, typname, atttypmod, attgenerated,
   attidentity, attnotnull, attisdropped, readable
-- ``roles``: owner, is_member, bypass_rls (what the exporting role is to each owner)
+- ``roles``: owner, is_member, bypass_rls (what the exporting role is to each owner), as ``role_privileges`` makes it
+- ``role_list``: rolname, rolinherit, rolsuper, rolbypassrls
+- ``memberships``: role, member, inherit_option (NULL before version 16, where the member's flag decides)
+- ``types``: oid, typname, typnamespace, typtype, typbasetype, typtypmod, typelem, typcategory
 
 Reports keep one row per column, owner or finding. Nothing gathers a database or
 a table into an array. One owner may well own most tables; adaptive execution splits
@@ -22,6 +25,8 @@ from pyspark.sql import types as T
 
 from ..functions.names import MIN_SERVER_MAJOR, is_user_schema, server_major
 from ..plans.specs import ColumnSpec, TableSpec
+from ..workspace import kept
+from .closure import CycleError, reachable, roots
 
 # Kinds of finding, strongest first.
 NO_SELECT = "no_select"
@@ -105,6 +110,23 @@ def tables(classes: DataFrame, inherits: DataFrame) -> DataFrame:
     )
 
 
+def partition_trees(classes: DataFrame, inherits: DataFrame) -> DataFrame:
+    """Every partition with the table at the top of its tree: (database, table, kind, root, depth).
+
+    Only partitions are followed: a table that merely inherits belongs to no tree, and ends one. Leaves, of kind ``r``,
+    hold the rows.
+    """
+    name = _qualified("nspname", "relname")
+    partitions = classes.filter("relispartition").select(
+        "database", F.col("oid").alias("node"), name.alias("table"), F.col("relkind").alias("kind")
+    )
+    links = inherits.select("database", F.col("inhrelid").alias("node"), F.col("inhparent").alias("parent"))
+    links = links.join(partitions.select("database", "node"), ["database", "node"], "left_semi")
+    tops = classes.select("database", F.col("oid").alias("root"), name.alias("top"))
+    found = roots(links).join(partitions, ["database", "node"]).join(tops, ["database", "root"])
+    return found.select("database", "table", "kind", F.col("top").alias("root"), "depth")
+
+
 def exportable(found: DataFrame) -> DataFrame:
     """Tables whose rows are copied directly; a partitioned parent's rows are in its leaves."""
     return found.filter(F.col("kind") == "r")
@@ -179,6 +201,94 @@ def unreadable_columns(classes: DataFrame, attributes: DataFrame) -> DataFrame:
     )
 
 
+def role_privileges(role_list: DataFrame, memberships: DataFrame, current: DataFrame) -> DataFrame:
+    """What the exporting role is to every role of its database: (database, owner, is_member, bypass_rls).
+
+    ``current``: (database, rolname), one row for each database. A role has the privileges of those it is granted, and of
+    those that are granted, as long as every grant on the way is inherited; a superuser has all. Grants may go in circles.
+    """
+    flags = role_list.select("database", F.col("rolname").alias("member"), "rolinherit")
+    inherited = F.coalesce("inherit_option", "rolinherit")
+    grants = memberships.join(flags, ["database", "member"]).filter(inherited)
+    starts = current.select("database", F.col("rolname").alias("node"))
+    held = reachable(grants.select("database", F.col("member").alias("source"), F.col("role").alias("target")), starts)
+    held = held.select("database", F.col("node").alias("owner"), F.lit(True).alias("held"))
+    me = role_list.join(current, ["database", "rolname"]).select("database", "rolsuper", "rolbypassrls")
+    owners = role_list.select("database", F.col("rolname").alias("owner")).join(me, "database")
+    return owners.join(held, ["database", "owner"], "left").select(
+        "database", "owner", (F.coalesce("held", F.lit(False)) | F.col("rolsuper")).alias("is_member"),
+        (F.col("rolbypassrls") | F.col("rolsuper")).alias("bypass_rls"),
+    )
+
+
+def resolved_types(types: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """Each type by what its values are: (database, oid, declared, typname, typmod, domains, is_array).
+
+    ``typname`` and ``typmod`` are those of the plain type at the end of a chain of domains and arrays, ``typmod`` the one nearest
+    to the declared type that says anything. ``declared`` is the name to write: a domain's own, with its schema unless
+    that is the system's, and for an array the element's with brackets.
+    """
+    named = types.join(namespaces.select("database", F.col("oid").alias("typnamespace"), "nspname"), ["database", "typnamespace"])
+    is_array = (F.col("typcategory") == "A") & (F.col("typelem") != 0)
+    is_domain = F.col("typtype") == "d"
+    chains = named.select(
+        "database", "oid", F.when(is_domain, F.col("typbasetype")).when(is_array, F.col("typelem")).alias("next"),
+        F.col("typtypmod").alias("typmod"), F.col("oid").alias("end"), is_domain.cast("int").alias("domains"), is_array.alias("is_array"),
+        F.when(is_array, F.col("typelem")).alias("element"),
+    )
+    chains, most, reach = kept(chains, "types"), types.count(), 1
+    while not chains.where("next IS NOT NULL").isEmpty():
+        if reach > 2 * most:
+            raise CycleError("types are made of themselves")
+        end = chains.select("database", *[F.col(c).alias(n) for c, n in (
+            ("oid", "next"), ("next", "then"), ("typmod", "mod2"), ("end", "end2"), ("domains", "domains2"), ("is_array", "array2")
+        )])
+        met = chains.join(end, ["database", "next"], "left").select(
+            "database", "oid", F.col("then").alias("next"),
+            F.when(F.col("typmod") >= 0, F.col("typmod")).otherwise(F.coalesce("mod2", "typmod")).alias("typmod"),
+            F.coalesce("end2", "end").alias("end"), (F.col("domains") + F.coalesce("domains2", F.lit(0))).alias("domains"),
+            (F.col("is_array") | F.coalesce("array2", F.lit(False))).alias("is_array"), "element",
+        )
+        chains, reach = kept(met, "types"), reach * 2
+    system = F.col("nspname").isin("pg_catalog", "information_schema")
+    names = named.select(
+        "database", "oid", "typname", F.when(is_domain & ~system, _qualified("nspname", "typname")).otherwise(F.col("typname")).alias("name")
+    )
+    own = names.select("database", "oid", F.col("name").alias("own"))
+    ends = names.select("database", F.col("oid").alias("end"), "typname")
+    elements = names.select("database", F.col("oid").alias("element"), F.col("name").alias("element_name"))
+    found = chains.join(own, ["database", "oid"]).join(ends, ["database", "end"]).join(elements, ["database", "element"], "left")
+    declared = F.when(F.col("element").isNotNull(), F.concat(base_type(F.col("element_name")), F.lit("[]"))).otherwise(F.col("own"))
+    return found.select("database", "oid", declared.alias("declared"), "typname", "typmod", "domains", "is_array")
+
+
+def columns_of_types(classes: DataFrame, namespaces: DataFrame, attributes: DataFrame, types: DataFrame) -> DataFrame:
+    """As ``columns``, from raw extracts: relations name their schema by ``relnamespace``, columns their type by ``atttypid``.
+
+    ``type_name`` is the declared type, ``base_type`` and ``max_len`` what its values are bound to: those of a domain's plain type. A
+    column's own modifier comes before the type's.
+    """
+    relations = classes.join(namespaces.select("database", F.col("oid").alias("relnamespace"), "nspname"), ["database", "relnamespace"])
+    relations = user_relations(relations).select("database", F.col("oid").alias("attrelid"), _qualified("nspname", "relname").alias("table"))
+    live = attributes.filter((F.col("attnum") > 0) & ~F.col("attisdropped")).join(relations, ["database", "attrelid"])
+    known = resolved_types(types, namespaces).withColumnRenamed("oid", "atttypid")
+    found = live.join(known, ["database", "atttypid"])
+    own = F.col("atttypmod") >= 0
+    modifier = F.when(own, F.col("atttypmod")).otherwise(F.col("typmod"))
+    plain = F.col("domains") == 0
+    declared = (
+        F.when(~plain, F.col("declared"))
+        .when(F.col("is_array"), F.concat(type_name(F.col("typname"), modifier), F.lit("[]")))
+        .otherwise(type_name(F.col("typname"), modifier))
+    )
+    bounded = F.col("typname").isin("varchar", "bpchar") & (modifier > TYPMOD_HEADER) & ~F.col("is_array")
+    return found.select(
+        "database", "table", "attnum", F.col("attname").alias("column"), base_type(F.col("typname")).alias("base_type"),
+        declared.alias("type_name"), F.when(bounded, modifier - TYPMOD_HEADER).otherwise(-1).cast("int").alias("max_len"),
+        "domains", "is_array",
+    )
+
+
 def findings(
     classes: DataFrame, attributes: DataFrame, roles: DataFrame, skipped: DataFrame | None = None
 ) -> DataFrame:
@@ -219,7 +329,7 @@ def findings(
 
 def remedies(found: DataFrame, role: str) -> DataFrame:
     """What would resolve each finding, one row per finding and column."""
-    skip = F.concat(F.lit(", or exclude the table: "), "table", F.lit(": { mode: skip }"))
+    skip = F.concat(F.lit("; or leave it out with "), "table", F.lit(": { mode: skip }"))
     remedy = (
         F.when(
             F.col("kind") == NO_SELECT,
@@ -229,7 +339,7 @@ def remedies(found: DataFrame, role: str) -> DataFrame:
             F.col("kind") == ROW_SECURITY,
             F.concat(F.lit("grant "), "owner", F.lit(f" to {role}")),
         )
-        .otherwise(F.concat(F.lit("grant BYPASSRLS; owner membership does not help"), skip))
+        .otherwise(F.concat(F.lit("grant BYPASSRLS, as the policy is forced on owners too"), skip))
     )
     return found.select("database", "table", "kind", "column", remedy.alias("remedy"))
 

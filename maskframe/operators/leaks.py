@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import CharType, StringType, VarcharType
 
 from ..functions.transforms import source_column
-from ..workspace import new_folder
+from ..workspace import kept
 from .reports import union_all
 
 PIECE = 32  # bytes; a text of this many is unlikely to stand in two places by chance
@@ -193,12 +193,6 @@ def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _HITS)
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def residues(
     raw: Mapping[str, DataFrame], protected: Mapping[str, Sequence[str]], scrubbed: Mapping[str, DataFrame],
     shortest: int = 1,
@@ -209,8 +203,8 @@ def residues(
     out, are looked for in all text columns of all ``scrubbed`` tables. ``part`` and ``row`` number texts, for counting them.
     """
     values = _texts(raw, protected).where(F.octet_length("text") >= shortest).distinct()
-    pieces = _kept(value_pieces(values), "leak-pieces")
-    hits = _kept(_hits(_texts(scrubbed, {t: text_columns(df) for t, df in scrubbed.items()}), pieces), "leak-hits")
+    pieces = kept(value_pieces(values), "leak-pieces")
+    hits = kept(_hits(_texts(scrubbed, {t: text_columns(df) for t, df in scrubbed.items()}), pieces), "leak-hits")
     key, place = ["h1", "h2", "size"], ["target", "part", "row"]
     whole = hits.join(pieces.where("pieces = 1").select(*key, "source", "value"), key).select("source", "value", *place)
 
@@ -235,7 +229,7 @@ def audit_leak_anywhere(
     ``audit_leak`` compares whole values of one column; this one finds a value that a rule moved to another column or table,
     or left inside a longer text. Pairs without a leak are reported with 0.
     """
-    found = _kept(residues(raw, protected, scrubbed, shortest), "leaks")
+    found = kept(residues(raw, protected, scrubbed, shortest), "leaks")
     values = found.select("source", "target", "value").distinct().groupBy("source", "target").agg(F.count(F.lit(1)).alias("leaked_values"))
     rows = found.select("source", "target", "part", "row").distinct().groupBy("source", "target").agg(F.count(F.lit(1)).alias("leaked_rows"))
     pairs = [

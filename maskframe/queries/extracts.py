@@ -128,6 +128,66 @@ EXTRACTS: dict[str, str] = {
         JOIN {publications} p ON p.pubname = 'pub_' || CAST(l.l_suppkey AS STRING)
         JOIN {classes} c ON c.oid = l.l_partkey AND c.database = p.database
         GROUP BY p.database, p.pubname, c.oid""",
+    # Trees: every node but the first of a database has the parent a sixth as far along; some hang on by plain inheritance.
+    "nodes": """
+        SELECT 'db_' || CAST((p_partkey - 1) % 5 AS STRING) AS database, p_partkey AS oid, p_type, p_brand, p_size,
+               CAST(floor((p_partkey - 1) / 5) AS BIGINT) AS place,
+               CASE WHEN p_partkey > 5
+                    THEN CAST(floor((floor((p_partkey - 1) / 5) - 1) / 6) * 5 + (p_partkey - 1) % 5 + 1 AS BIGINT) END AS parent
+        FROM {part}""",
+    "tree_classes": """
+        SELECT n.database, n.oid, lower(n.p_type) AS nspname, 'n' || CAST(n.oid AS STRING) AS relname,
+               CASE WHEN (6 * n.place + 1) * 5 < m.most THEN 'p' ELSE 'r' END AS relkind,
+               n.parent IS NOT NULL AND n.p_type <> 'PROMO' AS relispartition
+        FROM {nodes} n CROSS JOIN (SELECT max(oid) AS most FROM {nodes}) m""",
+    "tree_inherits": """
+        SELECT database, oid AS inhrelid, parent AS inhparent FROM {nodes} WHERE parent IS NOT NULL""",
+    "role_list": """
+        SELECT 'db_' || CAST(p_size AS STRING) AS database, 'owner_' || lower(replace(p_brand, '#', '')) AS rolname,
+               max(p_type) <> 'ECONOMY' AS rolinherit, false AS rolsuper, false AS rolbypassrls
+        FROM {part} GROUP BY p_size, p_brand
+        UNION ALL
+        SELECT DISTINCT 'db_' || CAST(p_size AS STRING), 'exporter', true, p_size = 7, p_size % 10 = 9 FROM {part}""",
+    "memberships": """
+        SELECT DISTINCT database, role, member, inherit_option FROM (
+            SELECT 'db_' || CAST(p_size AS STRING) AS database, 'owner_' || lower(replace(p_brand, '#', '')) AS member,
+                   'owner_brand' || CAST(1 + 2 * CAST(replace(p_brand, 'Brand#', '') AS INT) % 25 AS STRING) AS role,
+                   CASE WHEN p_type = 'STANDARD' THEN false WHEN p_type <> 'LARGE' THEN true END AS inherit_option
+            FROM {part} WHERE p_retailprice > 1200) m
+        UNION ALL
+        SELECT DISTINCT 'db_' || CAST(p_size AS STRING), 'owner_' || lower(replace(p_brand, '#', '')), 'exporter', true
+        FROM {part} WHERE p_brand IN ('Brand#1', 'Brand#3')""",
+    "current_roles": """
+        SELECT DISTINCT 'db_' || CAST(p_size AS STRING) AS database, 'exporter' AS rolname FROM {part}""",
+    "tree_namespaces": """
+        SELECT DISTINCT database, 11 AS oid, 'pg_catalog' AS nspname FROM {nodes}
+        UNION ALL SELECT database, min(oid) + 1000, lower(p_type) FROM {nodes} GROUP BY database, p_type""",
+    "tree_raw_classes": """
+        SELECT c.database, c.oid, c.relname, n.oid AS relnamespace, c.relkind
+        FROM {tree_classes} c JOIN {tree_namespaces} n ON n.database = c.database AND n.nspname = c.nspname""",
+    "types": """
+        SELECT d.database, CAST(t.oid AS BIGINT) AS oid, t.typname, CAST(11 AS BIGINT) AS typnamespace, 'b' AS typtype,
+               CAST(0 AS BIGINT) AS typbasetype, -1 AS typtypmod, CAST(t.typelem AS BIGINT) AS typelem, t.typcategory
+        FROM (SELECT DISTINCT database FROM {nodes}) d
+        CROSS JOIN (VALUES (23, 'int4', 0, 'N'), (25, 'text', 0, 'S'), (1042, 'bpchar', 0, 'S'), (1043, 'varchar', 0, 'S'),
+                           (1700, 'numeric', 0, 'N'), (1015, '_varchar', 1043, 'A')) AS t(oid, typname, typelem, typcategory)
+        UNION ALL
+        SELECT n.database, 500000000 + n.oid, 'dom' || CAST(n.oid AS STRING), s.oid, 'd',
+               CASE WHEN n.parent IS NOT NULL AND n.p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 500000000 + n.parent
+                    WHEN n.p_size % 5 = 0 THEN 23 WHEN n.p_size % 5 = 1 THEN 1042 WHEN n.p_size % 5 = 2 THEN 1015 ELSE 1043 END,
+               CASE WHEN n.p_size > 25 THEN n.p_size + 4 ELSE -1 END, 0, 'U'
+        FROM {nodes} n JOIN {tree_namespaces} s ON s.database = n.database AND s.nspname = lower(n.p_type)
+        UNION ALL
+        SELECT n.database, 600000000 + n.oid, '_dom' || CAST(n.oid AS STRING), s.oid, 'b', 0, -1, 500000000 + n.oid, 'A'
+        FROM {nodes} n JOIN {tree_namespaces} s ON s.database = n.database AND s.nspname = lower(n.p_type)""",
+    "tree_attributes": """
+        SELECT n.database, n.oid AS attrelid, a.attnum, 'c' || CAST(a.attnum AS STRING) AS attname,
+               CASE a.attnum WHEN 1 THEN 500000000 + n.oid WHEN 2 THEN 600000000 + n.oid WHEN 3 THEN 1043 WHEN 4 THEN 1700
+                             WHEN 5 THEN 1015 ELSE 23 END AS atttypid,
+               CASE WHEN a.attnum IN (3, 5) AND n.p_size > 10 THEN n.p_size + 4
+                    WHEN a.attnum = 4 THEN 65536 * (10 + n.p_size) + 2 + 4 ELSE -1 END AS atttypmod,
+               a.attnum = 6 AND n.p_size % 3 = 0 AS attisdropped
+        FROM {nodes} n CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (-1)) AS a(attnum)""",
     "snapshots": f"""
         SELECT 'db_' || CAST(user_id AS STRING) AS database, {stamp("ts")} AS ts,
                event_type <> 'error' AS has_manifest
@@ -161,6 +221,9 @@ _MADE_FROM = {
     "namespaces": ["classes"], "raw_classes": ["classes", "namespaces"], "depends": ["classes"],
     "inherits": ["classes"], "attributes": ["classes"], "fleet_rules": ["classes"],
     "skipped": ["classes"], "published": ["classes", "publications"],
+    "tree_classes": ["nodes"], "tree_inherits": ["nodes"], "tree_namespaces": ["nodes"],
+    "tree_raw_classes": ["nodes", "tree_classes", "tree_namespaces"], "types": ["nodes", "tree_namespaces"],
+    "tree_attributes": ["nodes"],
 }
 
 

@@ -246,6 +246,108 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.columns(extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "attributes"))
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(with_extracts(""",
+    up AS (SELECT i.database, i.inhrelid AS node, i.inhparent AS root, 1 AS depth FROM tree_inherits i
+           JOIN tree_classes c ON c.database = i.database AND c.oid = i.inhrelid WHERE c.relispartition
+           UNION ALL
+           SELECT u.database, u.node, i.inhparent, u.depth + 1 FROM up u
+           JOIN tree_classes c ON c.database = u.database AND c.oid = u.root AND c.relispartition
+           JOIN tree_inherits i ON i.database = u.database AND i.inhrelid = u.root)
+    SELECT u.database, c.nspname || '.' || c.relname AS "table", c.relkind AS kind, t.nspname || '.' || t.relname AS root, u.depth
+    FROM (SELECT *, row_number() OVER (PARTITION BY database, node ORDER BY depth DESC) AS place FROM up) u
+    JOIN tree_classes c ON c.database = u.database AND c.oid = u.node
+    JOIN tree_classes t ON t.database = u.database AND t.oid = u.root WHERE u.place = 1""", "tree_classes", "tree_inherits")))
+def catalog_partition_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition with the top of its tree, over several levels."""
+    return catalog.partition_trees(extract(spark, sf_dir, "tree_classes"), extract(spark, sf_dir, "tree_inherits"))
+
+
+_PRIVILEGES = """
+    grants AS (SELECT m.database, m.member, m.role FROM memberships m
+               JOIN role_list r ON r.database = m.database AND r.rolname = m.member
+               WHERE coalesce(m.inherit_option, r.rolinherit)),
+    held(database, owner) AS (SELECT database, rolname FROM current_roles
+        UNION SELECT g.database, g.role FROM held h JOIN grants g ON g.database = h.database AND g.member = h.owner),
+    privileges AS (SELECT r.database, r.rolname AS owner, m.rolsuper OR h.owner IS NOT NULL AS is_member,
+                          m.rolsuper OR m.rolbypassrls AS bypass_rls
+        FROM role_list r
+        JOIN current_roles c ON c.database = r.database
+        JOIN role_list m ON m.database = c.database AND m.rolname = c.rolname
+        LEFT JOIN held h ON h.database = r.database AND h.owner = r.rolname)"""
+
+
+def _privileges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.role_privileges(*(extract(spark, sf_dir, n) for n in ("role_list", "memberships", "current_roles")))
+
+
+@query(_recursive(with_extracts("," + _PRIVILEGES + " SELECT * FROM privileges", "role_list", "memberships", "current_roles")))
+def catalog_role_privileges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exporting role is to every role, from grants that go in circles."""
+    return _privileges(spark, sf_dir)
+
+
+@query(_recursive(with_extracts(
+    "," + _PRIVILEGES + "," + _FINDINGS.replace("JOIN roles r", "JOIN privileges r") + " SELECT * FROM findings",
+    "attributes", "skipped", "role_list", "memberships", "current_roles")))
+def catalog_findings_from_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``catalog_findings``, with membership worked out from the grants."""
+    return catalog.findings(
+        extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "attributes"), _privileges(spark, sf_dir), extract(spark, sf_dir, "skipped")
+    )
+
+
+@query(_recursive(with_extracts(""",
+    chain AS (SELECT database, oid, typname, typnamespace, typtype, typcategory, typelem, oid AS cur,
+                     typtypmod AS typmod, 0 AS steps FROM types
+              UNION ALL
+              SELECT c.database, c.oid, c.typname, c.typnamespace, c.typtype, c.typcategory, c.typelem,
+                     CASE WHEN t.typtype = 'd' THEN t.typbasetype ELSE t.typelem END,
+                     CASE WHEN c.typmod >= 0 THEN c.typmod ELSE n.typtypmod END, c.steps + 1
+              FROM chain c JOIN types t ON t.database = c.database AND t.oid = c.cur
+              JOIN types n ON n.database = c.database AND n.oid = CASE WHEN t.typtype = 'd' THEN t.typbasetype ELSE t.typelem END
+              WHERE t.typtype = 'd' OR t.typcategory = 'A'),
+    passed AS (SELECT c.database, c.oid, count(*) FILTER (t.typtype = 'd') AS domains,
+                      count(*) FILTER (t.typcategory = 'A') > 0 AS is_array
+               FROM chain c JOIN types t ON t.database = c.database AND t.oid = c.cur GROUP BY c.database, c.oid),
+    known AS (SELECT c.database, c.oid, c.typname AS own, c.typtype, s.nspname, e.typname, c.typmod, p.domains, p.is_array,
+                     CASE WHEN c.typcategory = 'A' THEN c.typelem END AS element
+              FROM (SELECT *, row_number() OVER (PARTITION BY database, oid ORDER BY steps DESC) AS place FROM chain) c
+              JOIN types e ON e.database = c.database AND e.oid = c.cur
+              JOIN passed p ON p.database = c.database AND p.oid = c.oid
+              JOIN tree_namespaces s ON s.database = c.database AND s.oid = c.typnamespace WHERE c.place = 1),
+    cols AS (SELECT a.database, n.nspname || '.' || r.relname AS "table", a.attnum, a.attname AS "column", k.*,
+                    CASE WHEN a.atttypmod >= 0 THEN a.atttypmod ELSE k.typmod END AS modifier,
+                    x.typname AS element_name, xs.nspname AS element_schema, x.typtype AS element_kind
+             FROM tree_attributes a
+             JOIN tree_raw_classes r ON r.database = a.database AND r.oid = a.attrelid
+             JOIN tree_namespaces n ON n.database = r.database AND n.oid = r.relnamespace
+             JOIN known k ON k.database = a.database AND k.oid = a.atttypid
+             LEFT JOIN types x ON x.database = k.database AND x.oid = k.element
+             LEFT JOIN tree_namespaces xs ON xs.database = x.database AND xs.oid = x.typnamespace
+             WHERE a.attnum > 0 AND NOT a.attisdropped),
+    named AS (SELECT *, CASE typname WHEN 'varchar' THEN 'character varying' WHEN 'bpchar' THEN 'character' WHEN 'int4' THEN 'integer'
+                        ELSE typname END AS base FROM cols),
+    full_name AS (SELECT *, CASE WHEN typname IN ('varchar', 'bpchar') AND modifier > 4 THEN base || '(' || CAST(modifier - 4 AS VARCHAR) || ')'
+                        WHEN typname = 'numeric' AND modifier >= 4
+                            THEN base || '(' || CAST((modifier - 4) >> 16 AS VARCHAR) || ',' || CAST((modifier - 4) & 65535 AS VARCHAR) || ')'
+                        ELSE base END AS whole FROM named)
+    SELECT database, "table", attnum, "column", base AS base_type,
+           CASE WHEN typtype = 'd' THEN nspname || '.' || own
+                WHEN element_kind = 'd' THEN element_schema || '.' || element_name || '[]'
+                WHEN element IS NOT NULL THEN whole || '[]' ELSE whole END AS type_name,
+           CASE WHEN typname IN ('varchar', 'bpchar') AND modifier > 4 AND NOT is_array THEN modifier - 4 ELSE -1 END AS max_len,
+           CAST(domains AS INTEGER) AS domains, is_array
+    FROM full_name""", "tree_raw_classes", "tree_attributes", "types")))
+def catalog_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of domains over domains, of arrays of them, and of plain types with modifiers, from raw extracts."""
+    names = ("tree_raw_classes", "tree_namespaces", "tree_attributes", "types")
+    return catalog.columns_of_types(*(extract(spark, sf_dir, n) for n in names))
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("classes", "attributes", "roles", "skipped")
     return catalog.findings(*(extract(spark, sf_dir, n) for n in names))
@@ -259,9 +361,9 @@ def catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_extracts("," + _FINDINGS + """
     SELECT database, "table", kind, "column",
            CASE kind WHEN 'no_select' THEN 'grant SELECT (' || "column" || ') on ' || "table" || ' to exporter'
-                       || ', or exclude the table: ' || "table" || ': { mode: skip }'
+                       || '; or leave it out with ' || "table" || ': { mode: skip }'
                      WHEN 'row_security' THEN 'grant ' || owner || ' to exporter'
-                     ELSE 'grant BYPASSRLS; owner membership does not help, or exclude the table: '
+                     ELSE 'grant BYPASSRLS, as the policy is forced on owners too; or leave it out with '
                        || "table" || ': { mode: skip }' END AS remedy
     FROM findings""", "attributes", "roles", "skipped"))
 def catalog_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,6 +526,28 @@ def publication_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(with_extracts("," + _DRIFT + """,
+    gaps AS (SELECT l.database, l.pubname, t.oid FROM listed l JOIN publishable t ON t.database = l.database
+             WHERE NOT EXISTS (SELECT 1 FROM published m WHERE m.database = l.database AND m.pubname = l.pubname AND m.oid = t.oid)),
+    placed AS (SELECT database, oid, (row_number() OVER (PARTITION BY database ORDER BY nspname, relname) - 1) // 4096 AS part,
+           row_number() OVER (PARTITION BY database ORDER BY nspname, relname) AS place,
+           CASE WHEN regexp_full_match(nspname, '[a-z_][a-z0-9_]*') THEN nspname
+                ELSE '"' || replace(nspname, '"', '""') || '"' END || '.' ||
+           CASE WHEN regexp_full_match(relname, '[a-z_][a-z0-9_]*') THEN relname
+                ELSE '"' || replace(relname, '"', '""') || '"' END AS name FROM publishable)
+    SELECT g.database, g.pubname, CAST(p.part AS INTEGER) AS part, count(*) AS missing, string_agg(p.name, ',' ORDER BY p.place) AS tables
+    FROM gaps g JOIN placed p ON p.database = g.database AND p.oid = g.oid GROUP BY g.database, g.pubname, p.part""",
+    "publications", "published_schemas", "published"))
+def publication_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that each enumerated publication misses, in order."""
+    found = publications.gaps(
+        extract(spark, sf_dir, "classes"), extract(spark, sf_dir, "publications"),
+        extract(spark, sf_dir, "published_schemas"), published_tables(spark, sf_dir),
+    )
+    size = F.size("tables").cast("bigint").alias("missing")
+    return found.select("database", "pubname", "part", size, F.array_join("tables", ",").alias("tables"))
+
+
 @query(with_extracts("""
     SELECT DISTINCT p.database, p.pubname, o.relowner AS owner FROM published p
     JOIN classes c ON c.database = p.database AND c.oid = p.oid

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators.load import leaf_counts
 from ..operators.reports import union_all
 from ..operators.scrub import scrub
 from ..plans.config import ScrubConfig
-from ..sources.tables import pinned_files
+from ..sources.tables import pinned_files, read_parent
 from ..workspace import new_folder
 from .base import SALT, open_tables, query, rules, spec_of, table
 
@@ -34,6 +36,25 @@ def scan_leaf_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf_counts(spark.read.parquet(folder), "leaf", "public.events")
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def scan_partition_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events below a parent of three levels, by type and then by user."""
+    folder = new_folder(spark, "tree")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    kind, half = F.col("event_type").alias("kind"), (F.col("user_id") % 2).alias("half")
+    events.select("*", kind, half).write.partitionBy("kind", "half").parquet(folder)
+    root = spec_of(events, "events")
+    specs, frames = [replace(root, kind="partitioned")], {}
+    whole = spark.read.parquet(folder)
+    for kind_, half_ in whole.select("kind", "half").distinct().collect():  # one row for each leaf that the catalog would list
+        middle, leaf = f"events_{kind_}", f"events_{kind_}_{half_}"
+        if all(s.name != middle for s in specs):
+            specs.append(replace(root, name=middle, kind="partitioned", parent=root.qualified))
+        specs.append(replace(root, name=leaf, parent=f"{root.schema}.{middle}"))
+        frames[f"{root.schema}.{leaf}"] = whole.where((F.col("kind") == kind_) & (F.col("half") == half_)).drop("kind", "half")
+    return read_parent(frames, specs, root.qualified)
+
+
 @query("""
     SELECT 'public.orders' AS "table", count(*) AS "rows" FROM orders
     UNION ALL SELECT 'public.lineitem', count(*) FROM lineitem""")

@@ -71,11 +71,33 @@ def unpinned(spark: SparkSession, pins: DataFrame | None) -> int:
 
 
 def leaves_of(specs: Iterable[TableSpec], parent: str) -> list[TableSpec]:
-    return [s for s in specs if s.parent == parent and not s.partitioned]
+    """The tables that hold a partitioned table's rows, however many levels down."""
+    below: dict[str, list[TableSpec]] = {}
+    for s in specs:
+        if s.parent is not None:
+            below.setdefault(s.parent, []).append(s)
+    out, todo, seen = [], [parent], {parent}
+    while todo:
+        for s in below.get(todo.pop(), ()):
+            if s.qualified in seen:
+                raise ValueError(f'partition "{s.qualified}" is below itself')
+            seen.add(s.qualified)
+            if s.partitioned:
+                todo.append(s.qualified)
+            else:
+                out.append(s)
+    return sorted(out, key=lambda s: s.qualified)
+
+
+def roots_of(specs: Iterable[TableSpec]) -> dict[str, str]:
+    """Leaf partition -> the partitioned table at the top of its tree, as ``PublicationSpec.roots`` wants it."""
+    specs = list(specs)
+    tops = [s.qualified for s in specs if s.partitioned and s.parent is None]
+    return {leaf.qualified: top for top in tops for leaf in leaves_of(specs, top)}
 
 
 def read_parent(frames: Mapping[str, DataFrame], specs: Iterable[TableSpec], parent: str) -> DataFrame:
-    """A partitioned parent holds no rows itself; it is the union of its leaves, by name."""
+    """A partitioned parent holds no rows itself; it is the union of the leaves of its whole tree, by name."""
     leaves = leaves_of(specs, parent)
     if not leaves:
         raise ValueError(f'partitioned table "{parent}" has no leaf partitions')

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -32,6 +32,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows, computed once and written to the shared folder, so that later steps start from there."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _store(spark: SparkSession, place: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
