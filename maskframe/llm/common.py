@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..workspace import new_folder
+from ..workspace import new_folder, remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def written_to(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for :func:`release`."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def release(spark: SparkSession, *folders: str) -> None:
+    """Remove tables that no one reads any more. The driver's collector runs too: Spark deletes the files of
+    shuffles once no frame refers to them, and otherwise keeps them for as long as the driver has memory."""
+    for folder in folders:
+        remove(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each hold at most ``most`` bytes, or one row."""
     for batch in batches:

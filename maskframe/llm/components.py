@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written_to
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,10 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct()
-    edges = written(edges, "edges")
+    spark = edges.sparkSession
+    edges, folder = written_to(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)).distinct(), "edges")
+        old = folder
+        edges, folder = written_to(_small_star(_large_star(edges)).distinct(), "edges")
+        release(spark, old)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -13,8 +13,8 @@ disagree in so many places that, by their concentration, it cannot reach the sim
 so pairs below 0.72 mostly go and one in 3e6 of those at 0.8.
 
 Sets that are equal are one class from the start. Then there are three rounds of comparing whole sets, and components are
-merged after each. First a random member of each bucket meets the others in it, so a set meets a pivot for each of its
-keys, and what has many copies becomes one component. Then some, and at last all, of the sets that are still outside
+merged after each. First one member of each bucket meets the others in it, the least by one of ``ORDERS`` random orders, and what
+has many copies becomes one component. Then some, and at last all, of the sets that are still outside
 the largest component of a bucket meet all members of their buckets that are in other components. After each round
 pivots leave their buckets, and buckets that are down to one component are done. So a bucket of n copies costs about
 n comparisons, not n squared, yet every pair in a bucket is compared or already connected.
@@ -26,10 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import mix64, release, slices, written, written_to
 from .components import components
 from .shingles import shingle_set
 
@@ -37,6 +38,8 @@ BANDS, ROWS = 48, 6
 COORDINATES = 1024  # the first BANDS * ROWS make the keys, all of them the comparison of sketches
 DEVIATIONS = 5
 SOME = 8  # of the pivots of the last round, one in so many go first
+ORDERS = 6  # by which buckets choose the pivots of the first round
+FILTER_BITS = 24
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -123,27 +126,49 @@ def sketched_by(docs: DataFrame, width: int, sketches, bands: int, rows: int) ->
     return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
+def _slot(doc_id: F.Column) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - FILTER_BITS)
+
+
+def _filter_of(ids: DataFrame) -> Broadcast:
+    """2^24 bits that tell a pass over texts which documents can be among those with this ``node``."""
+    slots = ids.select(_slot(F.col("node")).alias("slot"))
+    blocks = slots.groupBy(F.expr("slot div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+    out = bytearray((1 << FILTER_BITS) // 8)
+    for row in blocks.toLocalIterator():
+        out[row["block"] * 4096 : (row["block"] + 1) * 4096] = row["bits"]
+    return ids.sparkSession.sparkContext.broadcast(bytes(out))
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node`` and ``items`` of the documents among ``nodes``; one row for each text of a repeated id."""
-    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    """``digest`` and ``items`` of the sets of the documents among ``nodes``, and of a few more.
+
+    Texts stay where they are read: tasks look ids up in a filter. A set comes once from a task.
+    """
+    shared = _filter_of(nodes)
+    schema = pa.schema([("digest", pa.binary()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in slices(batches):
-            items = [shingle_set(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, schema.field("items").type)], schema=schema)
+            slot = batch.column("slot").to_numpy().astype(np.int64)
+            wanted = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+            found = {}
+            for text in batch.column("text").filter(pa.array(wanted.astype(bool))).to_pylist():
+                items = shingle_set(text, width)
+                if len(items) and (digest := set_digest(items)) not in seen:
+                    seen.add(digest)
+                    found[digest] = items.view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), schema.field("items").type)], schema=schema
+            )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = plain.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "node long, items array<long>")
-
+    known = plain.where("doc_id is not null").select("text", _slot(F.col("doc_id")).alias("slot"))
+    return known.mapInArrow(run, "digest binary, items array<long>")
 
-_MEMBER = ("node", "n", "comp", "bits", "keys")
 
-
-def _with_keys(members: DataFrame) -> DataFrame:
-    """The members with ``keys``, all buckets that their set is still in: ``BANDS`` at most."""
-    keys = members.groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("keys"))
-    return members.drop("keys").join(keys, "node")
+_MEMBER = ("sid", "node", "n", "comp")
 
 
 def _active(members: DataFrame) -> DataFrame:
@@ -160,16 +185,17 @@ def _outside(members: DataFrame) -> DataFrame:
 
 
 def _band_pivots(members: DataFrame) -> DataFrame:
-    """One member of each bucket, chosen anew for each, so a set meets different pivots in its buckets."""
-    turn = F.xxhash64("node", "band").alias("turn")
+    """One member of each bucket. Buckets choose by ``ORDERS`` orders of all sets, so copies of a text that share many
+    buckets meet a few pivots in them, not one in each."""
+    turn = F.xxhash64("sid", F.pmod("band", F.lit(ORDERS))).alias("turn")
     chosen = _outside(members).groupBy("band").agg(F.min(F.struct(turn, *_MEMBER)).alias("p"))
     return chosen.select("band", *[F.col(f"p.{c}").alias(c) for c in _MEMBER])
 
 
 def _node_pivots(members: DataFrame, one_in: int) -> DataFrame:
     """One in so many of the sets that are outside a largest component somewhere, in all their buckets."""
-    nodes = _outside(members).select("node").distinct().where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
-    return members.join(nodes, "node", "left_semi").select("band", *_MEMBER)
+    sets = _outside(members).select("sid").distinct().where(F.pmod(F.xxhash64("sid"), F.lit(one_in)) == 0)
+    return members.join(sets, "sid", "left_semi").select("band", *_MEMBER)
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched=signatures, places: int = COORDINATES) -> DataFrame:
@@ -186,56 +212,66 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     - Other columns of ``docs`` are not looked at. An empty table gives an empty one.
     - Very long texts cost memory in proportion to one of them, in one task.
     """
-    sigs = written(sketched(docs, width), "signatures")
+    spark = docs.sparkSession
+    sigs, old = written_to(sketched(docs, width), "signatures")
     valid = sigs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(valid.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    reps = valid.join(classes, "digest").where("doc_id = node")
-    members = reps.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"), "digest")
-    members = _active(members.withColumn("comp", F.col("node"))).distinct()
-    members = members.join(reps.select("node", "digest", "bits").distinct(), ["node", "digest"]).drop("digest")
-    members = written(members, "members")
-    sets = written(_full_sets(docs, members.select("node").distinct(), width), "sets")
+    # One row for each set. Its number stands for it in buckets, as one doc_id may have several.
+    per_set = valid.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+    )
+    classes = written(per_set.withColumn("sid", F.monotonically_increasing_id()), "classes")
+    sigs, _ = written_to(sigs.select("doc_id", "n_shingles", "digest"), "sizes")
+    release(spark, old)
+
+    # Buckets of one set are most of them, and go before anything but a key and a number is shuffled.
+    keys = classes.select(F.explode("bands").alias("band"), "sid")
+    shared = keys.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("sets > 1").drop("sets")
+    members = shared.join(classes.select("sid", "node", "n"), "sid").withColumn("comp", F.col("node"))
+    members, folder = written_to(members.select("band", *_MEMBER), "members")
+    release(spark)
+    sketches = classes.select("sid", "node", "digest", "bits")
+    sets, sets_folder = written_to(_full_sets(docs, members.select("node").distinct(), width), "sets")
     merged = None  # (node, component) of all nodes with links so far
     links = []
-    apart = _disagreements("bits", "p.bits", places)
+    apart = _disagreements("p.bits", "q.bits", places)
+    x, y = (sketches.select(F.col("sid").alias(n), F.struct("node", "digest", "bits").alias(s)) for n, s in (("x", "p"), ("y", "q")))
     while not members.isEmpty():
-        members = _with_keys(members)
-        if not links:
-            pivots, once = _band_pivots(members), F.lit(True)
-        else:
-            # A pair of sets meets in every bucket that both are in; the first of them speaks for all.
-            pivots, once = _node_pivots(members, SOME if len(links) == 1 else 1), F.expr(
-                "array_min(array_intersect(keys, p.keys)) = band"
-            )
+        pivots = _band_pivots(members) if not links else _node_pivots(members, SOME if len(links) == 1 else 1)
         pairs = (
             members.join(pivots.select("band", F.struct(*_MEMBER).alias("p")), "band")
             .where("comp <> p.comp")
             .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-            .where(f"{apart} <= {_most_disagreements(places, percent)}")
-            .where(once)
-            .select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y"))
+            .select(F.greatest("sid", "p.sid").alias("x"), F.least("sid", "p.sid").alias("y"))
             .distinct()
         )
-        left = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"))
-        right = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
+        alike = pairs.join(x, "x").join(y, "y").where(f"{apart} <= {_most_disagreements(places, percent)}")
+        alike, alike_folder = written_to(
+            alike.select(F.col("p.digest").alias("dx"), F.col("q.digest").alias("dy"), F.col("p.node").alias("a"), F.col("q.node").alias("b")), "alike"
+        )
+        left = sets.select(F.col("digest").alias("dx"), F.col("items").alias("xs"))
+        right = sets.select(F.col("digest").alias("dy"), F.col("items").alias("ys"))
         both = F.size(F.array_intersect("xs", "ys"))
         linked = (
-            pairs.join(left, "x").join(right, "y")
+            alike.join(left, "dx").join(right, "dy")
             .where(100 * both >= percent * (F.size("xs") + F.size("ys") - both))
-            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+            .select("a", "b")
         )
-        links.append(written(linked, "links"))
+        links.append(written(linked.distinct(), "links"))
         every = links[0]
         for more in links[1:]:
             every = every.union(more)
         merged = written(components(every), "merged")
         moved = members.drop("comp").join(merged, "node", "left").select(
-            "band", "node", "n", "bits", F.coalesce("component", "node").alias("comp")
+            "band", "sid", "node", "n", F.coalesce("component", "node").alias("comp")
         )
-        done = pivots.select("band", "node")
-        rest = _active(moved).join(done, ["band", "node"], "left_anti")
-        members = written(_active(rest), "members")
-    result = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+        done = pivots.select("band", "sid")
+        rest = _active(moved).join(done, ["band", "sid"], "left_anti")
+        before = folder
+        members, folder = written_to(_active(rest), "members")
+        del pairs, alike, linked, moved, rest, pivots, done, left, right
+        release(spark, before, alike_folder)
+    release(spark, sets_folder)
+    result = sigs.join(classes.select("digest", "node"), "digest", "left")
     component = F.coalesce("node", "doc_id")
     if merged is not None:
         result = result.join(merged, "node", "left")

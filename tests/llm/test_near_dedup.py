@@ -95,3 +95,12 @@ def test_unusual_rows(spark, odd, with_clashes, empty):
     assert near_dedup.keep_one(odd.union(null_id)).where("doc_id is null").count() == 1
     assert near_dedup.keep_one(empty).count() == 0
     assert dict(texts(odd))[5] == "one two three"
+
+
+def test_an_id_with_two_texts_is_linked_by_both(spark):
+    rnd = random.Random(3)
+    a, b = ([f"{c}{rnd.randint(0, 999)}" for _ in range(200)] for c in "ab")
+    near = [[*words[:100], "other", *words[101:]] for words in (a, b)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(near[0])), (7, " ".join(near[1])), (8, "nothing like it at all")]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]

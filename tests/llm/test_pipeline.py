@@ -22,7 +22,8 @@ def test_pipeline(spark):
     clean = texts(whole)
     for i, text in clean:
         before = dict(kept)[i]
-        assert (text == before) or brute.base_spans(before)
+        marks = ("[NAME]", "[WORD]", "[NUMBER]", "[SECRET]")  # a word that tells of a value is generalised where the value is not, too
+        assert (text == before) or brute.base_spans(before) or any(text.count(m) > before.count(m) for m in marks)
         assert not [s for s in brute.base_spans(text) if s[0] == "email"]
     sizes = checked(rows, clean, tokenizer_file("word_bpe_49k.json"))
     assert sum(packing.full(s, 4096) for s in sizes) < 0.05 * sum(sizes)
@@ -45,4 +46,4 @@ def test_empty_and_unusual_documents(spark, odd, empty):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
