@@ -40,7 +40,7 @@ def release(spark: SparkSession, *folders: str) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each hold at most ``most`` bytes, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -13,8 +13,8 @@ disagree in so many places that, by their concentration, it cannot reach the sim
 so pairs below 0.72 mostly go and one in 3e6 of those at 0.8.
 
 Sets that are equal are one class from the start. Then there are three rounds of comparing whole sets, and components are
-merged after each. First one member of each bucket meets the others in it, the least by one of ``ORDERS`` random orders, and what
-has many copies becomes one component. Then some, and at last all, of the sets that are still outside
+merged after each. First a random member of each bucket meets the others in it, so a set meets a pivot for each of its
+keys, and what has many copies becomes one component. Then some, and at last all, of the sets that are still outside
 the largest component of a bucket meet all members of their buckets that are in other components. After each round
 pivots leave their buckets, and buckets that are down to one component are done. So a bucket of n copies costs about
 n comparisons, not n squared, yet every pair in a bucket is compared or already connected.
@@ -38,7 +38,6 @@ BANDS, ROWS = 48, 6
 COORDINATES = 1024  # the first BANDS * ROWS make the keys, all of them the comparison of sketches
 DEVIATIONS = 5
 SOME = 8  # of the pivots of the last round, one in so many go first
-ORDERS = 6  # by which buckets choose the pivots of the first round
 FILTER_BITS = 24
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -185,9 +184,8 @@ def _outside(members: DataFrame) -> DataFrame:
 
 
 def _band_pivots(members: DataFrame) -> DataFrame:
-    """One member of each bucket. Buckets choose by ``ORDERS`` orders of all sets, so copies of a text that share many
-    buckets meet a few pivots in them, not one in each."""
-    turn = F.xxhash64("sid", F.pmod("band", F.lit(ORDERS))).alias("turn")
+    """One member of each bucket, chosen anew for each, so a set meets different pivots in its buckets."""
+    turn = F.xxhash64("sid", "band").alias("turn")
     chosen = _outside(members).groupBy("band").agg(F.min(F.struct(turn, *_MEMBER)).alias("p"))
     return chosen.select("band", *[F.col(f"p.{c}").alias(c) for c in _MEMBER])
 
@@ -237,9 +235,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     x, y = (sketches.select(F.col("sid").alias(n), F.struct("node", "digest", "bits").alias(s)) for n, s in (("x", "p"), ("y", "q")))
     while not members.isEmpty():
         pivots = _band_pivots(members) if not links else _node_pivots(members, SOME if len(links) == 1 else 1)
+        met = members.join(pivots.select("band", F.struct(*_MEMBER).alias("p")), "band")
+        if links:
+            # What is left is little, but may be compared with all of its buckets: sketches come along and decide there.
+            mine, theirs = (sketches.select("sid", F.col("bits").alias(b)) for b in ("own", "other"))
+            sketched_pivots = pivots.join(theirs, "sid").select("band", F.struct(*_MEMBER, "other").alias("p"))
+            met = members.join(mine, "sid").join(sketched_pivots, "band")
+            met = met.where(f"{_disagreements('own', 'p.other', places)} <= {_most_disagreements(places, percent)}")
         pairs = (
-            members.join(pivots.select("band", F.struct(*_MEMBER).alias("p")), "band")
-            .where("comp <> p.comp")
+            met.where("comp <> p.comp")
             .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
             .select(F.greatest("sid", "p.sid").alias("x"), F.least("sid", "p.sid").alias("y"))
             .distinct()
@@ -268,7 +272,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
         rest = _active(moved).join(done, ["band", "sid"], "left_anti")
         before = folder
         members, folder = written_to(_active(rest), "members")
-        del pairs, alike, linked, moved, rest, pivots, done, left, right
+        del met, pairs, alike, linked, moved, rest, pivots, done, left, right
         release(spark, before, alike_folder)
     release(spark, sets_folder)
     result = sigs.join(classes.select("digest", "node"), "digest", "left")

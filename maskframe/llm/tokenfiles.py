@@ -218,7 +218,8 @@ def read_ids(listed: DataFrame, folder: str, with_ids: bool = False) -> DataFram
 
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     placed = listed.select("part", "number", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    dealt = placed.repartition("file").select("file", "start")
+    # Counted from the files: rows that name them are few bytes, and would be put together in one task.
+    dealt = placed.repartition(max(1, listed.count()), "file").select("file", "start")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

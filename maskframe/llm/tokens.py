@@ -28,7 +28,8 @@ _PIECES = {
     "spaced": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+",
     "bare": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+",
 }
-KNOWN_PIECES, LONGEST_KNOWN, STRETCH = 1_000_000, 48, 1 << 20
+KNOWN_PIECES, KNOWN_BARE = 1_000_000, 300_000  # 200 bytes each, in every Python worker; lower-cased pieces are fewer
+LONGEST_KNOWN, STRETCH = 48, 1 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -54,14 +55,14 @@ def _little(ids: list[int]) -> bytes:
 class _Known(dict):
     """What ``make`` gives for a string; emptied when full, and long strings are not kept."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONGEST_KNOWN:
-            if len(self) >= KNOWN_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -88,7 +89,7 @@ class Encoder:
             self.letters = _byte_letters()
             self.ascii = {b: c for b, c in self.letters.items() if b < 128 and chr(b) != c}
             self.find = re.compile(_PIECES[self.kind]).findall
-            self.pieces = _Known(self._piece)
+            self.pieces = _Known(self._piece, KNOWN_PIECES if self.kind == "spaced" else min(KNOWN_PIECES, KNOWN_BARE))
 
     @staticmethod
     def _kind(spec: dict) -> str | None:

@@ -23,6 +23,7 @@ from .common import slices, written
 from .store import made, opened, own_name
 
 ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES = 64 << 20, 8 << 20, 64 << 10
+READ_TEXT = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 # Fixed value: the profile the WARC standard names for a revisit of an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,8 +70,8 @@ def _page(value: str | None) -> int | None:
     return int(value.removeprefix("<urn:page:").removesuffix(">")) if value else None
 
 
-def parsed(member: bytes) -> dict:
-    """What one gzip member says of its page; a response's payload is checked against its digest."""
+def parsed(member: bytes, with_html: bool = True) -> dict:
+    """What one gzip member says of its page; a response's payload is checked against its digest, and decoded if asked for."""
     headers, rest = _head(zlib.decompress(member, 31))
     block = rest[: int(headers["content-length"])]
     http, payload = _head(block)
@@ -81,7 +82,7 @@ def parsed(member: bytes) -> dict:
     return {
         "page_id": _page(headers.get("warc-record-id")), "url": headers.get("warc-target-uri"),
         "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": headers["warc-type"],
-        "refers_to": _page(headers.get("warc-refers-to")), "html": payload.decode() if headers["warc-type"] == "response" else None,
+        "refers_to": _page(headers.get("warc-refers-to")), "html": payload.decode() if with_html and headers["warc-type"] == "response" else None,
     }
 
 
@@ -159,7 +160,11 @@ def _ranges(rows, most: int, gap: int):
 
 
 def read_records(index: DataFrame, folder: str, with_html: bool = False, most: int = RANGE_BYTES, gap: int = GAP_BYTES) -> DataFrame:
-    """The records that ``index`` rows name, from the archives alone; a revisit has no ``html`` of its own."""
+    """The records that ``index`` rows name, from the archives alone; a revisit has no ``html`` of its own.
+
+    There are as many readers as archives at least, and one for every ``most`` bytes of records. A reader holds a range of
+    compressed records and ``READ_TEXT`` of what is in them; a record with a very long payload takes memory in proportion to it.
+    """
     fields = [
         ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
         ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -180,13 +185,23 @@ def read_records(index: DataFrame, folder: str, with_html: bool = False, most: i
                     source.close()
                 current, source = archive, files.open_input_file(f"{path}/{archive}")
             data = source.read_at(part[-1][1] + part[-1][2] - start, start)
-            found = [parsed(data[offset - start : offset - start + length]) for _, offset, length in part]
-            yield pa.RecordBatch.from_pylist([{k: x[k] for k in schema.names} for x in found], schema=schema)
+            found, held = [], 0
+            for _, offset, length in part:
+                page = parsed(data[offset - start : offset - start + length], with_html)
+                found.append({k: page[k] for k in schema.names})
+                held += len(page["html"] or "") + 256
+                if held >= READ_TEXT:
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    found, held = [], 0
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
         if source is not None:
             source.close()
 
     wanted = index.select("archive", "offset", "length")
-    wanted = wanted.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    work = wanted.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.countDistinct("archive").alias("archives")).first()
+    # Counted from what is to be read: the rows that name it are few bytes, and would be put together in one task.
+    readers = max(1, work["archives"], -(-work["bytes"] // most))
+    wanted = wanted.repartitionByRange(readers, "archive", "offset").sortWithinPartitions("archive", "offset")
     shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return wanted.mapInArrow(run, shape + ", html string" * with_html)
 

@@ -67,3 +67,14 @@ def test_empty_table_and_other_columns(spark, folder):
     assert warc.archive_pages(none).count() == 0
     more = spark.createDataFrame([(1, "u", "h", "x", "y")], SCHEMA + ", digest string, offset string")
     assert warc.archive_pages(more).count() == 1
+
+
+def test_a_reader_for_every_archive_and_range(spark, folder):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(200)], SCHEMA).repartition(5)
+    index = warc.write_archives(pages, folder + "/wide")
+    archives = index.select("archive").distinct().count()
+    read = warc.read_records(index, folder + "/wide")
+    assert read.rdd.getNumPartitions() >= archives >= 1
+    small = warc.read_records(index, folder + "/wide", most=4096)
+    assert small.rdd.getNumPartitions() >= index.agg({"length": "sum"}).first()[0] // 4096 > archives
+    assert small.count() == 200
