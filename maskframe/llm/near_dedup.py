@@ -227,28 +227,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     members = shared.join(classes.select("sid", "node", "n"), "sid").withColumn("comp", F.col("node"))
     members, folder = written_to(members.select("band", *_MEMBER), "members")
     release(spark)
-    sketches = classes.select("sid", "node", "digest", "bits")
+    sketches = classes.select("sid", "bits")
     sets, sets_folder = written_to(_full_sets(docs, members.select("node").distinct(), width), "sets")
     merged = None  # (node, component) of all nodes with links so far
     links = []
-    apart = _disagreements("p.bits", "q.bits", places)
-    x, y = (sketches.select(F.col("sid").alias(n), F.struct("node", "digest", "bits").alias(s)) for n, s in (("x", "p"), ("y", "q")))
+    apart = _disagreements("own", "p.other", places)
+    x, y = (classes.select(F.col("sid").alias(n), F.struct("node", "digest").alias(s)) for n, s in (("x", "p"), ("y", "q")))
     while not members.isEmpty():
         pivots = _band_pivots(members) if not links else _node_pivots(members, SOME if len(links) == 1 else 1)
-        met = members.join(pivots.select("band", F.struct(*_MEMBER).alias("p")), "band")
-        if links:
-            # What is left is little, but may be compared with all of its buckets: sketches come along and decide there.
-            mine, theirs = (sketches.select("sid", F.col("bits").alias(b)) for b in ("own", "other"))
-            sketched_pivots = pivots.join(theirs, "sid").select("band", F.struct(*_MEMBER, "other").alias("p"))
-            met = members.join(mine, "sid").join(sketched_pivots, "band")
-            met = met.where(f"{_disagreements('own', 'p.other', places)} <= {_most_disagreements(places, percent)}")
+        mine, theirs = (sketches.select("sid", F.col("bits").alias(b)) for b in ("own", "other"))
+        sketched_pivots = pivots.join(theirs, "sid").select("band", F.struct(*_MEMBER, "other").alias("p"))
+        met = members.join(mine, "sid").join(sketched_pivots, "band").where(f"{apart} <= {_most_disagreements(places, percent)}")
         pairs = (
             met.where("comp <> p.comp")
             .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
             .select(F.greatest("sid", "p.sid").alias("x"), F.least("sid", "p.sid").alias("y"))
             .distinct()
         )
-        alike = pairs.join(x, "x").join(y, "y").where(f"{apart} <= {_most_disagreements(places, percent)}")
+        alike = pairs.join(x, "x").join(y, "y")
         alike, alike_folder = written_to(
             alike.select(F.col("p.digest").alias("dx"), F.col("q.digest").alias("dy"), F.col("p.node").alias("a"), F.col("q.node").alias("b")), "alike"
         )
