@@ -160,7 +160,10 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def audit_leak(
     raw: DataFrame, scrubbed: DataFrame, columns: Sequence[str], table: str
 ) -> DataFrame:
-    """Rows of a scrubbed column that still hold a value the raw column has anywhere."""
+    """Rows of a scrubbed column that still are a value the raw column has anywhere.
+
+    Whole values of one column only; ``leaks.audit_leak_anywhere`` looks into all text of all tables.
+    """
     seen = column_values(raw, columns).select("column", "value", F.lit(True).alias("leaked"))
     per_column = (
         column_values(scrubbed, columns)

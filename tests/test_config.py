@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from maskframe import ConfigError, ScrubConfig, split_qualified
@@ -28,40 +30,86 @@ def test_parse():
         assert not cfg.rules_for(name).columns and not cfg.rules_for(name).where
 
 
-def in_table(body, name="sales.part"):
-    return {"version": 1, "tables": {name: body}}
-
-
-@pytest.mark.parametrize(
-    "document, message",
-    [
-        (in_table({"column": {"p_name": "redact"}}), "unknown key `column`"),
-        ({"version": 1, "table": {}}, "unknown key `table`"),
-        ({"version": 7}, "version 7 are not known"),
-        ({"fk_mode": "validate"}, "version 0 are not known"),
-        ({"version": "first"}, "is not a number"),
-        (in_table({"mode": "skip"}, name="part"), "schema.table"),
-        (in_table({"mode": "half"}), 'not "half"'),
-        ({"version": 1, "fk_mode": "later"}, 'not "later"'),
-        (in_table({"mode": "skip", "where": "p_size > 3"}), "no rows for `where`"),
-        (in_table({"mode": "skip", "columns": {"p_name": "redact"}}), "no rows for `columns`"),
-        (in_table({"columns": {"p_name": "\t"}}), "is blank"),
-        (in_table({"columns": {"p_name": None}}), "is blank"),
-        ("version: 1\ntables: {sales.part: {columns: {p_name: redact, p_name: md5}}}", "appears twice"),
-        ("version: {", "cannot be read"),
-        ("# nothing but a comment", "is a mapping"),
-    ],
-)
-def test_rejected(document, message):
-    with pytest.raises(ConfigError, match=message):
-        ScrubConfig.parse(document)
+def valid():
+    """A rule set with every key there is."""
+    return {
+        "version": 1, "fk_mode": "not_valid",
+        "tables": {
+            "sales.part": {"where": "p_size > 3", "columns": {"p_name": "redact", "p_type": "upper(p_type)"}},
+            "web.pages": {"mode": "skip"},
+        },
+    }
+
+
+def changed(path, value):
+    """The valid set with another value at a path; a path that ends in a new key adds it."""
+    out = valid()
+    place = out
+    for key in path[:-1]:
+        place = place[key]
+    place[path[-1]] = value
+    return out
+
 
+def paths(body, at=()):
+    for key, value in body.items():
+        yield (*at, key)
+        if isinstance(value, dict):
+            yield from paths(value, (*at, key))
 
-def test_all_problems_at_once():
-    document = {"version": 4, "fk_mode": "never", "tables": {"part": {"mode": "all", "columns": {"p_type": ""}}}}
-    with pytest.raises(ConfigError) as e:
+
+def problems(document):
+    try:
         ScrubConfig.parse(document)
-    assert len(e.value.problems) == 5
+    except ConfigError as e:
+        return e.problems
+    return []
+
+
+def test_the_valid_set_is_valid():
+    assert problems(valid()) == []
+
+
+@pytest.mark.parametrize("value", ["  ", 12, "nonsense"])
+@pytest.mark.parametrize("path", [p for p in paths(valid()) if p[-1] in ("version", "fk_mode", "mode")], ids=".".join)
+def test_a_word_that_means_nothing(path, value):
+    found = problems(changed(path, value))
+    assert len(found) == 1 and (str(value).strip() in found[0] or "blank" in found[0])
+
+
+def test_an_empty_mode_is_the_usual_one():
+    cfg = ScrubConfig.parse(changed(("fk_mode",), "") | {"tables": {"web.pages": {"mode": ""}}})
+    assert cfg.fk_mode == "validate" and not cfg.rules_for("web.pages").skip
+
+
+@pytest.mark.parametrize("place", [(), ("tables", "sales.part"), ("tables", "web.pages")], ids=str)
+def test_a_key_that_is_not_known(place):
+    assert [("surprise" in p) for p in problems(changed((*place, "surprise"), {}))] == [True]
+
+
+@pytest.mark.parametrize("rule", ["", "\n", None])
+def test_a_rule_without_content(rule):
+    found = problems(changed(("tables", "sales.part", "columns", "p_type"), rule))
+    assert len(found) == 1 and "p_type" in found[0]
+
+
+@pytest.mark.parametrize("key, value", list(valid()["tables"]["sales.part"].items()))
+def test_a_skipped_table_has_no_rules(key, value):
+    found = problems(changed(("tables", "web.pages", key), value))
+    assert len(found) == 1 and key in found[0]
+
+
+def test_each_change_adds_its_own_problem():
+    """All problems are told at once, so two changes in different places have the problems of both."""
+    one, two = ("fk_mode", "nonsense"), ("tables", {"part": {}})
+    both = valid() | dict([one, two])
+    assert sorted(problems(both)) == sorted(problems(valid() | dict([one])) + problems(valid() | dict([two])))
+    assert len(problems(both)) == 2
+
+
+@pytest.mark.parametrize("text", ["version: [1", "- 1", "version: 1\nversion: 1", "tables: {a.b: {where: x, where: y}}"])
+def test_text_that_is_no_rule_set(text):
+    assert problems(text)
 
 
 def test_scalars_stay_text():
@@ -81,10 +129,14 @@ def test_hash_ignores_order_and_sees_content():
     assert a.sha256() == b.sha256() != c.sha256()
 
 
-@pytest.mark.parametrize("name", ["lineitem", "sales.", ".lineitem", "db.sales.lineitem", "."])
-def test_names_without_exactly_two_parts(name):
-    with pytest.raises(ValueError):
-        split_qualified(name)
+@pytest.mark.parametrize("parts", list(itertools.chain.from_iterable(itertools.product(["", "x", "a b"], repeat=n) for n in (1, 2, 3))), ids=".".join)
+def test_a_name_is_a_schema_and_a_table(parts):
+    name = ".".join(parts)
+    if len(parts) == 2 and all(parts):
+        assert split_qualified(name) == parts
+    else:
+        with pytest.raises(ValueError):
+            split_qualified(name)
 
 
 def test_rules_frame(spark):
