@@ -231,13 +231,17 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     sets, sets_folder = written_to(_full_sets(docs, members.select("node").distinct(), width), "sets")
     merged = None  # (node, component) of all nodes with links so far
     links = []
-    apart = _disagreements("own", "p.other", places)
+    apart = _disagreements("own.bits", "p.other.bits", places)
     x, y = (classes.select(F.col("sid").alias(n), F.struct("node", "digest").alias(s)) for n, s in (("x", "p"), ("y", "q")))
     while not members.isEmpty():
         pivots = _band_pivots(members) if not links else _node_pivots(members, SOME if len(links) == 1 else 1)
-        mine, theirs = (sketches.select("sid", F.col("bits").alias(b)) for b in ("own", "other"))
+        # A pair of sets meets in every bucket that both are in; after the first round the first of them speaks for all.
+        buckets = members.groupBy("sid").agg(F.sort_array(F.collect_set("band")).alias("keys"))
+        known = sketches.join(buckets, "sid")
+        mine, theirs = (known.select("sid", F.struct("bits", "keys").alias(k)) for k in ("own", "other"))
         sketched_pivots = pivots.join(theirs, "sid").select("band", F.struct(*_MEMBER, "other").alias("p"))
-        met = members.join(mine, "sid").join(sketched_pivots, "band").where(f"{apart} <= {_most_disagreements(places, percent)}")
+        once = F.expr("array_min(array_intersect(own.keys, p.other.keys)) = band") if links else F.lit(True)
+        met = members.join(mine, "sid").join(sketched_pivots, "band").where(f"{apart} <= {_most_disagreements(places, percent)}").where(once)
         pairs = (
             met.where("comp <> p.comp")
             .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
