@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,10 @@ from ..workspace import path_exists
 from .layout import Layout, path_part
 from .manifests import Manifest, read_manifest, read_manifests
 from .snapshot import COPYTEXT, changed_digests
-from .versions import NEXT_VALUES, PublishRefused, Versions
+from .versions import NEXT_VALUES, PublishConflict, PublishRefused, Versions
+
+# A run that takes longer than this may be taken for dead by another one on the same target.
+ABANDONED_AFTER = timedelta(days=1)
 
 
 class SnapshotRefused(RuntimeError):
@@ -79,11 +83,13 @@ def restore(
     workers: int = 4,
     verify_files: bool = False,
     profile: bool = False,
+    abandoned_after: timedelta = ABANDONED_AFTER,
 ) -> Restored:
     """Load a snapshot beside the published version and replace that only if every check passed.
 
     What an interrupted run left behind is resolved first, and backups beyond ``keep`` go before
-    anything is staged. A failure at any later point drops the staged version and leaves the
+    anything is staged. Versions staged less than ``abandoned_after`` ago are left alone: another run may
+    be at work on them. If that one publishes first, this one is refused (``PublishConflict``). A failure at any later point drops the staged version and leaves the
     target as it was. Counts and content are those of the rows as loaded; constraints are checked on what
     will be published, after migrations, against the target's spec or, for a table a migration
     gives another shape, its spec in ``migrated``. The content of Parquet tables is checked
@@ -92,8 +98,9 @@ def restore(
     """
     target = target or database
     if versions.state(target) in ("orphaned_staging", "crashed_mid_swap"):
-        versions.recover(target)
+        versions.recover(target, abandoned_after)
     versions.expire(target, keep)
+    replaces = versions.published(target)
     layout, manifest = select_snapshot(spark, root, database, ts, target_major)
     _verify(spark, layout, manifest, verify_files)
 
@@ -143,8 +150,8 @@ def restore(
                 table_profile(df, t).write.parquet(f"{versions.path(target, name)}/_profile/{path_part(t)}")
         found = sequences.stored_positions(spark, manifest.sequences)
         sequences.next_values(found).write.parquet(versions.table_path(target, name, NEXT_VALUES))
-        versions.publish(target, name, reports, workers)
-    except PublishRefused:
+        versions.publish(target, name, reports, workers, replaces)
+    except (PublishRefused, PublishConflict):
         raise
     except Exception:
         versions.discard(target, name)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from functools import cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,3 +64,33 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
     path, store = _store(spark, pattern)
     found = store.globStatus(path)
     return found is not None and len(found) > 0
+
+
+def create_new(spark: SparkSession, place: str, text: str) -> bool:
+    """Write a small file unless there is one already; of several writers one succeeds.
+
+    The text goes to a file of its own name first and is renamed without overwriting, so nobody sees
+    half of it. HDFS decides between two renames to one name; a local folder, or a store that copies
+    to rename, looks first and renames then, which leaves a moment in which both may get through.
+    """
+    jvm = spark._jvm
+    path, store = _store(spark, place)
+    aside = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+    out = store.create(aside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(aside, path, options)
+    except Py4JJavaError as e:
+        if not store.exists(path):
+            raise e
+        return False
+    finally:
+        store.delete(aside, False)
+    return True

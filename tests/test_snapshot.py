@@ -1,5 +1,7 @@
 import importlib
 import json
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -7,7 +9,7 @@ from conftest import SALT, rows
 from pyspark.sql import functions as F
 
 from maskframe import (
-    ForeignKey, Layout, Manifest, PlanError, PublishRefused, ScrubConfig, SnapshotRefused, TableSpec,
+    ForeignKey, Layout, Manifest, PlanError, PublishConflict, PublishRefused, ScrubConfig, SnapshotRefused, TableSpec,
     Versions, read_manifest, read_manifests, restore, snapshot,
 )
 from maskframe.operators import audits, load, registry
@@ -16,6 +18,7 @@ from maskframe.sources.manifests import column_entries, table_entries
 from maskframe.sources.restore import select_snapshot
 from maskframe.sources.snapshot import changed_digests, file_digests
 from maskframe.sources.tables import changed_files, open_parquet, pinned_files, read_parent
+from maskframe.workspace import create_new
 
 taking = importlib.import_module("maskframe.sources.snapshot")
 TS = ["20240101T000000Z", "20240102T000000Z", "20240103T000000Z"]
@@ -384,6 +387,60 @@ def test_recovery(spark, tmp_path):
         versions.recover("core")
 
 
+def test_of_two_interleaved_runs_the_first_to_publish_wins(spark, tables, tmp_path):
+    """The second run starts while the first one is staging; neither sees or removes the other's files."""
+    versions = Versions(spark, str(tmp_path / "v"))
+    take(spark, tables, tmp_path)
+    before = restore(spark, str(tmp_path), "core", specs_of(tables), versions).version
+    inner = []
+    staged = versions.stage("core", {"public.t": spark.range(3)})
+    replaces = versions.published("core")
+    inner.append(restore(spark, str(tmp_path), "core", specs_of(tables), versions).version)
+    assert versions.read_version("core", staged, "public.t").count() == 3
+    with pytest.raises(PublishConflict, match=f"published as {inner[0]} meanwhile"):
+        versions.publish("core", staged, replaces=replaces)
+    assert versions.published("core") == inner[0] != before
+    assert {p.name for p in (tmp_path / "v" / "core").iterdir()} - {"_versions"} == {before, inner[0]}
+
+    def late(df):
+        """Publishes between this run's look at the target and its own publication."""
+        inner.append(restore(spark, str(tmp_path), "core", specs_of(tables), versions, keep=5).version)
+        return df
+
+    with pytest.raises(PublishConflict):
+        restore(spark, str(tmp_path), "core", specs_of(tables), versions, migrations={"public.orders": late}, keep=5)
+    assert versions.published("core") == inner[1]
+    assert versions.state("core") == "idle"
+
+
+def test_a_log_number_is_taken_once(spark, tmp_path):
+    """Writers at the same moment: every change is there, one entry each, in some order."""
+    versions = Versions(spark, str(tmp_path))
+    place = str(tmp_path / "log" / "1.json")
+    assert create_new(spark, place, "{}\n") and not create_new(spark, place, "other\n")
+    assert Path(place).read_text() == "{}\n" and [p.name for p in Path(place).parent.glob("[!.]*")] == ["1.json"]
+    names = [f"v{i}" for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: versions._append("core", [(n, "staging")]), names))
+    assert sorted(r["name"] for r in versions.current("core").collect()) == names
+    log = tmp_path / "core" / "_versions"
+    assert {p.name for p in log.glob("[0-9]*.json")} == {f"{i:020d}.json" for i in range(1, 5)}
+    (log / f"{5:020d}.json").write_text("")
+    with pytest.raises(RuntimeError, match="entry 5 .* cannot be read"):
+        versions._append("core", [("v5", "staging")])
+
+
+def test_only_abandoned_staging_goes(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path))
+    a = versions.stage("core", {"public.t": spark.range(3)})
+    versions.publish("core", a)
+    b = versions.stage("core", {"public.t": spark.range(4)})
+    assert versions.recover("core", timedelta(hours=1)) == "idle"
+    assert versions.read_version("core", b, "public.t").count() == 4
+    assert versions.recover("core", timedelta(0)) == "orphaned_staging"
+    assert not (tmp_path / "core" / b).exists()
+
+
 @pytest.mark.parametrize("keep, left", [(0, 0), (-1, 0), (1, 1), (2, 2), (9, 3)])
 def test_backup_retention(spark, tmp_path, keep, left):
     versions = Versions(spark, str(tmp_path))
