@@ -16,7 +16,8 @@ from ..sources.manifests import (
     column_entries, load_order as ranked_by_size, read_manifest, read_manifests, table_entries,
 )
 from ..sources.restore import restore
-from ..sources.snapshot import COPYTEXT, Snapshot, changed_digests, snapshot
+from ..sources.snapshot import COPYTEXT, ShortRead, Snapshot, changed_digests, snapshot
+from ..sources.tables import footer_rows, scanned_files
 from ..sources.versions import PublishRefused, Versions
 from ..workspace import new_folder, remove
 from .base import SALT, TABLES, open_tables, query, rules, spec_of, table
@@ -134,13 +135,15 @@ def export_roundtrip_copytext(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL
     SELECT 'public.events', count(*), true, true, 0 FROM events
     UNION ALL
-    SELECT 'public.nation', count(*), true, true, 1 FROM nation
+    SELECT 'public.nation', count(*), true, true, 2 FROM nation
     UNION ALL
     SELECT 'public.region', count(*), true, true, 1 FROM region""")
 def export_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file digested when it landed and again; afterwards nation has got a file and region has lost one."""
-    taken = _snapshot(spark, sf_dir, "lineitem", "events", "nation", "region")
-    table(spark, sf_dir, "nation").coalesce(1).write.mode("append").parquet(taken.layout.data("public.nation"))
+    """Every file digested when it landed and again; then nation gets a file and one without rows, region loses one."""
+    taken = _snapshot(spark, sf_dir, "lineitem", "events", "nation", "region", hash_files=True)
+    nation = table(spark, sf_dir, "nation").coalesce(1)
+    for added in (nation, nation.filter("n_nationkey < 0")):
+        added.write.mode("append").parquet(taken.layout.data("public.nation"))
     lost = spark.read.parquet(taken.layout.table_digests("public.region")).first()["file"]
     remove(spark, f"{taken.layout.data('public.region')}/{lost}")
     changed = changed_digests(spark, taken.layout).groupBy("table").agg(F.count(F.lit(1)).alias("changed"))
@@ -152,6 +155,38 @@ def export_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT 'public.orders' AS "table", count(*) AS recorded, count(*) AS found FROM orders
+    UNION ALL
+    SELECT 'public.customer', count(*), count(*) FROM customer
+    UNION ALL
+    SELECT 'public.lineitem', count(*), count(*) FILTER (l_returnflag <> 'R' OR l_quantity > 40) FROM lineitem
+    UNION ALL
+    SELECT 'public.events', count(*), count(*) FILTER (event_type <> 'view') FROM events""")
+def snapshot_refuses_short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables, two of which give fewer rows than the footers of their files tell; no manifest is written.
+
+    Filters of the rules do not count as loss, whether they leave out much or nothing.
+    """
+    frames = open_tables(spark, sf_dir, "orders", "customer", "lineitem", "events")
+    stored = footer_rows(spark, {t: scanned_files(df) for t, df in frames.items()}).collect()
+    recorded = {r["table"]: r["rows"] for r in stored}
+    frames["public.events"] = frames["public.events"].filter("event_type <> 'view'")
+    frames["public.lineitem"] = frames["public.lineitem"].filter("l_returnflag <> 'R' OR l_quantity > 40")
+    cfg = ScrubConfig.parse({"version": 1, "tables": {
+        "public.orders": {"where": "o_orderstatus = 'F'"}, "public.lineitem": {"where": "l_quantity > 10"},
+    }})
+    root = new_folder(spark, "snapshots")
+    try:
+        snapshot(spark, frames, _specs(frames), cfg, root, "core", salt=SALT, ts=_TS, recorded=recorded)
+    except ShortRead as refused:
+        if read_manifests(spark, root).count():
+            raise
+        rows = [(t, n, *refused.tables.get(t, (n, n))[1:]) for t, n in recorded.items()]
+        return spark.createDataFrame(rows, "table string, recorded bigint, found bigint")
+    raise AssertionError("a snapshot of short tables was taken")
+
+
 @query("""
     SELECT 'public.lineitem' AS "table", count(*) AS "rows", true AS same FROM lineitem
     UNION ALL SELECT 'public.orders', count(*), true FROM orders WHERE o_orderdate >= DATE '1999-01-01'

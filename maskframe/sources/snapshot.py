@@ -29,7 +29,7 @@ from .layout import Layout
 from .manifests import (
     Manifest, TableEntry, column_entries, read_manifest, read_manifests, table_entries, write_manifest,
 )
-from .tables import pinned, unpinned
+from .tables import footer_rows, listed, pinned, scanned_files, unpinned
 
 PARQUET = "parquet"
 COPYTEXT = "copytext"
@@ -40,6 +40,17 @@ class SourceChanged(RuntimeError):
     """A table would not be read as of one moment."""
 
 
+class ShortRead(RuntimeError):
+    """A table gave other rows than it has, or other rows landed than were written.
+
+    ``tables`` has (recorded, found) by table.
+    """
+
+    def __init__(self, what: str, tables: Mapping[str, tuple[int, int]]):
+        self.tables = dict(tables)
+        super().__init__("; ".join(f"{t}: {what} {found} of {n} rows" for t, (n, found) in sorted(tables.items())))
+
+
 @dataclass(frozen=True)
 class Snapshot:
     layout: Layout
@@ -82,26 +93,37 @@ def snapshot(
     sequences: Sequence[dict[str, Any]] = (),
     sequence_refs: Sequence[SequenceRef] = (),
     rows_per_file: int | None = None,
-    hash_files: bool = True,
+    hash_files: bool | None = None,
+    recorded: Mapping[str, int] | None = None,
 ) -> Snapshot:
     """Export all tables and write the manifest.
 
     ``tables`` must be opened beforehand, all of them, so that they are read as of
     one moment; a source file that changes before the last job ends refuses the snapshot.
     Only counts and digests come back to the driver. ``hash_files`` reads what was
-    written once more, for a digest of every file; the content digest, which
-    a restore checks as well, comes from the pass that writes, and so do the high-water
+    written once more, for a digest of every file; it is on for COPY text only, unless given. The content digest, which
+    a restore checks for Parquet, comes from the pass that writes, and so do the high-water
     marks of ``sequence_refs``. Positions found elsewhere can be given as ``sequences``.
+
+    A read that comes out short refuses the snapshot (``ShortRead``): rows kept and rows removed by the filter
+    must be as many as ``recorded`` says, or for a plain scan of Parquet files as many as their footers say. Parquet
+    that has landed must hold the rows that were observed. Footers are all that is read for it, and the
+    columns of a filter, to count what it removes.
     """
     salt = salt or new_salt()
     plans = plan(specs, cfg)
     frames = scrubbed_frames(tables, plans, salt)
     layout = Layout(root, database, ts or timestamp_name())
 
-    def export(p: TablePlan) -> tuple[TableEntry, list[Mark]]:
+    hash_files = fmt == COPYTEXT if hash_files is None else hash_files
+    exported = [p for p in plans if not p.skipped]
+    expected = _expected_rows(spark, {p.spec.qualified: tables[p.spec.qualified] for p in exported}, recorded or {})
+
+    def export(p: TablePlan) -> tuple[TableEntry, list[Mark], int]:
         owned = [r.owned_by for r in sequence_refs if r.owned_by and not r.readable]
         entry, marks = _export_table(frames[p.spec.qualified], p, layout, fmt, rows_per_file, owned)
-        return _with_files(spark, layout, entry, hash_files), marks
+        removed = _removed_rows(tables[p.spec.qualified], p) if p.spec.qualified in expected else 0
+        return _with_files(spark, layout, entry, hash_files), marks, removed
 
     pins = pinned(spark, frames.values())
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -109,7 +131,13 @@ def snapshot(
     changed = unpinned(spark, pins)
     if changed:
         raise SourceChanged(f"{changed} source files were replaced or removed while the snapshot was taken")
-    entries, positions = [e for e, _ in done], [m for _, marks in done for m in marks]
+    read = {e.qualified: e.row_count + removed for e, _, removed in done}
+    _refuse_short("read", expected, read)
+    entries, positions = [e for e, *_ in done], [m for _, marks, _ in done for m in marks]
+    if fmt == PARQUET:
+        written = {e.qualified: e for e in entries if e.file}
+        landed = footer_rows(spark, {t: [e.file] for t, e in written.items()}).collect()
+        _refuse_short("landed", {t: e.row_count for t, e in written.items()}, {r["table"]: r["rows"] for r in landed})
     found = manifest_rows(sequence_positions(spark, sequence_refs, positions)) if sequence_refs else list(sequences)
 
     manifest = Manifest(
@@ -126,6 +154,31 @@ def snapshot(
     return Snapshot(layout, manifest, added)
 
 
+def _expected_rows(
+    spark: SparkSession, tables: Mapping[str, DataFrame], recorded: Mapping[str, int]
+) -> dict[str, int]:
+    """How many rows tables have, of those for which something else than a read of them can tell."""
+    scans = {t: scanned_files(df) for t, df in tables.items() if t not in recorded}
+    files = {t: paths for t, paths in scans.items() if paths is not None}
+    known = {t: n for t, n in recorded.items() if t in tables}
+    if not files:
+        return known
+    return known | {r["table"]: r["rows"] for r in footer_rows(spark, files).collect()}  # one row a table
+
+
+def _removed_rows(df: DataFrame, p: TablePlan) -> int:
+    """What the filter takes out, from the columns it names."""
+    if not p.rules.where:
+        return 0
+    return df.filter(~F.coalesce(F.expr(p.rules.where).cast("boolean"), F.lit(False))).count()
+
+
+def _refuse_short(what: str, recorded: Mapping[str, int], found: Mapping[str, int]) -> None:
+    wrong = {t: (n, found[t]) for t, n in recorded.items() if found[t] != n}
+    if wrong:
+        raise ShortRead(what, wrong)
+
+
 def _export_table(
     scrubbed: DataFrame, p: TablePlan, layout: Layout, fmt: str, rows_per_file: int | None, owned: Sequence[str]
 ) -> tuple[TableEntry, list[Mark]]:
@@ -175,24 +228,24 @@ def _stored_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def _file_digests(spark: SparkSession, entry: TableEntry) -> DataFrame:
-    """(table, file, bytes, sha256) of a table's files, from sums over their rows.
+    """(table, file, bytes, sha256) of a table's files: what the store lists, with digests from sums over rows.
 
     Files are read in splits and sums combine partially, so a file may have any size.
-    A file without a row has nothing to digest and is not listed.
+    A file without a row has the digest of no rows.
     """
+    found = listed(spark, entry.file)
     if path_exists(spark, f"{entry.file}/part-*"):
         stored = _stored_rows(spark, entry.file, entry.format)
-    else:
-        stored = spark.createDataFrame([], "value string").withColumn(
-            "_metadata", F.expr("named_struct('file_path', '', 'file_size', 0L)")
+        measures = digests.content_measures(stored.schema)
+        by_file = stored.groupBy(F.regexp_extract("_metadata.file_path", r"/([^/]+)$", 1).alias("file")).agg(
+            *[c.alias(n) for n, c in measures.items()]
         )
-    measures = digests.content_measures(stored.schema)
-    by_file = stored.groupBy(
-        F.regexp_extract("_metadata.file_path", r"/([^/]+)$", 1).alias("file"),
-        F.col("_metadata.file_size").alias("bytes"),
-    ).agg(*[c.alias(n) for n, c in measures.items()])
-    whole = F.concat_ws(":", "rows", "hash_xor", F.col("hash_sum").cast("string"))
-    return by_file.select(F.lit(entry.qualified).alias("table"), "file", "bytes", F.sha2(whole, 256).alias("sha256"))
+        whole = F.concat_ws(":", "rows", "hash_xor", F.col("hash_sum").cast("string"))
+        by_file = by_file.select("file", F.sha2(whole, 256).alias("sha256"))
+    else:
+        by_file = spark.createDataFrame([], "file string, sha256 string")
+    sha = F.coalesce("sha256", F.lit(digests.content_sha256({"rows": 0, "hash_xor": 0, "hash_sum": 0})))
+    return found.join(by_file, "file", "left").select(F.lit(entry.qualified).alias("table"), "file", "bytes", sha.alias("sha256"))
 
 
 def file_digests(spark: SparkSession, layout: Layout) -> DataFrame:

@@ -40,6 +40,12 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after, ["table", "file", "bytes", "modified"], "left_anti")
 
 
+_FOOTERS = {
+    "spark.sql.sources.useV1SourceList": "",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.files.ignoreMissingFiles": "false",
+    "spark.sql.files.ignoreCorruptFiles": "false",
+}
 _STATE = ("path", "length", "modificationTime")
 
 
@@ -48,6 +54,12 @@ def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(*_STATE)
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes) of the data files in a folder, as the store lists them, files without rows too."""
+    found = _listed(spark, [folder]).withColumn("file", F.regexp_extract("path", r"/([^/]+)$", 1))
+    return found.select("file", F.col("length").alias("bytes"))
+
+
 def pinned(spark: SparkSession, frames: Iterable[DataFrame]) -> DataFrame | None:
     """The files that frames read, as they are now, kept in the shared folder; None if there are none."""
     paths = sorted({unquote(f) for df in frames for f in df.inputFiles()})
@@ -70,6 +82,33 @@ def unpinned(spark: SparkSession, pins: DataFrame | None) -> int:
     return pins.join(now, list(_STATE), "left_anti").count()
 
 
+def scanned_files(df: DataFrame) -> list[str] | None:
+    """The Parquet files of a frame that gives every row of them, as it is; None for any other frame."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation" or not plan.simpleString(1).endswith(" parquet"):
+        return None
+    return sorted({unquote(f) for f in df.inputFiles()})
+
+
+def footer_rows(spark: SparkSession, files: Mapping[str, list[str]]) -> DataFrame:
+    """(table, rows): what the footers of Parquet files or folders say, whatever a scan of them gives.
+
+    Tasks read footers only. The session is one of its own, as the setting by which Spark counts from
+    footers concerns all reads, and as one that skips missing or broken files must not apply here.
+    """
+    own = spark.newSession()
+    for key, value in _FOOTERS.items():
+        own.conf.set(key, value)
+    counts = [
+        own.read.parquet(*paths).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows")
+        for t, paths in files.items() if paths
+    ]
+    none = [own.createDataFrame([(t, 0) for t, paths in files.items() if not paths], "table string, rows bigint")]
+    return union_all([*counts, *none])
+
+
 def leaves_of(specs: Iterable[TableSpec], parent: str) -> list[TableSpec]:
     """The tables that hold a partitioned table's rows, however many levels down."""
     below: dict[str, list[TableSpec]] = {}

@@ -9,7 +9,7 @@ from conftest import SALT, rows
 from pyspark.sql import functions as F
 
 from maskframe import (
-    ForeignKey, Layout, Manifest, PlanError, PublishConflict, PublishRefused, ScrubConfig, SnapshotRefused, TableSpec,
+    ForeignKey, Layout, Manifest, PlanError, PublishConflict, PublishRefused, ScrubConfig, ShortRead, SnapshotRefused, TableSpec,
     Versions, read_manifest, read_manifests, restore, snapshot,
 )
 from maskframe.operators import audits, load, registry
@@ -17,7 +17,9 @@ from maskframe.operators.sequences import SequenceRef
 from maskframe.sources.manifests import column_entries, table_entries
 from maskframe.sources.restore import select_snapshot
 from maskframe.sources.snapshot import changed_digests, file_digests
-from maskframe.sources.tables import changed_files, open_parquet, pinned_files, read_parent
+from maskframe.sources.tables import (
+    changed_files, footer_rows, open_parquet, pinned_files, read_parent, scanned_files,
+)
 from maskframe.workspace import create_new
 
 taking = importlib.import_module("maskframe.sources.snapshot")
@@ -122,7 +124,7 @@ def test_a_snapshot_exists_only_with_its_manifest(spark, tables, tmp_path):
 
 
 def test_changed_and_missing_files_are_found(spark, tables, tmp_path):
-    taken = take(spark, tables, tmp_path)
+    taken = take(spark, tables, tmp_path, hash_files=True)
     assert changed_digests(spark, taken.layout).count() == 0
     assert file_digests(spark, taken.layout).select("table").distinct().count() == 2
     folder = Path(taken.layout.data("public.orders"))
@@ -144,6 +146,66 @@ def test_changed_and_missing_files_are_found(spark, tables, tmp_path):
     assert load.reconcile_report(load.reconcile(counts, short)).first()["violations"] > 0
 
 
+def test_an_added_file_without_rows_is_found(spark, tables, tmp_path):
+    taken = take(spark, tables, tmp_path, hash_files=True)
+    place = taken.layout.data("public.orders")
+    spark.read.parquet(place).filter("id < 0").coalesce(1).write.mode("append").parquet(place)
+    (found,) = changed_digests(spark, taken.layout).collect()
+    assert found["table"] == "public.orders" and found["bytes"] > 0 and found["recorded_sha256"] is None
+
+
+def test_a_short_read_refuses_the_snapshot(spark, tmp_path):
+    """A broken file that the session is told to skip: the scan gives fewer rows, the footers are an error."""
+    place = tmp_path / "t"
+    spark.range(0, 40, 1, 4).write.parquet(str(place))
+    parts = sorted(place.glob("part-*"))
+    whole = spark.read.parquet(str(place))
+    specs = [TableSpec.from_df("public.t", whole)]
+    rules = ScrubConfig.parse({"version": 1, "tables": {"public.t": {"where": "id > 15"}}})
+    taken = snapshot(spark, {"public.t": whole}, specs, rules, str(tmp_path / "s"), "core", ts=TS[0])
+    assert taken.manifest.entry("public.t").row_count == 24
+    with pytest.raises(ShortRead, match="public.t: read 30 of 40 rows"):
+        short = whole.filter("id % 4 > 0")
+        snapshot(spark, {"public.t": short}, specs, rules, str(tmp_path / "s"), "core", ts=TS[1], recorded={"public.t": 40})
+    parts[0].write_bytes(b"not parquet")
+    (place / f".{parts[0].name}.crc").unlink()
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        frames = {"public.t": spark.read.schema("id bigint").parquet(str(place))}
+        assert frames["public.t"].count() == 30
+        with pytest.raises(Exception, match="not a Parquet file|FAILED_READ_FILE|CANNOT_READ_FILE_FOOTER"):
+            snapshot(spark, frames, specs, rules, str(tmp_path / "s"), "core", ts=TS[2])
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+    assert [r["ts"] for r in read_manifests(spark, str(tmp_path / "s")).collect()] == [TS[0]]
+
+
+def test_lost_output_refuses_the_snapshot(spark, tmp_path, monkeypatch):
+    real = taking._export_table
+
+    def loses_a_file(*args):
+        out = real(*args)
+        max(Path(out[0].file).glob("part-*")).rename(tmp_path / "gone")
+        return out
+
+    monkeypatch.setattr(taking, "_export_table", loses_a_file)
+    df = spark.range(0, 40, 1, 4)
+    with pytest.raises(ShortRead, match="public.t: landed 30 of 40 rows"):
+        snapshot(spark, {"public.t": df}, [TableSpec.from_df("public.t", df)], ScrubConfig(), str(tmp_path / "s"), "core")
+    assert read_manifests(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    spark.range(0, 40, 1, 4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    counted = footer_rows(spark, {"public.t": scanned_files(df), "public.none": []})
+    assert {r["table"]: r["rows"] for r in counted.collect()} == {"public.t": 40, "public.none": 0}
+    assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString()
+    assert scanned_files(df.select(F.col("id") + 1)) == scanned_files(df) and len(scanned_files(df)) == 4
+    for other in (df.filter("id > 3"), df.limit(3), df.distinct(), df.union(df), spark.range(3)):
+        assert scanned_files(other) is None
+
+
 def test_file_hashes_are_optional(spark, tables, tmp_path):
     taken = take(spark, tables, tmp_path, hash_files=False)
     entry = taken.manifest.entry("public.orders")
