@@ -11,7 +11,7 @@ from ..operators.reports import union_all
 from ..operators.sequences import SequenceRef
 from ..plans.config import ScrubConfig
 from ..plans.specs import ForeignKey, TableSpec
-from ..sources.copyfiles import read_copytext, write_copytext
+from ..sources.copyfiles import BZIP2, read_copytext, write_copytext
 from ..sources.manifests import (
     column_entries, load_order as ranked_by_size, read_manifest, read_manifests, table_entries,
 )
@@ -234,6 +234,15 @@ def copytext_roundtrip_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_copytext(spark, folder, df.schema)
 
 
+@query("""SELECT * FROM documents""")
+def copytext_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table by a codec whose files are read in splits, however many rows a file has."""
+    df = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "copytext")
+    write_copytext(df, folder, compression=BZIP2)
+    return read_copytext(spark, folder, df.schema)
+
+
 @query("""
     SELECT count(*) AS "rows", count(DISTINCT page_id) AS pages, true AS same FROM pages""")
 def copytext_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.copytext import decode_fields, encode_line, split_line
 
+GZIP, BZIP2 = "gzip", "bzip2"
 # Gzip cannot be split, so one file is one task when it is read back.
 ROWS_PER_FILE = 2_000_000
 
@@ -15,17 +16,22 @@ def encode(df: DataFrame) -> DataFrame:
     return df.select(encode_line(df.schema).alias("value"))
 
 
-def copytext_writer(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrameWriter:
-    return (
-        encode(df).write.format("text")
-        .option("compression", "gzip")
-        .option("lineSep", "\n")
-        .option("maxRecordsPerFile", rows_per_file)
-    )
+def copytext_writer(df: DataFrame, rows_per_file: int | None = None, compression: str = GZIP) -> DataFrameWriter:
+    """Lines of COPY text, compressed by ``gzip`` or by ``bzip2``.
 
+    bzip2 takes more processor time; its blocks are found again from any place in a file, so a file is
+    read by as many tasks as its bytes call for, and rows per file are bounded only if asked for. It is the choice for
+    rows of very different lengths, where a number of rows bounds no bytes.
+    """
+    if compression not in (GZIP, BZIP2):
+        raise ValueError(f'COPY text is compressed by gzip or bzip2, not "{compression}"')
+    writer = encode(df).write.format("text").option("compression", compression).option("lineSep", "\n")
+    most = rows_per_file or (ROWS_PER_FILE if compression == GZIP else 0)
+    return writer.option("maxRecordsPerFile", most)
 
-def write_copytext(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    copytext_writer(df, rows_per_file).save(path)
+
+def write_copytext(df: DataFrame, path: str, rows_per_file: int | None = None, compression: str = GZIP) -> None:
+    copytext_writer(df, rows_per_file, compression).save(path)
 
 
 def read_copytext(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

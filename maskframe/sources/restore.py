@@ -13,12 +13,13 @@ from ..functions.digests import content_digest, content_sha256
 from ..functions.names import MIN_SERVER_MAJOR
 from ..operators import audits, load, registry, sequences
 from ..operators.profile import table_profile
+from ..operators.statistics import column_sketches
 from ..plans.specs import TableSpec
 from ..workspace import path_exists
 from .layout import Layout, path_part
 from .manifests import Manifest, read_manifest, read_manifests
 from .snapshot import COPYTEXT, changed_digests
-from .versions import NEXT_VALUES, PublishConflict, PublishRefused, Versions
+from .versions import NEXT_VALUES, SKETCHES, PublishConflict, PublishRefused, Versions
 
 # A run that takes longer than this may be taken for dead by another one on the same target.
 ABANDONED_AFTER = timedelta(days=1)
@@ -94,7 +95,8 @@ def restore(
     will be published, after migrations, against the target's spec or, for a table a migration
     gives another shape, its spec in ``migrated``. The content of Parquet tables is checked
     against the manifest while they are loaded. COPY text is checked by the digests of its files, where the snapshot
-    has them; ``verify_files`` does the same for all tables and insists on digests.
+    has them; ``verify_files`` does the same for all tables and insists on digests. ``profile`` stores
+    extremes, counts and sketches of all columns with the version.
     """
     target = target or database
     if versions.state(target) in ("orphaned_staging", "crashed_mid_swap"):
@@ -148,6 +150,7 @@ def restore(
         if profile:
             for t, df in staged.items():
                 table_profile(df, t).write.parquet(f"{versions.path(target, name)}/_profile/{path_part(t)}")
+                column_sketches(df, t).write.parquet(f"{versions.path(target, name)}/{SKETCHES}/{path_part(t)}")
         found = sequences.stored_positions(spark, manifest.sequences)
         sequences.next_values(found).write.parquet(versions.table_path(target, name, NEXT_VALUES))
         versions.publish(target, name, reports, workers, replaces)

@@ -24,7 +24,7 @@ from ..plans.config import ScrubConfig
 from ..plans.specs import TableSpec
 from ..plans.tables import PlanError, TablePlan, plan
 from ..workspace import data_size, path_exists
-from .copyfiles import copytext_writer
+from .copyfiles import GZIP, copytext_writer
 from .layout import Layout
 from .manifests import (
     Manifest, TableEntry, column_entries, read_manifest, read_manifests, table_entries, write_manifest,
@@ -95,6 +95,7 @@ def snapshot(
     rows_per_file: int | None = None,
     hash_files: bool | None = None,
     recorded: Mapping[str, int] | None = None,
+    compression: str = GZIP,
 ) -> Snapshot:
     """Export all tables and write the manifest.
 
@@ -103,7 +104,8 @@ def snapshot(
     Only counts and digests come back to the driver. ``hash_files`` reads what was
     written once more, for a digest of every file; it is on for COPY text only, unless given. The content digest, which
     a restore checks for Parquet, comes from the pass that writes, and so do the high-water
-    marks of ``sequence_refs``. Positions found elsewhere can be given as ``sequences``.
+    marks of ``sequence_refs``. Positions found elsewhere can be given as ``sequences``. ``compression`` is that of
+    COPY text; files by ``bzip2`` are read in splits.
 
     A read that comes out short refuses the snapshot (``ShortRead``): rows kept and rows removed by the filter
     must be as many as ``recorded`` says, or for a plain scan of Parquet files as many as their footers say. Parquet
@@ -121,7 +123,7 @@ def snapshot(
 
     def export(p: TablePlan) -> tuple[TableEntry, list[Mark], int]:
         owned = [r.owned_by for r in sequence_refs if r.owned_by and not r.readable]
-        entry, marks = _export_table(frames[p.spec.qualified], p, layout, fmt, rows_per_file, owned)
+        entry, marks = _export_table(frames[p.spec.qualified], p, layout, fmt, rows_per_file, owned, compression)
         removed = _removed_rows(tables[p.spec.qualified], p) if p.spec.qualified in expected else 0
         return _with_files(spark, layout, entry, hash_files), marks, removed
 
@@ -180,7 +182,8 @@ def _refuse_short(what: str, recorded: Mapping[str, int], found: Mapping[str, in
 
 
 def _export_table(
-    scrubbed: DataFrame, p: TablePlan, layout: Layout, fmt: str, rows_per_file: int | None, owned: Sequence[str]
+    scrubbed: DataFrame, p: TablePlan, layout: Layout, fmt: str, rows_per_file: int | None, owned: Sequence[str],
+    compression: str = GZIP,
 ) -> tuple[TableEntry, list[Mark]]:
     """The table written, and the greatest exported value of each of its columns that owns a sequence."""
     entry = TableEntry(
@@ -201,7 +204,7 @@ def _export_table(
     highest = [F.max(source_column(c)).cast("bigint").alias(f"high{i}") for i, c in enumerate(columns)]
     observed = scrubbed.observe(seen, *[c.alias(n) for n, c in measures.items()], *highest)
     if fmt == COPYTEXT:
-        writer = copytext_writer(observed, **({"rows_per_file": rows_per_file} if rows_per_file else {}))
+        writer = copytext_writer(observed, rows_per_file, compression)
     elif fmt == PARQUET:
         writer = observed.write.format(PARQUET)
         if rows_per_file:

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from ..functions.names import staging_name
 from ..operators import registry
-from ..operators.reports import ERROR
+from ..operators.reports import ERROR, union_all
 from ..workspace import create_new, path_exists, remove
 from .layout import path_part
 
 LOG_SCHEMA = "target string, name string, role string, at string, seq int"
 DROPPED = "dropped"
 NEXT_VALUES = "_next_values"
+SKETCHES = "_sketches"
 NOBODY = ""
 
 # Names by role, oldest first, and the changes of role that follow from them.
@@ -170,6 +171,20 @@ class Versions:
         """(schema, name, next_value) of the published version's sequences."""
         return self.read(target, NEXT_VALUES)
 
+    def sketches(self, target: str, table: str) -> DataFrame:
+        """Column sketches of one table in all versions that have them, with the version's ``name`` and ``role``.
+
+        Sketches of several names can be merged; a version that was restored without a profile has none.
+        """
+        found = [
+            self.spark.read.parquet(place).withColumns({"name": F.lit(name), "role": F.lit(role)})
+            for role, names in self._roles(target).items() for name in names
+            if path_exists(self.spark, place := f"{self.path(target, name)}/{SKETCHES}/{path_part(table)}")
+        ]
+        if not found:
+            raise LookupError(f'no version of "{target}" has sketches of "{table}"')
+        return union_all(found)
+
     def read(self, target: str, table: str) -> DataFrame:
         """A table of the published version."""
         names = self._roles(target).get("target")

@@ -93,3 +93,25 @@ def test_parts_are_bounded_and_compressed(spark, tmp_path):
     write_copytext(spark.range(0, 1000, 1, 1), path, rows_per_file=100)
     files = [f.name for f in (tmp_path / "parts").iterdir() if f.name.startswith("part-")]
     assert len(files) == 10 and all(f.endswith(".txt.gz") for f in files)
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    """Values with line ends, backslashes and tabs; a split may begin anywhere."""
+    made = spark.range(0, 60_000, 1, 1).select(
+        "id", F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit("\n\\\t\r")).alias("t"),
+        F.when(F.col("id") % 5 == 0, F.lit("")).when(F.col("id") % 5 == 1, "\\N").alias("u"),
+    )
+    write_copytext(made, str(tmp_path / "b"), compression="bzip2")
+    write_copytext(made, str(tmp_path / "g"), rows_per_file=25_000)
+    assert len(list((tmp_path / "b").glob("part-*.bz2"))) == 1 and len(list((tmp_path / "g").glob("part-*.gz"))) == 3
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        back = read_copytext(spark, str(tmp_path / "b"), made.schema)
+        tasks = back.groupBy(F.spark_partition_id().alias("p")).count().filter("count > 0").count()
+        assert tasks >= 3
+        assert back.count() == 60_000 and back.exceptAll(made).isEmpty() and made.exceptAll(back).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError, match="gzip or bzip2"):
+        write_copytext(made, str(tmp_path / "z"), compression="zstd")

@@ -14,6 +14,7 @@ from maskframe import (
 )
 from maskframe.operators import audits, load, registry
 from maskframe.operators.sequences import SequenceRef
+from maskframe.operators.statistics import merge_sketches, statistics
 from maskframe.sources.manifests import column_entries, table_entries
 from maskframe.sources.restore import select_snapshot
 from maskframe.sources.snapshot import changed_digests, file_digests
@@ -417,6 +418,19 @@ def test_files_of_expired_versions_go(spark, tables, tmp_path, keep, left):
     assert there == set(names[-left - 1:]) == {r["name"] for r in versions.current().collect()}
 
 
+def test_sketches_stay_with_their_version(spark, tables, tmp_path):
+    versions = Versions(spark, str(tmp_path / "v"))
+    take(spark, tables, tmp_path, fmt="copytext", compression="bzip2")
+    names = [restore(spark, str(tmp_path), "core", specs_of(tables), versions, profile=p).version for p in (True, False, True)]
+    found = versions.sketches("core", "public.orders")
+    # The first version is the second backup; one is kept while a run is at work, and goes with the next.
+    assert {r["name"] for r in found.select("name").collect()} <= {names[0], names[2]}
+    (total,) = statistics(merge_sketches(found.filter(F.col("name") == names[2]))).filter("column = 'total'").collect()
+    assert total["rows"] == 2 and [c["value"] for c in total["common"]] == ["20.0", "30.0"]
+    with pytest.raises(LookupError, match="has sketches"):
+        versions.sketches("core", "public.nothing")
+
+
 def test_selecting_a_snapshot(spark, tables, tmp_path):
     take(spark, tables, tmp_path, TS[0], server_major=16)
     take(spark, tables, tmp_path, TS[1], server_major=18)
