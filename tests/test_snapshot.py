@@ -50,7 +50,7 @@ def take(spark, tables, root, ts=TS[0], cfg=RULES, **options):
 
 
 def test_manifest(spark, tables, tmp_path):
-    taken = take(spark, tables, tmp_path, server_major=17)
+    taken = take(spark, tables, tmp_path, server_major=17, hash_files=True)
     m = read_manifest(spark, taken.layout)
     assert m == Manifest.from_json(taken.manifest.to_json())
     assert [t.qualified for t in m.tables] == ["public.logs", "public.orders", "public.suppliers"]
@@ -343,7 +343,7 @@ def test_snapshots_can_be_moved_and_names_can_hold_anything(spark, tmp_path, fmt
     tables = {f"public.{n}": df for n in ("a[1]", "a/b", "a b", "a%20b", "q")}
     specs = [TableSpec.from_df(n, d, unique=[["a.b"]], not_null=["a.b"], foreign_keys=[ForeignKey(("a.b",), "public.q", ("a.b",))])
              for n, d in tables.items()]
-    taken = snapshot(spark, tables, specs, ScrubConfig(), str(tmp_path / "here"), "my db", ts=TS[0], salt=SALT, fmt=fmt)
+    taken = snapshot(spark, tables, specs, ScrubConfig(), str(tmp_path / "here"), "my db", ts=TS[0], salt=SALT, fmt=fmt, hash_files=True)
     assert all(t.files > 0 and t.bytes > 0 and len(t.sha256) == 64 for t in taken.manifest.tables)
     (tmp_path / "here").rename(tmp_path / "there")
     root, versions = str(tmp_path / "there"), Versions(spark, str(tmp_path / "v"))
