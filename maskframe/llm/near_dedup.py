@@ -229,18 +229,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
     release(spark)
     sketches = classes.select("sid", "bits")
     sets, sets_folder = written_to(_full_sets(docs, members.select("node").distinct(), width), "sets")
-    merged = None  # (node, component) of all nodes with links so far
-    links = []
+    merged = merged_folder = None  # (node, component) of all nodes with links so far
+    turn = 0
     apart = _disagreements("own.bits", "p.other.bits", places)
     x, y = (classes.select(F.col("sid").alias(n), F.struct("node", "digest").alias(s)) for n, s in (("x", "p"), ("y", "q")))
     while not members.isEmpty():
-        pivots = _band_pivots(members) if not links else _node_pivots(members, SOME if len(links) == 1 else 1)
+        pivots = _band_pivots(members) if not turn else _node_pivots(members, SOME if turn == 1 else 1)
         # A pair of sets meets in every bucket that both are in; after the first round the first of them speaks for all.
         buckets = members.groupBy("sid").agg(F.sort_array(F.collect_set("band")).alias("keys"))
         known = sketches.join(buckets, "sid")
         mine, theirs = (known.select("sid", F.struct("bits", "keys").alias(k)) for k in ("own", "other"))
         sketched_pivots = pivots.join(theirs, "sid").select("band", F.struct(*_MEMBER, "other").alias("p"))
-        once = F.expr("array_min(array_intersect(own.keys, p.other.keys)) = band") if links else F.lit(True)
+        once = F.expr("array_min(array_intersect(own.keys, p.other.keys)) = band") if turn else F.lit(True)
         met = members.join(mine, "sid").join(sketched_pivots, "band").where(f"{apart} <= {_most_disagreements(places, percent)}").where(once)
         pairs = (
             met.where("comp <> p.comp")
@@ -260,20 +260,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
             .where(100 * both >= percent * (F.size("xs") + F.size("ys") - both))
             .select("a", "b")
         )
-        links.append(written(linked.distinct(), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        merged = written(components(every), "merged")
-        moved = members.drop("comp").join(merged, "node", "left").select(
-            "band", "sid", "node", "n", F.coalesce("component", "node").alias("comp")
-        )
+        links, links_folder = written_to(linked.distinct(), "links")
+        moved = members
+        if not links.isEmpty():
+            # What earlier links reach is stars by now; only these meet the new links.
+            every = links if merged is None else links.union(merged.select("node", "component"))
+            was = merged_folder
+            merged, merged_folder = written_to(components(every), "merged")
+            moved = members.drop("comp").join(merged, "node", "left").select(
+                "band", "sid", "node", "n", F.coalesce("component", "node").alias("comp")
+            )
+            release(spark, *[was] if was else [])
         done = pivots.select("band", "sid")
-        rest = _active(moved).join(done, ["band", "sid"], "left_anti")
+        rest = moved.join(done, ["band", "sid"], "left_anti")
         before = folder
         members, folder = written_to(_active(rest), "members")
-        del met, pairs, alike, linked, moved, rest, pivots, done, left, right
-        release(spark, before, alike_folder)
+        del met, pairs, alike, linked, links, moved, rest, pivots, done, left, right
+        release(spark, before, alike_folder, links_folder)
+        turn += 1
     release(spark, sets_folder)
     result = sigs.join(classes.select("digest", "node"), "digest", "left")
     component = F.coalesce("node", "doc_id")
