@@ -2,8 +2,8 @@
 
 All protected values are looked for in one pass over the text. A value of up to ``PIECE`` bytes is one piece; a longer one is cut
 into pieces of ``PIECE`` bytes, the last of which ends where it ends. A task hashes the windows of every length that
-pieces have, all places of a batch at once, and keeps those whose hash is set in a bitmap of all pieces. The bitmap's size is bounded;
-what it lets through is compared by 128-bit hashes in joins. For a longer value its rarest piece leads: only where that one stands are
+pieces have, all places of a batch at once, and keeps those whose hashes are set in a bitmap of all pieces, at four places for
+each. The bitmap's size is bounded; what it lets through is compared by 128-bit hashes in joins. For a longer value its rarest piece leads: only where that one stands are
 its other pieces asked for, at their distances. Nothing is cut off: a bitmap that is too full for its pieces costs time and loses nothing.
 
 Windows are of UTF-8 bytes, so what is found is a stretch of characters. Only hashes and places are shuffled, not values.
@@ -28,7 +28,7 @@ from .reports import union_all
 PIECE = 32  # bytes; a text of this many is unlikely to stand in two places by chance
 BATCH_BYTES, SCAN_BYTES = 4 << 20, 1 << 20  # texts taken together, and places of them whose windows are hashed at once
 BITMAP_BITS = (16, 29)  # least and greatest exponent of the bitmap's size: 8 KB to 64 MB
-BITS_PER_PIECE = 16
+BITS_PER_PIECE = 32  # four of which are set: fewer than one window in 5,000 gets through that is no piece, up to 16 million pieces
 _BLOCK = 1 << 15  # bits in one value of bitmap_construct_agg
 
 _PIECES = "source string, value binary, pieces int, at int, size int, h1 long, h2 long"
@@ -138,10 +138,11 @@ def value_pieces(values: DataFrame) -> DataFrame:
 
 
 def _bitmap(pieces: DataFrame) -> tuple[int, bytes]:
-    """Its exponent, and bits that are set for the top bits of each piece's first hash; at most 64 MB whatever there is."""
+    """Its exponent, and bits that are set for the top and the low bits of each piece's hashes; at most 64 MB whatever there is."""
     count = pieces.count()
     exponent = min(max(BITMAP_BITS[0], (count * BITS_PER_PIECE).bit_length()), BITMAP_BITS[1])
-    slots = pieces.select(F.shiftrightunsigned("h1", 64 - exponent).alias("slot"))
+    places = [place for h in ("h1", "h2") for place in (F.shiftrightunsigned(h, 64 - exponent), F.col(h).bitwiseAND((1 << exponent) - 1))]
+    slots = pieces.select(F.explode(F.array(*places)).alias("slot"))
     blocks = slots.groupBy(F.expr(f"slot div {_BLOCK}").alias("block")).agg(
         F.bitmap_construct_agg(F.col("slot") % _BLOCK).alias("bits")
     )
@@ -152,6 +153,11 @@ def _bitmap(pieces: DataFrame) -> tuple[int, bytes]:
     return exponent, bytes(out)
 
 
+def _set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which of the slots are set."""
+    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 != 0
+
+
 def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
     """Where windows of the texts have the hash of a piece, as far as the bitmap can tell; of short ones a place in a row is enough."""
     spark = texts.sparkSession
@@ -165,6 +171,7 @@ def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, part, before = np.frombuffer(shared.value, np.uint8), TaskContext.get().partitionId(), 0
+        top, low_bits = np.uint64(64 - exponent), np.uint64((1 << exponent) - 1)
         for batch in _slices(batches, "text"):
             data, starts = _bytes_of(batch.column("text"))
             for low in range(0, len(data), SCAN_BYTES):
@@ -174,15 +181,17 @@ def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
                     if count <= 0:
                         continue
                     h = _hashed(lambda i: words[i : count + i], count, size, 0)  # noqa: B023
-                    slot = h >> np.uint64(64 - exponent)
-                    here = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    here = np.flatnonzero(_set(bits, h >> top))
+                    here = here[_set(bits, h[here] & low_bits)]
+                    second = _hashed(lambda i: words[here + i], len(here), size, 1)  # noqa: B023
+                    known = _set(bits, second >> top) & _set(bits, second & low_bits)
+                    here, second = here[known], second[known]
                     row = np.searchsorted(starts, here + low, "right") - 1
                     inside = here + low + size <= starts[row + 1]
-                    here, row = here[inside], row[inside]
+                    here, row, second = here[inside], row[inside], second[inside]
                     if size < PIECE:
                         _, one = np.unique(np.stack([row.astype(np.uint64), h[here]]), axis=1, return_index=True)
-                        here, row = here[one], row[one]
-                    second = _hashed(lambda i: words[here + i], len(here), size, 1)  # noqa: B023
+                        here, row, second = here[one], row[one], second[one]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("name").take(pa.array(row)), pa.array(np.full(len(row), part, np.int32)), pa.array(row + before),
                          pa.array(here + low - starts[row]), pa.array(np.full(len(row), size, np.int32)), _signed(h[here]), _signed(second)],

@@ -71,3 +71,16 @@ def test_texts_are_shuffled_by_hash_only(spark):
     frame = spark.createDataFrame([("a long text",)], "c string")
     hits = leaks._hits(leaks._texts({"t": frame}, {"t": ["c"]}), leaks.value_pieces(frame.selectExpr("'x' AS name", "c AS text")))
     assert "text" not in hits.columns and "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_that_are_no_piece_stay_in_the_scan(spark):
+    """The bitmap lets few others through: what is written and shuffled grows with the finds, not with the text."""
+    rnd = random.Random(5)
+    values = [f"Name#{i:09d}" for i in range(3000)] + made(rnd, "abcdefgh", 300, 90)
+    texts = made(rnd, "0123456789abcdefgh #N", 400, 2000) + ["x" + v for v in values[::100]]
+    pieces = leaks.value_pieces(spark.createDataFrame([("x", v) for v in set(values) if v], "name string, text string")).cache()
+    hits = leaks._hits(spark.createDataFrame([("t", v) for v in texts], "name string, text string"), pieces)
+    key, whole = ["h1", "h2", "size"], pieces.where("size = 14").select("h1", "h2", "size")
+    found = hits.where("size = 14")
+    assert found.join(whole, key, "left_semi").count() == 30
+    assert found.join(whole, key, "left_anti").count() < len("".join(texts)) / 1000
