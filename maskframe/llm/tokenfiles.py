@@ -34,25 +34,26 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escaped ids (all uint64) of a block of unsigned 64-bit ids."""
     n = len(ids)
     padded = np.concatenate([ids.astype(np.uint64), np.zeros(COUNTS[0], np.uint64)])
-    selector = np.full(n, ESCAPE, np.int64)
+    selector = np.full(n, ESCAPE, np.int8)
+    large = np.zeros(len(padded) + 1, np.int32)
     for s in sorted((s for s in range(16) if s != ESCAPE), key=COUNTS.__getitem__):
-        large = np.concatenate([[0], np.cumsum(padded >> np.uint64(BITS[s]) != 0)])
-        fits = large[COUNTS[s] : COUNTS[s] + n] == large[:n]
-        selector[fits] = s
+        np.cumsum(padded >= np.uint64(1 << BITS[s]), dtype=np.int32, out=large[1:])
+        np.copyto(selector, np.int8(s), where=large[COUNTS[s] : COUNTS[s] + n] == large[:n])
     step = np.array(COUNTS, np.int64)[selector].tolist()
     places, at = [], 0
     while at < n:
         places.append(at)
         at += step[at]
     places = np.array(places, np.int64)
-    chosen = selector[places] if n else places
+    chosen = selector[places].astype(np.int64) if n else places
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            lanes = np.arange(COUNTS[s])
-            values = padded[places[mine][:, None] + lanes]
-            words[mine] |= np.bitwise_or.reduce(values << (lanes * BITS[s]).astype(np.uint64), axis=1)
+            firsts, packed = places[mine], words[mine]
+            for lane in range(COUNTS[s]):
+                packed |= padded[firsts + lane] << np.uint64(lane * BITS[s])
+            words[mine] = packed
     return words, padded[places[chosen == ESCAPE]] if n else padded[:0]
 
 

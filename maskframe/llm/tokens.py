@@ -87,6 +87,7 @@ class Encoder:
         if self.kind:
             self.model = self.library.model
             self.letters = _byte_letters()
+            self.space = self.letters[32]  # the only printing ASCII character that is not written as itself
             self.ascii = {b: c for b, c in self.letters.items() if b < 128 and chr(b) != c}
             self.find = re.compile(_PIECES[self.kind]).findall
             self.pieces = _Known(self._piece, KNOWN_PIECES if self.kind == "spaced" else min(KNOWN_PIECES, KNOWN_BARE))
@@ -111,7 +112,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
-            written = piece.translate(self.ascii)
+            written = piece.replace(" ", self.space) if piece.isprintable() else piece.translate(self.ascii)
         else:
             written = "".join(map(self.letters.__getitem__, piece.encode()))
         return _little([t.id for t in self.model.tokenize(written)])

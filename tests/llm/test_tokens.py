@@ -41,3 +41,10 @@ def test_a_file_of_another_build_is_used_whole(tmp_path):
     encode = Encoder(str(path))
     assert encode.kind is None
     assert encode.ids("a b  c") == encode._whole("a b  c")
+
+
+def test_pieces_of_every_ascii_character_are_written_as_the_library_writes_them():
+    """Printing pieces only have their spaces replaced; those with control characters are translated."""
+    encode = Encoder(tokenizer_file("byte_bpe_50k.json"))
+    for piece in [f"{a}x{b}" for a in map(chr, range(128)) for b in ("", " ", "\t", "~", "\x7f", "é")]:
+        assert encode._piece(piece) == tokens._little([i.id for i in encode.model.tokenize("".join(encode.letters[b] for b in piece.encode()))])
