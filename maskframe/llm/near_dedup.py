@@ -252,6 +252,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
         alike, alike_folder = written_to(
             alike.select(F.col("p.digest").alias("dx"), F.col("q.digest").alias("dy"), F.col("p.node").alias("a"), F.col("q.node").alias("b")), "alike"
         )
+        # What the sketches took to meet is given back before whole sets are shuffled, so the disk holds one of the two.
+        del buckets, known, mine, theirs, sketched_pivots, met, pairs
+        release(spark)
         left = sets.select(F.col("digest").alias("dx"), F.col("items").alias("xs"))
         right = sets.select(F.col("digest").alias("dy"), F.col("items").alias("ys"))
         both = F.size(F.array_intersect("xs", "ys"))
@@ -275,7 +278,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketched
         rest = moved.join(done, ["band", "sid"], "left_anti")
         before = folder
         members, folder = written_to(_active(rest), "members")
-        del met, pairs, alike, linked, links, moved, rest, pivots, done, left, right
+        del alike, linked, links, moved, rest, pivots, done, left, right
         release(spark, before, alike_folder, links_folder)
         turn += 1
     release(spark, sets_folder)

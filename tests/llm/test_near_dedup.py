@@ -104,3 +104,15 @@ def test_an_id_with_two_texts_is_linked_by_both(spark):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(near[0])), (7, " ".join(near[1])), (8, "nothing like it at all")]
     got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_shuffles_of_sketches_are_given_back_before_sets_are_shuffled(spark, monkeypatch):
+    steps, write, give_back = [], near_dedup.written_to, near_dedup.release
+    monkeypatch.setattr(near_dedup, "written_to", lambda df, label: (steps.append(label), write(df, label))[1])
+    monkeypatch.setattr(near_dedup, "release", lambda *a: (steps.append("release"), give_back(*a))[1])
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, "other words here only")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    at = steps.index("alike")
+    assert steps[at : at + 3] == ["alike", "release", "links"]
