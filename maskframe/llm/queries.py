@@ -70,7 +70,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best piece sequences of all documents, and what they decode to."""
-    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), place=pieces.FILE_PLACE)
 
 
 @query("""
