@@ -1,14 +1,14 @@
 """Exact top-k by inner product, over buckets of vectors of similar length.
 
 Vectors are put into buckets by their length and packed into blocks of bounded size, longest first. A query's scores
-in the block of the longest vectors give a lower bound of its k-th score. Against any other block
+in the block of the longest vectors give a lower bound of its k-th score, which rises with what is found. Against any other block
 that bound and the block's greatest length ask for a cosine t (after Teflioudi, Gemulla and Mykytiuk, "LEMP", 2015):
 
 - t over 1: nothing in the block can do it.
 - t from ``COORDINATE_FROM`` on: coordinate pruning. Where q has its largest coordinates, a unit vector with a cosine of at
   least t to q lies between t q_f - r and t q_f + r, r = sqrt((1 - t^2) (1 - q_f^2)); up to 1 where q_f >= t, as the axis
   itself is that close to q, and down to -1 where q_f <= -t.
-- else: length pruning, as a vector must be at least bound / |q| long.
+- else, or if a sample of the block says that it would leave many: length pruning, as a vector must be at least bound / |q| long.
 
 What is left is verified by its integer product.
 """
@@ -18,13 +18,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import new_folder
 from .common import written
+from .store import opened
 
 SCALE, EVERY, TOP = 256, 50, 5
 BLOCK, QUERY_BLOCK, FOCUS, COORDINATE_FROM = 1024, 256, 4, 0.3
+SAMPLE, FEW = 32, 0.1  # vectors of a block that are looked at first, and the share of them that is few
 RATIO = 1.1  # of the greatest to the least length in a bucket
 _EPS = 1e-9
 
@@ -117,55 +122,99 @@ def survivors(units: np.ndarray, lengths: np.ndarray, query: np.ndarray, size: f
     return np.flatnonzero(((part >= low) & (part <= high)).all(1))
 
 
-_FOUND = "query_id long, vec_id long, score long"
+def _few_left(sample: np.ndarray, asked: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each unit query whether coordinate pruning leaves few of a sample of unit vectors, with the intervals of ``survivors``."""
+    focus = np.argsort(-np.abs(asked), axis=1)[:, :FOCUS]
+    own, t = np.take_along_axis(asked, focus, 1), t[:, None]
+    reach = np.sqrt(np.maximum(0, (1 - t * t) * (1 - own**2)))
+    part = sample[:, focus]
+    inside = ((part >= t * own - reach) | (own <= -t)) & ((part <= t * own + reach) | (own >= t))
+    return inside.all(2).mean(0) <= FEW
 
 
-def _search(pairs: DataFrame, k: int, bounds_only: bool) -> DataFrame:
-    """The best of each block for each query of each query block; or a query block with its lower bounds."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _score(found: list, bounds: np.ndarray, q_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, numbers: np.ndarray, k: int) -> None:
+    """Put those of a block that are among the best into ``found``, ids and scores for each query; ``bounds`` rise with them.
+
+    As in LEMP a sample of the block tells how a query prunes it: by coordinates if that leaves few, else by length
+    alone. Products of the latter are made for all such queries at once.
+    """
 
-    def rows(batch):
-        for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-
-    def scored(row, bounds):
-        ids, numbers = _open(row["ids"], row["numbers"], row["dim"])
-        queries, asked = _open(row["q_ids"], row["q_numbers"], row["dim"])
-        lengths, sizes = _lengths(numbers), _lengths(asked)
-        units = numbers / np.maximum(lengths, 1)[:, None]
-        safe = lengths.max(initial=0) * sizes.max(initial=0) < 2.0**52
-        for i, query in enumerate(queries):
+    def merge(i: int, places: np.ndarray, scores: np.ndarray) -> None:
+        others = ids[places] != q_ids[i]
+        those, scores = np.concatenate([found[i][0], ids[places][others]]), np.concatenate([found[i][1], scores[others]])
+        at = best(scores, those, k)
+        found[i] = those[at], scores[at]
+        if len(at) == k:
+            bounds[i] = max(bounds[i], float(scores[at[-1]]))
+
+    lengths, sizes = _lengths(numbers), _lengths(asked)
+    safe = lengths.max(initial=0) * sizes.max(initial=0) < 2.0**52
+    most = sizes * lengths[0]
+    t = np.where(bounds <= 0, -np.inf, np.where(most > 0, bounds / np.where(most > 0, most, 1) - _EPS, np.inf))
+    alone = np.flatnonzero((t <= 1) & ((t >= COORDINATE_FROM) | (not safe)))
+    if safe and len(alone):
+        sample = numbers[:: max(1, len(numbers) // SAMPLE)], lengths[:: max(1, len(numbers) // SAMPLE)]
+        unit = asked[alone] / sizes[alone][:, None]
+        alone = alone[_few_left(sample[0] / np.maximum(sample[1], 1)[:, None], unit, t[alone])]
+    if len(alone):
+        units = np.asfortranarray(numbers / np.maximum(lengths, 1)[:, None])
+        for i in alone:
             left = survivors(units, lengths, asked[i], sizes[i], bounds[i])
-            left = left[ids[left] != query]
-            scores = products(numbers[left], asked[i], safe)
-            at = best(scores, ids[left], k)
-            yield query, ids[left][at], scores[at]
+            if len(left):
+                merge(i, left, products(numbers[left], asked[i], safe))
+    together = np.setdiff1d(np.flatnonzero(t <= 1), alone)
+    if not len(together):
+        return
+    least = np.where(bounds[together] > 0, bounds[together] / np.maximum(sizes[together], _EPS), -np.inf)
+    enough = int(np.searchsorted(-lengths, -least.min() * (1 - _EPS), "right"))  # for the query that asks for the shortest
+    scores = asked[together].astype(np.float64) @ numbers[:enough].astype(np.float64).T
+    reached = scores >= bounds[together][:, None]
+    for j in np.flatnonzero(reached.any(1)):
+        places = np.flatnonzero(reached[j])
+        merge(together[j], places, scores[j, places].astype(np.int64))
+
+
+def _kept(blocks: DataFrame, label: str) -> tuple[str, int]:
+    """The folder blocks are written to, each in a row group of its own, so that it can be read alone; and how many there are."""
+    folder = new_folder(blocks.sparkSession, label)
+    blocks.write.option("parquet.block.row.count.limit", 1).parquet(folder)
+    return folder, blocks.sparkSession.read.schema(blocks.schema).parquet(folder).count()
+
+
+def _places(folder: str) -> list[tuple[pq.ParquetFile, int, int]]:
+    """Where the blocks in a folder are, by table, row group and row, in an order that is the same for all tasks."""
+    files, path = opened(folder)
+    found = sorted(f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("part-"))
+    tables = [pq.ParquetFile(name, filesystem=files) for name in found]
+    groups = [(table, group) for table in tables for group in range(table.num_row_groups)]
+    return [(table, group, row) for table, group in groups for row in range(table.metadata.row_group(group).num_rows)]
+
+
+def _row(place: tuple[pq.ParquetFile, int, int], *columns: str) -> list:
+    table, group, row = place
+    found = table.read_row_group(group, list(columns), use_threads=False)
+    return [found.column(c)[row].as_py() for c in columns]
+
+
+def _search(spark: SparkSession, queries: tuple[str, int], blocks: str, k: int) -> DataFrame:
+    """The best of all blocks for each query: a task for each query block, which opens the blocks of its dimension, longest first."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches):
-        for batch in batches:
-            for row in rows(batch):
-                found = list(scored(row, np.frombuffer(row["q_bounds"], "<f8")))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([q for q, _, _ in found], [len(v) for _, v, _ in found]).astype(np.int64)),
-                        pa.array(np.concatenate([v for _, v, _ in found]).astype(np.int64)),
-                        pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64)),
-                    ],
-                    schema=schema,
-                )
-
-    def bound(batches):
-        shape = pa.schema([("dim", pa.int32()), ("q_ids", pa.binary()), ("q_numbers", pa.binary()), ("q_bounds", pa.binary())])
-        for batch in batches:
-            for row in rows(batch):
-                none = np.full(len(row["q_ids"]) // 8, -np.inf)
-                low = [float(s[k - 1]) if len(s) == k else -np.inf for _, _, s in scored(row, none)]
-                out = {"dim": row["dim"], "q_ids": row["q_ids"], "q_numbers": row["q_numbers"], "q_bounds": np.array(low, "<f8").tobytes()}
-                yield pa.RecordBatch.from_pylist([out], schema=shape)
-
-    if bounds_only:
-        return pairs.mapInArrow(bound, "dim int, q_ids binary, q_numbers binary, q_bounds binary")
-    return pairs.mapInArrow(search, _FOUND)
+        for number in (n for batch in batches for n in batch.column("id").to_pylist()):
+            dim, *row = _row(_places(queries[0])[number], "dim", "ids", "numbers")
+            q_ids, asked = _open(*row, dim)
+            sizes, none = _lengths(asked), np.array([], np.int64)
+            bounds, found = np.full(len(q_ids), -np.inf), [(none, none)] * len(q_ids)
+            sized = [(*_row(place, "dim", "longest"), place) for place in _places(blocks)]
+            for _, longest, place in sorted((x for x in sized if x[0] == dim), key=lambda x: -x[1]):
+                if (bounds * (1 - 2 * _EPS) > sizes * longest).all() and (bounds > 0).all():
+                    break  # the others are shorter
+                _score(found, bounds, q_ids, asked, *_open(*_row(place, "ids", "numbers"), dim), k)
+            answers = [np.repeat(q_ids, [len(v) for v, _ in found]), *(np.concatenate(x) for x in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in answers], schema=schema)
+
+    return spark.range(0, queries[1], 1, max(1, queries[1])).mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: int = SCALE) -> DataFrame:
@@ -178,20 +227,16 @@ def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: in
       the query's id is never its answer.
     - A component beyond 2^62 after scaling, or a score beyond 64 bits, is an error.
     - Other columns are not looked at. An empty table gives an empty one.
-    - Blocks meet in an equi-join on a slot: query blocks are repeated for every slot, vectors are not.
+    - Blocks meet without a join: a query block is a task, which opens the blocks in the shared folder one after the other
+      and holds one at a time. No row is repeated for it, and what is shuffled of the answers is ``k`` rows a query.
     """
+    spark = vectors.sparkSession
     rows = written(whole_vectors(vectors, scale), "vectors")
-    candidates = written(_blocks(rows, ["dim", "bucket"], BLOCK), "blocks")
-    asked = _blocks(rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "numbers"), ["dim"], QUERY_BLOCK)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("numbers").alias("q_numbers"))
-    longest = candidates.groupBy("dim").agg(F.max_by(F.struct("ids", "numbers"), F.struct("longest", "n", "ids")).alias("b"))
-    seeds = asked.join(longest.select("dim", "b.*"), "dim")
-    bounded = written(_search(seeds, k, True), "bounds")
-    blocks = candidates.count()
-    slots = max(1, min(blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    left = candidates.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
-    right = bounded.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<long>")))
-    found = _search(left.join(right, ["dim", "slot"]), k, False)
+    blocks, _ = _kept(_blocks(rows, ["dim", "bucket"], BLOCK), "blocks")
+    asked = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "numbers")
+    # As many queries a block as keep all tasks of a shuffle busy; every block reads all vectors of its dimension.
+    most = min(QUERY_BLOCK, max(16, -(-asked.count() // max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    found = _search(spark, _kept(_blocks(asked, ["dim"], most), "queries"), blocks, k)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

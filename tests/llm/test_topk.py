@@ -70,6 +70,26 @@ def test_unusual_rows(spark):
     assert topk.top_products(df).count() == 0
 
 
+def test_blocks_meet_without_a_join(spark, monkeypatch):
+    """A table of query blocks looks small to Spark, and repeated for each block of vectors it would go to the driver."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    rows = vectors(4, 600, 4, [1.0]) + [(i, v[:3]) for i, v in vectors(5, 200, 4, [0.2, 5])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [word for word in ("Join", "Broadcast", "Generate") if word in plan], plan
+    few, many = by_hand([r for r in rows if len(r[1]) == 3], 3), by_hand([r for r in rows if len(r[1]) == 4], 3)
+    every = {}
+    for query, _, other, score in few | many:
+        every.setdefault(query, []).append((-score, other))
+    assert got == {(q, n, i, -s) for q, found in every.items() for n, (s, i) in enumerate(sorted(found)[:5], 1)}
+
+
 def test_large_products_are_exact():
     a = np.array([[2**40 + 1, 3], [2**40, 5]], np.int64)
     q = np.array([2**20 + 1, 7], np.int64)
@@ -109,3 +129,19 @@ def test_pruning_keeps_all_along_an_axis(shape, dim):
                 bound = t * size * lengths[0]
                 left = set(topk.survivors(units, lengths, query, size, bound).tolist())
                 assert set(np.flatnonzero(numbers @ query >= max(bound, 1)).tolist()) <= left
+
+
+@pytest.mark.parametrize("shape, dim", SHAPES)
+@pytest.mark.parametrize("scale", [256, 2**26])
+def test_blocks_give_the_best_however_they_are_pruned(shape, dim, scale):
+    """Alone by coordinates, together by length, or in whole numbers where floating point would round."""
+    numbers = np.floor(scale * shaped(shape, 7, 300, dim)).astype(np.int64)
+    numbers = numbers[np.argsort(-np.sqrt((numbers.astype(float) ** 2).sum(1)), kind="stable")]
+    ids = np.random.default_rng(1).permutation(300)
+    asked, q_ids = numbers[::6], ids[::6]
+    found, bounds = [(np.array([], np.int64), np.array([], np.int64))] * len(asked), np.full(len(asked), -np.inf)
+    for at in range(0, 300, 60):
+        topk._score(found, bounds, q_ids, asked, ids[at : at + 60], numbers[at : at + 60], 5)
+    for query, vector, (got, scores) in zip(q_ids, asked, found, strict=True):
+        every = sorted((-sum(int(a) * int(b) for a, b in zip(vector, v, strict=True)), i) for i, v in zip(ids.tolist(), numbers, strict=True) if i != query)
+        assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == every[:5]
